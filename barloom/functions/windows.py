@@ -12,14 +12,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import col, ratio
+from barloom.functions.columns import array_quantile, col, ratio
 
 
 class Roll:
     def __init__(self, keys=("symbol",), order=("date",)):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = [order] if isinstance(order, str) else list(order)
-        self.base = Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    @property
+    def base(self):  # built on use: plans are imported before any session exists
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def frame(self, n: int | None, shift: int = 0):
         """Last n rows ending `shift` rows ago; n=None means everything up to there."""
@@ -64,8 +67,11 @@ class Roll:
         return F.count(col(x)).over(self.frame(n, shift))
 
     def quantile(self, x, p: float, n=None, mp=None, shift=0):
-        """Linear-interpolated quantile over the frame."""
-        return self.apply(lambda v: F.percentile(v, F.lit(p)), x, n, mp, shift)
+        """Linear-interpolated quantile over a bounded frame (several levels share one sorted copy of the frame)."""
+        x, w = col(x), self.frame(n, shift)
+        if n is None:
+            return self._need(F.percentile(x, F.lit(p)).over(w), x, n, mp, w)
+        return self._need(array_quantile(F.sort_array(F.collect_list(x).over(w)), p), x, n, mp, w)
 
     def median(self, x, n=None, mp=None, shift=0):
         return self.quantile(x, 0.5, n, mp, shift)

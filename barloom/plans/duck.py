@@ -19,6 +19,12 @@ CTES = {
     "market": "SELECT date, avg(ret) AS mkt FROM rets GROUP BY date",
     "profile": "SELECT 'S' || s_suppkey AS symbol, r_name AS sector, n_name AS industry, s_acctbal AS mcap FROM supplier "
     "JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
+    "macro": f"SELECT {SHIP} AS date, 10 + 200 * avg(l_discount) AS vix, 12 + 200 * avg(l_tax) AS vix3m, 100 * avg(l_tax) AS ust10y, "
+    "60 * avg(l_discount) AS ust2y, avg(l_quantity) AS dollar, avg(l_extendedprice) / 1000 AS tlt, "
+    "avg(l_extendedprice * (1 - l_discount)) / 1000 AS hyg FROM lineitem GROUP BY 1",
+    "macro_series": "SELECT *, 'MACRO' AS symbol FROM macro",
+    "urgent": "SELECT p_brand AS symbol, CAST(o_orderdate AS DATE) AS event_date, count(*) AS n_events FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
+    "AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 GROUP BY 1, 2",
 }
 
 
@@ -156,7 +162,7 @@ def bfill(x, part=PART, order=ORDER):
 def pct_rank(x, n, mp=None, ties="average", **kw):
     mp, w = n if mp is None else mp, over(n, 0, **kw)
     lst = f"list({x}) FILTER (WHERE ({x}) IS NOT NULL) OVER {w}"
-    lt, le = f"len(list_filter({lst}, lambda v: v < {x}))", f"len(list_filter({lst}, lambda v: v <= {x}))"
+    lt, le = f"len(list_filter({lst}, lambda e__: e__ < {x}))", f"len(list_filter({lst}, lambda e__: e__ <= {x}))"
     rank = le if ties == "max" else f"({lt} + {le} + 1) / 2.0" if ties == "average" else f"({lt} + 1)"
     return f"(CASE WHEN ({x}) IS NOT NULL AND count({x}) OVER {w} >= {mp} THEN {rank} / len({lst})::DOUBLE END)"
 
@@ -174,3 +180,15 @@ def ewm_adj(x, alpha, i, part=PART, order=ORDER):
     q = f"{1 - alpha!r}::DOUBLE"
     w = f"OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"(sum({x} * pow({q}, -{i})) {w} / sum(pow({q}, -{i})) {w})"
+
+
+def select(exprs: dict[str, str], src: str, keys="symbol, date") -> str:
+    return f"SELECT {keys}, " + ", ".join(f"{v} AS {k}" for k, v in exprs.items()) + f" FROM {src}"
+
+
+def flag(cond):
+    return f"(CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+def nz(x, d=0):
+    return f"coalesce({x}, {d})"

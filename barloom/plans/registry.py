@@ -28,22 +28,20 @@ def parse_columns(text: str) -> list[tuple[str, str]]:
 
 
 def _spark_float(name: str) -> Column:
-    x = F.col(name).cast("double")
-    x = F.when(~F.isnan(x) & (F.abs(x) < 1e300), x)
+    x = F.col(name)
     # the small offset keeps decimal half-way points off the rounding boundary
-    r = (
-        F.when(F.abs(x) >= 1e6, F.round(x + 0.037, 0))
-        .when(F.abs(x) >= 100, F.round(x + 3.7e-5, 3))
-        .otherwise(F.round(x + 3.7e-7, 5))
+    return (
+        F.when(F.abs(x) < 100, F.round(x + 3.7e-7, 5))
+        .when(F.abs(x) < 1e6, F.round(x + 3.7e-5, 3))
+        .otherwise(F.round(x + 0.037, 0))
     )
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def _duck_float(name: str) -> str:
-    x = f'(CASE WHEN isnan("{name}"::DOUBLE) OR abs("{name}"::DOUBLE) >= 1e300 THEN NULL ELSE "{name}"::DOUBLE END)'
+    x = f'"{name}"::DOUBLE'
     r = (
-        f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} + 0.037::DOUBLE, 0) WHEN abs({x}) >= 100 THEN round({x} + 3.7e-5::DOUBLE, 3) "
-        f"ELSE round({x} + 3.7e-7::DOUBLE, 5) END)"
+        f"(CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 100 THEN round({x} + 3.7e-7::DOUBLE, 5) "
+        f"WHEN abs({x}) < 1e6 THEN round({x} + 3.7e-5::DOUBLE, 3) ELSE round({x} + 0.037::DOUBLE, 0) END)"
     )
     return f"(CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END)"
 
@@ -55,7 +53,9 @@ def shape(df: DataFrame, columns: str) -> DataFrame:
         "d": lambda c: F.date_format(F.col(c), "yyyy-MM-dd"),
         "s": lambda c: F.col(c).cast("string"),
     }
-    return df.select(*[make[k](c).alias(c) for c, k in parse_columns(columns)])
+    parsed = parse_columns(columns)
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) if k == "f" else F.col(c) for c, k in parsed])
+    return df.select(*[make[k](c).alias(c) for c, k in parsed])
 
 
 def shape_sql(sql: str, columns: str) -> str:

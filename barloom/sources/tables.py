@@ -54,9 +54,14 @@ class Tables:
             F.sum("qty").alias("volume"),
         )
 
+    def by_symbol(self, df: DataFrame, *keys: str) -> DataFrame:
+        """The one exchange all per-symbol windows of a plan share; a fixed count keeps heavy windows parallel."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(n, *(keys or ("symbol",)))
+
     def bars(self) -> DataFrame:
         """Daily OHLCV per brand: a dense panel of a few symbols."""
-        return self._ohlcv(self.trades())
+        return self.by_symbol(self._ohlcv(self.trades()))
 
     def bars_wide(self) -> DataFrame:
         """Daily OHLCV per supplier: a wide cross-section whose symbol count grows with the data."""
@@ -68,7 +73,7 @@ class Tables:
             "l_orderkey",
             "l_linenumber",
         )
-        return self._ohlcv(li)
+        return self.by_symbol(self._ohlcv(li))
 
     def rets(self) -> DataFrame:
         """Brand bars with the close-to-close return."""
@@ -92,3 +97,32 @@ class Tables:
                 F.col("s_acctbal").alias("mcap"),
             )
         )
+
+    def macro(self) -> DataFrame:
+        """Date-level macro proxies (one row per session, bounded by the calendar)."""
+        li = self.raw("lineitem").select(roll_to_weekday(F.col("l_shipdate").cast("date")).alias("date"), "l_discount", "l_tax", "l_quantity", "l_extendedprice")
+        return li.groupBy("date").agg(
+            (10 + 200 * F.avg("l_discount")).alias("vix"),
+            (12 + 200 * F.avg("l_tax")).alias("vix3m"),
+            (100 * F.avg("l_tax")).alias("ust10y"),
+            (60 * F.avg("l_discount")).alias("ust2y"),
+            F.avg("l_quantity").alias("dollar"),
+            (F.avg("l_extendedprice") / 1000).alias("tlt"),
+            (F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).alias("hyg"),
+        )
+
+    def macro_series(self) -> DataFrame:
+        """The macro proxies as a single 'MACRO' symbol, so that series windows have a partition key."""
+        return self.macro().withColumn("symbol", F.lit("MACRO"))
+
+    def urgent(self) -> DataFrame:
+        """Sparse dated events per brand: urgent orders with an 'F' status whose first line is of that brand."""
+        o = self.raw("orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 7 == 0)).select("o_orderkey", F.col("o_orderdate").cast("date").alias("event_date"))
+        li = self.raw("lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey")
+        part = self.raw("part").select("p_partkey", F.col("p_brand").alias("symbol"))
+        return (
+            o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("symbol", "event_date")
+            .agg(F.count("*").alias("n_events"))
+        )
