@@ -436,7 +436,7 @@ def _(t):
 
 q.cte("dividends", "SELECT symbol, date, close * 0.01 AS value FROM numbered WHERE rn % 63 = 10")
 q.cte("dv0", "SELECT symbol, quantile_cont(value, 0.99) AS cap FROM dividends GROUP BY symbol")
-q.cte("dv1", "SELECT b.*, least(value, cap) AS amt, CASE WHEN value IS NOT NULL THEN date END AS ex FROM bars b LEFT JOIN dividends USING (symbol, date) LEFT JOIN dv0 USING (symbol)")
+q.cte("dv1", "SELECT b.*, CASE WHEN value IS NOT NULL THEN least(value, cap) END AS amt, CASE WHEN value IS NOT NULL THEN date END AS ex FROM bars b LEFT JOIN dividends USING (symbol, date) LEFT JOIN dv0 USING (symbol)")
 q.cte("dv2", f"SELECT *, coalesce(amt, 0) AS dividend_amount, {q.bfill('ex')} AS nx, last_value(ex IGNORE NULLS) OVER {q.over(None, 1)} AS lx FROM dv1")
 q.cte(
     "dv3",
