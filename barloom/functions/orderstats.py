@@ -37,10 +37,13 @@ def ranked_values(df: DataFrame, keys, x: str, buckets: int = 64) -> DataFrame:
     )
 
 
-def with_ranks(df: DataFrame, keys, x: str, out: dict[str, str], descending: bool = False) -> DataFrame:
-    """Join ranks back to the rows. `out` maps a new column to one of avg, pct, min, dense, total."""
+def with_ranks(df: DataFrame, keys, x: str, out: dict[str, str], descending: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """Join ranks back to the rows. `out` maps a new column to one of avg, pct, min, dense, total.
+
+    Several rankings of one table should all name it as `source`, so that their plans stay side by side instead of nesting.
+    """
     keys = list(keys)
-    r = ranked_values(df, keys, x)
+    r = ranked_values((df if source is None else source).select(*keys, x), keys, x)
     below = F.col("total") - F.col("below") - F.col("cnt") if descending else F.col("below")
     dense = F.col("distinct") - F.col("dense") + 1 if descending else F.col("dense")
     avg = below + (F.col("cnt") + 1) / 2

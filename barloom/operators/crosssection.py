@@ -67,10 +67,11 @@ def percentile_rank(df: DataFrame, keys, x: str, out: str, higher_is_better: boo
 
 def peer_percentiles(df: DataFrame, metrics: list[str], min_sector: int = 3, min_industry: int = 3, neutral: float = 0.5, fallback: bool = True) -> DataFrame:
     """Sector and industry percentiles with minimum-peer gates; industry falls back to sector, then to `neutral`."""
+    base = df
     for m in metrics:
         for scope, gate in (("sector", min_sector), ("industry", min_industry)):
             keys = ["date", scope]
-            df = with_ranks(df, keys, m, {f"__p_{scope}": "pct", f"__n_{scope}": "total"})
+            df = with_ranks(df, keys, m, {f"__p_{scope}": "pct", f"__n_{scope}": "total"}, source=base)
             p = F.when(F.col(f"__n_{scope}") >= gate, F.col(f"__p_{scope}")) if gate else F.col(f"__p_{scope}")
             df = df.withColumn(f"__p_{scope}", p)
         for name, cheap in (("pct", False), ("cheap_pct", True)):
@@ -159,9 +160,9 @@ def rank_correlation(df: DataFrame, keys, x: str, y: str, min_rows: int = 5) ->
     """Spearman correlation per group: average ranks of the rows where both sides are present, guarded Pearson."""
     keys = list(keys)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = with_ranks(both, keys, x, {"__rx": "avg"})
-    both = with_ranks(both, keys, y, {"__ry": "avg"})
-    g = both.groupBy(*keys).agg(
+    ranked = with_ranks(both, keys, x, {"__rx": "avg"}, source=both)
+    ranked = with_ranks(ranked, keys, y, {"__ry": "avg"}, source=both)
+    g = ranked.groupBy(*keys).agg(
         F.count("*").alias("n"), F.covar_pop("__rx", "__ry").alias("__c"), F.stddev_pop("__rx").alias("__sx"), F.stddev_pop("__ry").alias("__sy")
     )
     ok = (F.col("n") >= min_rows) & (F.col("__sx") > 1e-12) & (F.col("__sy") > 1e-12)

@@ -126,3 +126,24 @@ class Tables:
             .groupBy("symbol", "event_date")
             .agg(F.count("*").alias("n_events"))
         )
+
+    def tape(self) -> DataFrame:
+        """Prediction tape per brand: deterministic scores and probabilities next to the next day's clipped return."""
+        r = Window.partitionBy("symbol").orderBy("date")
+        d = self.rets().withColumns({"rn": F.row_number().over(r), "nxt": F.lead("ret").over(r)})
+        a = F.col("volume") * 0.37 + F.col("rn")
+        y = F.least(F.lit(0.05), F.greatest(F.lit(-0.05), F.col("nxt") / 20))
+        return d.where(F.col("nxt").isNotNull()).select(
+            "symbol", "date", "rn", F.floor((F.col("rn") - 1) / 60).cast("int").alias("fold_id"),
+            (0.6 * F.sin(a)).alias("score"), (0.5 + 0.49 * F.sin(a)).alias("p"), F.abs(F.cos("volume")).alias("conf"), (0.01 + 0.01 * F.abs(F.cos("rn"))).alias("sigma"),
+            y.alias("y_true"), (F.col("nxt") > 0).cast("int").alias("y"), F.when(F.col("rn") % 2 == 0, 5).otherwise(21).alias("horizon"),
+            F.concat(F.lit("m"), (F.col("rn") % 3).cast("string")).alias("model"), F.col("volume"),
+        )
+
+    def quantile_tape(self) -> DataFrame:
+        """Tape with quantile forecasts around a small centre."""
+        t = self.tape()
+        c, s = 0.02 * F.col("score"), F.col("sigma")
+        # fixed values: standard normal quantiles at the forecast levels
+        z = {"q05": -1.645, "q10": -1.2816, "q25": -0.6745, "q50": 0.0, "q75": 0.6745, "q90": 1.2816, "q95": 1.645}
+        return t.withColumns({k: c + s * v for k, v in z.items()})
