@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import array_quantile, col, ratio
 
 
+def let(value: Column, use) -> Column:
+    """Bind a value once: Spark plans every textual copy of a window aggregate again, a lambda argument is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Roll:
     def __init__(self, keys=("symbol",), order=("date",)):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
@@ -71,7 +76,7 @@ class Roll:
         x, w = col(x), self.frame(n, shift)
         if n is None:
             return self._need(F.percentile(x, F.lit(p)).over(w), x, n, mp, w)
-        return self._need(array_quantile(F.sort_array(F.collect_list(x).over(w)), p), x, n, mp, w)
+        return self._need(let(F.sort_array(F.collect_list(x).over(w)), lambda a: array_quantile(a, p)), x, n, mp, w)
 
     def median(self, x, n=None, mp=None, shift=0):
         return self.quantile(x, 0.5, n, mp, shift)
@@ -81,20 +86,17 @@ class Roll:
 
     def skew(self, x, n, mp=None, shift=0):
         """Bias-corrected sample skewness (G1)."""
-        x, w = col(x), self.frame(n, shift)
-        c = F.count(x).over(w).cast("double")
-        value = F.when((c > 2) & (F.stddev_pop(x).over(w) > 1e-12), F.skewness(x).over(w) * F.sqrt(c * (c - 1)) / (c - 2))
-        return self._need(value, x, n, mp, w)
+        x, w, need = col(x), self.frame(n, shift), max(3, n if mp is None else mp)
+        parts = F.struct(F.count(x).over(w).cast("double").alias("c"), F.stddev_pop(x).over(w).alias("s"), F.skewness(x).over(w).alias("g"))
+        return let(parts, lambda v: F.when((v.c >= need) & (v.s > 1e-12), v.g * F.sqrt(v.c * (v.c - 1)) / (v.c - 2)))
 
     def kurt(self, x, n, mp=None, shift=0):
         """Bias-corrected sample excess kurtosis (G2)."""
-        x, w = col(x), self.frame(n, shift)
-        c = F.count(x).over(w).cast("double")
-        value = F.when(
-            (c > 3) & (F.stddev_pop(x).over(w) > 1e-12),
-            (c - 1) / ((c - 2) * (c - 3)) * ((c + 1) * F.kurtosis(x).over(w) + 6),
+        x, w, need = col(x), self.frame(n, shift), max(4, n if mp is None else mp)
+        parts = F.struct(F.count(x).over(w).cast("double").alias("c"), F.stddev_pop(x).over(w).alias("s"), F.kurtosis(x).over(w).alias("g"))
+        return let(
+            parts, lambda v: F.when((v.c >= need) & (v.s > 1e-12), (v.c - 1) / ((v.c - 2) * (v.c - 3)) * ((v.c + 1) * v.g + 6))
         )
-        return self._need(value, x, n, mp, w)
 
     def lag(self, x, k=1):
         return F.lag(col(x), k).over(self.base)
@@ -125,9 +127,8 @@ class Roll:
 
     def z(self, x, n=None, mp=None, shift=0, ddof=1, eps=1e-12, shift_x=0):
         """(x - mean) / std of the frame; NULL where the frame is flat."""
-        m = self.mean(x, n, mp, shift)
-        s = (self.std if ddof else self.std0)(x, n, mp, shift)
-        return F.when(s > eps, (col(x) - m) / s)
+        parts = F.struct(self.mean(x, n, mp, shift).alias("m"), (self.std if ddof else self.std0)(x, n, mp, shift).alias("s"), col(x).alias("x"))
+        return let(parts, lambda v: F.when(v.s > eps, (v.x - v.m) / v.s))
 
     def cov(self, x, y, n, mp=None, shift=0):
         x, y, both, w = *self._pair(x, y), self.frame(n, shift)
@@ -142,15 +143,18 @@ class Roll:
     def corr(self, x, y, n, mp=None, shift=0, eps=1e-12):
         """Pearson correlation of pairwise complete rows; NULL where a side is flat."""
         x, y, both, w = *self._pair(x, y), self.frame(n, shift)
-        sx, sy = F.stddev_samp(x).over(w), F.stddev_samp(y).over(w)
-        value = F.when((sx > eps) & (sy > eps), F.covar_samp(x, y).over(w) / (sx * sy))
-        return self._need(value, both, n, mp, w)
+        parts = F.struct(
+            F.count(both).over(w).alias("n"), F.stddev_samp(x).over(w).alias("a"), F.stddev_samp(y).over(w).alias("b"), F.covar_samp(x, y).over(w).alias("c")
+        )
+        need = n if mp is None else mp
+        return let(parts, lambda v: F.when((v.n >= need) & (v.a > eps) & (v.b > eps), v.c / (v.a * v.b)))
 
     def beta(self, y, x, n, mp=None, shift=0, eps=1e-18):
         """cov(y, x) / var(x) of pairwise complete rows."""
         y, x, both, w = *self._pair(y, x), self.frame(n, shift)
-        v = F.var_samp(x).over(w)
-        return self._need(F.when(v > eps, F.covar_samp(y, x).over(w) / v), both, n, mp, w)
+        parts = F.struct(F.count(both).over(w).alias("n"), F.var_samp(x).over(w).alias("a"), F.covar_samp(y, x).over(w).alias("c"))
+        need = n if mp is None else mp
+        return let(parts, lambda v: F.when((v.n >= need) & (v.a > eps), v.c / v.a))
 
     def slope(self, y, n, mp=None, shift=0):
         """Least-squares slope against the row number."""
@@ -160,11 +164,14 @@ class Roll:
     def pct_rank(self, x, n, mp=None, ties="average"):
         """Rank of the current value within its frame, in (0, 1]."""
         x, w = col(x), self.frame(n)
-        values = F.collect_list(x).over(w)
-        below = F.size(F.filter(values, lambda v: v < x))
-        upto = F.size(F.filter(values, lambda v: v <= x))
-        rank = upto if ties == "max" else (below + upto + 1) / 2 if ties == "average" else below + 1
-        return self._need(F.when(x.isNotNull(), rank / F.size(values)), x, n, mp, w)
+
+        def rank(v):
+            below = F.size(F.filter(v.l, lambda e: e < v.x))
+            upto = F.size(F.filter(v.l, lambda e: e <= v.x))
+            r = upto if ties == "max" else (below + upto + 1) / 2 if ties == "average" else below + 1
+            return F.when(v.x.isNotNull(), r / F.size(v.l))
+
+        return self._need(let(F.struct(F.collect_list(x).over(w).alias("l"), x.alias("x")), rank), x, n, mp, w)
 
     def days_since(self, event, sentinel: float | None = None):
         """Rows since the last row where `event` holds (0 on the event row)."""

@@ -11,7 +11,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clip, col, flag, ratio
+from barloom.functions.columns import array_quantile, clip, col, flag, ratio
 from barloom.functions.orderstats import quantiles, ranked_values
 from barloom.functions.windows import SYM, Roll
 
@@ -33,13 +33,17 @@ def rolling_sortino(x: str, n: int, r: Roll = SYM) -> Column:
     return F.when(ok, F.avg(v).over(w) / (rms + 1e-12) * ANNUAL)
 
 
-def rolling_cvar(x: str, n: int, alpha: float = 0.05, r: Roll = SYM) -> Column:
-    """Mean of the frame's values at or below its alpha quantile (at least max(10, n/5) values)."""
+def rolling_cvar(df: DataFrame, x: str, out: str, n: int, alpha: float = 0.05, r: Roll = SYM) -> DataFrame:
+    """Mean of the frame's values at or below its alpha quantile (at least max(10, n/5) values).
+
+    The frame is collected once (n values) and sorted; its tail is a slice of that array.
+    """
     w = r.frame(n)
-    values = F.collect_list(F.col(x)).over(w)
-    q = r.quantile(x, alpha, n, max(10, n // 5))
-    tail = F.filter(values, lambda e: e <= q)
-    return F.when(q.isNotNull(), F.aggregate(tail, F.lit(0.0), lambda a, e: a + e) / F.size(tail))
+    df = df.withColumns({"__v": F.sort_array(F.collect_list(F.col(x)).over(w)), "__ok": F.count(x).over(w) >= max(10, n // 5)})
+    df = df.withColumn("__q", array_quantile("__v", alpha))
+    df = df.withColumn("__t", F.filter("__v", lambda e: e <= F.col("__q")))
+    value = F.when(F.col("__ok"), F.aggregate("__t", F.lit(0.0), lambda a, e: a + e) / F.size("__t"))
+    return df.withColumn(out, value).drop("__v", "__ok", "__q", "__t")
 
 
 def rolling_capture(p: str, b: str, n: int, up: bool, r: Roll = SYM) -> Column:
@@ -74,11 +78,12 @@ def benchmark_timeseries(df: DataFrame, windows=(20, 63), risk_free: float = 0.0
         out[f"sortino_{n}"] = rolling_sortino("excess_p", n, r)
         out[f"up_capture_{n}"] = rolling_capture("rp", "rb", n, True, r)
         out[f"down_capture_{n}"] = rolling_capture("rp", "rb", n, False, r)
-        out[f"cvar_{n}"] = rolling_cvar("excess_p", n, 0.05, r)
         out[f"realized_vol_{n}"] = r.std("rp", n, mp) * ANNUAL
         if target_vol is not None:
             out[f"vol_target_error_{n}"] = out[f"realized_vol_{n}"] - target_vol
     df = df.withColumns({**out, "__eq": r.prod(1 + F.col("rp"))})
+    for n in windows:
+        df = rolling_cvar(df, "excess_p", f"cvar_{n}", n, 0.05, r)
     return df.withColumn("drawdown", ratio("__eq", r.max("__eq")) - 1).drop("__eq")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import wilson_interval
+from barloom.functions.columns import clip, wilson_interval
 from barloom.operators import evaluation as op
 from barloom.plans import duck as q
 from barloom.plans.market import select_with
@@ -14,7 +14,7 @@ K = ["symbol"]
 
 
 # ---- benchmark ------------------------------------------------------------------------------------------------------
-q.cte("bm0", "SELECT r.symbol, r.date, ret / 20 AS rp, mkt / 20 AS rb FROM rets r JOIN market USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL")
+q.cte("bm0", "SELECT r.symbol, r.date, greatest(-0.05::DOUBLE, least(0.05::DOUBLE, ret / 20)) / 5 AS rp, greatest(-0.05::DOUBLE, least(0.05::DOUBLE, (mkt - 2) / 50)) / 5 AS rb FROM rets r JOIN market USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL")
 _RF = repr(1.02 ** (1 / 252) - 1)
 q.cte("bm1", f"SELECT *, rp - rb AS active, rp - {_RF}::DOUBLE AS excess_p, rb - {_RF}::DOUBLE AS excess_b, {q.beta('rp', 'rb', 20, 5)} AS beta_20, {q.beta('rp', 'rb', 63, 12)} AS beta_63 FROM bm0")
 q.cte("bm2", "SELECT *, rp - beta_20 * rb AS alpha_20, rp - beta_63 * rb AS alpha_63 FROM bm1")
@@ -57,8 +57,8 @@ q.cte("bm4", f"SELECT *, eq / nullif({q.rmax('eq')}, 0) - 1 AS drawdown FROM bm3
 
 
 def _bench(t, target=0.1):
-    p = t.rets().select("symbol", "date", (F.col("ret") / 20).alias("rp"))
-    b = t.market().select("date", (F.col("mkt") / 20).alias("rb"))
+    p = t.rets().select("symbol", "date", (clip(F.col("ret") / 20, -0.05, 0.05) / 5).alias("rp"))
+    b = t.market().select("date", (clip((F.col("mkt") - 2) / 50, -0.05, 0.05) / 5).alias("rb"))
     return op.benchmark_timeseries(op.align_returns(p, b), (20, 63), 0.02, target)
 
 
@@ -147,7 +147,7 @@ def _(t):
 
 _w1 = "(PARTITION BY symbol, T ORDER BY fold_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 q.cte("wf1", f"SELECT *, avg(ret) OVER {_w1} AS m, CASE WHEN count(ret) OVER {_w1} >= 2 THEN stddev_samp(ret) OVER {_w1} END AS s, avg((position <> 0)::INT) OVER {_w1} AS cov FROM sw1")
-q.cte("wf2", "SELECT *, round(CASE WHEN cov > 0 THEN (CASE WHEN s > 1e-15 THEN m / s * 2 ELSE 0 END) * pow(cov, 0.3) END, 12) AS obj FROM wf1")
+q.cte("wf2", "SELECT *, round(CASE WHEN cov > 0 THEN (CASE WHEN s > 1e-15 THEN m / s * 2 ELSE 0 END) * pow(cov, 0.3) ELSE 0 END, 12) AS obj FROM wf1")
 q.cte("wf3", "SELECT symbol, fold_id, coalesce(arg_max(T, (obj, -T)) FILTER (WHERE obj IS NOT NULL), min(T)) AS best, row_number() OVER (PARTITION BY symbol ORDER BY fold_id) AS k FROM wf2 GROUP BY 1, 2")
 q.cte("wf4", "SELECT symbol, fold_id, CASE WHEN k <= 5 THEN 0.1 ELSE best END AS threshold FROM wf3")
 
