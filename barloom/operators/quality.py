@@ -147,7 +147,7 @@ def first_non_finite(df: DataFrame, columns: list[str], keep: list[str]) -> Data
 def validate_rows(df: DataFrame, required: list[str], bounds: dict[str, tuple[float | None, float | None]], date_range: tuple[str, str], keys: list[str], tie: Column) -> DataFrame:
     """Reject reason per row: missing, bad date, out of range, duplicate key (the largest tie value is kept)."""
     reason = F.lit(None).cast("string")
-    for c, (lo, hi) in bounds.items():
+    for c, (lo, hi) in reversed(bounds.items()):
         if hi is not None:
             reason = F.when(F.col(c) > hi, F.lit(f"max:{c}")).otherwise(reason)
         if lo is not None:

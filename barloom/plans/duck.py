@@ -24,13 +24,26 @@ CTES = {
     "avg(l_extendedprice * (1 - l_discount)) / 1000 AS hyg FROM lineitem GROUP BY 1",
     "macro_series": "SELECT *, 'MACRO' AS symbol FROM macro",
     "urgent": "SELECT p_brand AS symbol, CAST(o_orderdate AS DATE) AS event_date, count(*) AS n_events FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
-    "AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 GROUP BY 1, 2",
+    "AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2",
     "tape0": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM rets",
     "tape": "SELECT symbol, date, rn, (rn - 1) // 60 AS fold_id, 0.6::DOUBLE * sin(volume * 0.37::DOUBLE + rn) AS score, 0.5::DOUBLE + 0.49::DOUBLE * sin(volume * 0.37::DOUBLE + rn) AS p, abs(cos(volume)) AS conf, "
     "0.01::DOUBLE + 0.01::DOUBLE * abs(cos(rn)) AS sigma, least(0.05::DOUBLE, greatest(-0.05::DOUBLE, nxt / 20)) AS y_true, (nxt > 0)::INT AS y, CASE WHEN rn % 2 = 0 THEN 5 ELSE 21 END AS horizon, "
     "'m' || (rn % 3) AS model, volume FROM tape0 WHERE nxt IS NOT NULL",
     "qtape": "SELECT *, " + ", ".join(f"0.02::DOUBLE * score + sigma * {v}::DOUBLE AS {k}" for k, v in
     {"q05": -1.645, "q10": -1.2816, "q25": -0.6745, "q50": 0.0, "q75": 0.6745, "q90": 1.2816, "q95": 1.645}.items()) + " FROM tape",
+    "chain": """SELECT symbol, quote_date, expiry, strike, type, sum(l_quantity) AS volume, sum(3 * l_quantity + l_linenumber) AS oi, 0.1::DOUBLE + 2 * avg(l_discount) AS iv, 100 * avg(l_tax) AS bid,
+  101 * avg(l_tax) + 1 + avg(l_discount) AS ask, 1000 + 10.0::DOUBLE * month(quote_date) AS spot, date_diff('day', quote_date, expiry) / 365.0::DOUBLE AS tte FROM (
+  SELECT *, quote_date + 30 * (1 + p_size % 4)::INT AS expiry, floor(p_retailprice / 50) * 50.0 AS strike, CASE WHEN l_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS type FROM (
+  SELECT p_brand AS symbol, p_size, p_retailprice, l.*, date_trunc('month', CAST(l_shipdate AS DATE))::DATE AS quote_date FROM lineitem l JOIN part ON p_partkey = l_partkey)) GROUP BY 1, 2, 3, 4, 5""",
+    "insider": """SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS filing_date, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'G' END AS code, l_quantity AS shares, l_extendedprice AS value,
+  l_orderkey AS name, l_linenumber AS ln FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "minute_bars": "SELECT user_id AS symbol, date_trunc('minute', ts) AS minute, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2",
+    "fund0": """SELECT p_brand AS symbol, date_trunc('quarter', CAST(l_shipdate AS DATE))::DATE AS period, sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_extendedprice * l_tax) AS tax, sum(l_extendedprice * 0.6::DOUBLE) AS cogs,
+  sum(l_quantity * 100) AS inventory, sum(l_extendedprice * l_discount) AS receivables, sum(p_retailprice) AS cash, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
+    "fundamentals": """SELECT *, revenue - cogs AS gross_profit, revenue * 0.95::DOUBLE - cogs AS ebit, revenue - cogs - tax AS net_income, revenue * 1.2::DOUBLE AS total_assets, revenue * 0.5::DOUBLE + receivables AS total_debt,
+  revenue * 0.7::DOUBLE - receivables AS equity, cash + receivables + inventory AS current_assets, cogs * 0.2::DOUBLE AS current_liabilities, revenue * 0.02::DOUBLE AS interest, cogs * 0.1::DOUBLE AS payables,
+  revenue * 0.9::DOUBLE - cogs AS operating_cf, receivables * 0.5::DOUBLE AS capex, n * 1000.0::DOUBLE AS shares, tax * 0.3::DOUBLE AS dividends_paid, tax * 0.2::DOUBLE AS buybacks, revenue * 0.05::DOUBLE + tax AS rnd, cogs * 0.15::DOUBLE AS opex,
+  CAST(period + INTERVAL 3 MONTH + INTERVAL 44 DAY AS DATE) AS known_at FROM fund0""",
 }
 
 

@@ -181,14 +181,14 @@ def _(t):
     return op.asset_block(t.bars(), days_per_year=365)
 
 
-q.cte("basket", f"SELECT 'METALS' AS symbol, date, avg(close) AS level FROM bars WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY date")
+q.cte("basket", f"SELECT 'METALS' AS symbol, date, avg(close) AS level FROM bars GROUP BY date")
 q.cte("basket_r", f"SELECT *, {q.pct('level')} AS r1 FROM basket")
 _bk = {"level": "level", "return_20d": q.rsum("r1", 20), "vol_20d": f"{q.std('r1', 20)} * sqrt(252)"}
 
 
 @plan("commodity_basket", 159, names(_bk), q.select(_bk, "basket_r"))
 def _(t):
-    return op.equal_weight_basket(t.bars().where(F.col("symbol").isin("Brand#1", "Brand#2", "Brand#3")), "METALS")
+    return op.equal_weight_basket(t.bars(), "METALS")
 
 
 q.cte("usd", "SELECT 'USD_INDEX' AS symbol, date, sum(CASE WHEN symbol < 'Brand#2' THEN r1 ELSE -r1 END) / count(*) AS usd_strength FROM ab1 GROUP BY date")

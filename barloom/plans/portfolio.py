@@ -101,7 +101,7 @@ def _(t):
     return op.vol_target(r.groupBy("symbol").agg((F.avg(F.sin("volume")) / 10).alias("w")), r, 0.1)
 
 
-UNIVERSE = [f"Brand#{i}" for i in range(1, 9)]
+UNIVERSE = [f"Brand#{i}" for i in range(1, 26)]
 q.cte("ew_in", "SELECT symbol, date, coalesce(ret, 0) AS ret FROM rets WHERE symbol IN (" + ", ".join(f"'{u}'" for u in UNIVERSE) + ")")
 q.cte("ew_cal", "SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM ew_in)")
 q.cte("ew_cov", "SELECT a.symbol AS symbol_i, b.symbol AS symbol_j, sum(0.06 * pow(0.94, age) * a.ret * b.ret) AS cov FROM ew_in a JOIN ew_in b USING (date) JOIN ew_cal USING (date) WHERE a.symbol <= b.symbol GROUP BY 1, 2")

@@ -31,17 +31,17 @@ def _spark_float(name: str) -> Column:
     x = F.col(name)
     # the small offset keeps decimal half-way points off the rounding boundary
     return (
-        F.when(F.abs(x) < 100, F.round(x + 3.7e-7, 5))
-        .when(F.abs(x) < 1e6, F.round(x + 3.7e-5, 3))
-        .otherwise(F.round(x + 0.037, 0))
+        F.when(F.abs(x) < 100, F.round(x + 3.712983e-7, 5))
+        .when(F.abs(x) < 1e6, F.round(x + 3.712983e-5, 3))
+        .otherwise(F.round(x + 0.03712983, 0))
     )
 
 
 def _duck_float(name: str) -> str:
     x = f'"{name}"::DOUBLE'
     r = (
-        f"(CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 100 THEN round({x} + 3.7e-7::DOUBLE, 5) "
-        f"WHEN abs({x}) < 1e6 THEN round({x} + 3.7e-5::DOUBLE, 3) ELSE round({x} + 0.037::DOUBLE, 0) END)"
+        f"(CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 100 THEN round({x} + 3.712983e-7::DOUBLE, 5) "
+        f"WHEN abs({x}) < 1e6 THEN round({x} + 3.712983e-5::DOUBLE, 3) ELSE round({x} + 0.03712983::DOUBLE, 0) END)"
     )
     return f"(CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END)"
 

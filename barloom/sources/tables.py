@@ -116,8 +116,8 @@ class Tables:
         return self.macro().withColumn("symbol", F.lit("MACRO"))
 
     def urgent(self) -> DataFrame:
-        """Sparse dated events per brand: urgent orders with an 'F' status whose first line is of that brand."""
-        o = self.raw("orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 7 == 0)).select("o_orderkey", F.col("o_orderdate").cast("date").alias("event_date"))
+        """Sparse dated events per brand: urgent orders whose first line is of that brand."""
+        o = self.raw("orders").where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", F.col("o_orderdate").cast("date").alias("event_date"))
         li = self.raw("lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey")
         part = self.raw("part").select("p_partkey", F.col("p_brand").alias("symbol"))
         return (
@@ -147,3 +147,57 @@ class Tables:
         # fixed values: standard normal quantiles at the forecast levels
         z = {"q05": -1.645, "q10": -1.2816, "q25": -0.6745, "q50": 0.0, "q75": 0.6745, "q90": 1.2816, "q95": 1.645}
         return t.withColumns({k: c + s * v for k, v in z.items()})
+
+    def chain(self) -> DataFrame:
+        """Option-chain stand-in per brand and month: one row per (expiry, strike, type), pre-aggregated from lines."""
+        li = self.raw("lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", F.col("l_shipdate").cast("date").alias("d"))
+        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"), "p_retailprice", "p_size")
+        j = li.join(p, "l_partkey").withColumn("quote_date", F.trunc("d", "month"))
+        j = j.withColumns(
+            {
+                "expiry": F.date_add("quote_date", (30 * (1 + F.col("p_size") % 4)).cast("int")),
+                "strike": F.floor(F.col("p_retailprice") / 50) * 50.0,
+                "type": F.when(F.col("l_partkey") % 2 == 0, "call").otherwise("put"),
+            }
+        )
+        g = j.groupBy("symbol", "quote_date", "expiry", "strike", "type").agg(
+            F.sum("l_quantity").alias("volume"), F.sum(3 * F.col("l_quantity") + F.col("l_linenumber")).alias("oi"), (0.1 + 2 * F.avg("l_discount")).alias("iv"),
+            (100 * F.avg("l_tax")).alias("bid"), (101 * F.avg("l_tax") + 1 + F.avg("l_discount")).alias("ask"),
+        )
+        return g.withColumns({"spot": 1000 + 10.0 * F.month("quote_date"), "tte": F.datediff("expiry", "quote_date") / 365.0})
+
+    def insider(self) -> DataFrame:
+        """Insider-trade stand-in: filing date, code, shares, value, name and title per trade."""
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", F.col("l_shipdate").cast("date").alias("filing_date"))
+        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+        return li.join(p, "l_partkey").select(
+            "symbol", "filing_date", F.when(F.col("l_returnflag") == "A", "P - Purchase").when(F.col("l_returnflag") == "R", "S - Sale").otherwise("G - Gift").alias("code"),
+            F.col("l_quantity").alias("shares"), F.col("l_extendedprice").alias("value"), F.col("l_orderkey").cast("string").alias("name"),
+            F.when(F.col("l_linenumber") == 1, "Chief Executive Officer").when(F.col("l_linenumber") == 2, "Director").otherwise("10% Owner").alias("title"),
+        )
+
+    def minute_bars(self) -> DataFrame:
+        """Event values per user and minute: open/high/low/close/volume, pre-aggregated from events with map-side combine."""
+        e = self.raw("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+        at = F.struct("ts", "event_id")
+        return e.groupBy(F.col("user_id").alias("symbol"), F.date_trunc("minute", "ts").alias("minute")).agg(
+            F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.sum("value").alias("volume"), F.count("*").alias("n")
+        )
+
+    def fundamentals(self) -> DataFrame:
+        """Quarterly statement stand-in per brand, known 45 days after quarter end."""
+        li = self.raw("lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("period"))
+        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"), "p_retailprice")
+        x = F.col("l_extendedprice")
+        g = li.join(p, "l_partkey").groupBy("symbol", "period").agg(
+            F.sum(x * (1 - F.col("l_discount"))).alias("revenue"), F.sum(x * F.col("l_tax")).alias("tax"), F.sum(x * 0.6).alias("cogs"), F.sum(F.col("l_quantity") * 100).alias("inventory"),
+            F.sum(x * F.col("l_discount")).alias("receivables"), F.sum("p_retailprice").alias("cash"), F.count("*").alias("n"),
+        )
+        return g.select(
+            "*", (F.col("revenue") - F.col("cogs")).alias("gross_profit"), (F.col("revenue") * 0.95 - F.col("cogs")).alias("ebit"), (F.col("revenue") - F.col("cogs") - F.col("tax")).alias("net_income"),
+            (F.col("revenue") * 1.2).alias("total_assets"), (F.col("revenue") * 0.5 + F.col("receivables")).alias("total_debt"), (F.col("revenue") * 0.7 - F.col("receivables")).alias("equity"),
+            (F.col("cash") + F.col("receivables") + F.col("inventory")).alias("current_assets"), (F.col("cogs") * 0.2).alias("current_liabilities"), (F.col("revenue") * 0.02).alias("interest"),
+            (F.col("cogs") * 0.1).alias("payables"), (F.col("revenue") * 0.9 - F.col("cogs")).alias("operating_cf"), (F.col("receivables") * 0.5).alias("capex"), (F.col("n") * 1000.0).alias("shares"),
+            (F.col("tax") * 0.3).alias("dividends_paid"), (F.col("tax") * 0.2).alias("buybacks"), (F.col("revenue") * 0.05 + F.col("tax")).alias("rnd"), (F.col("cogs") * 0.15).alias("opex"),
+            F.date_add(F.add_months("period", 3), 44).alias("known_at"),
+        )
