@@ -63,9 +63,10 @@ q.cte("bs1", "SELECT *, d1 - iv * sqrt(tte) AS d2, exp(-d1 * d1 / 2) / sqrt(2 *
 
 
 def _ncdf(x):
-    # everywhere convergent series of the normal distribution function; beyond six standard deviations it is 0 or 1
-    s = f"list_sum(list_transform(range(0, 150), lambda k: pow(-1, k) * exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300) / sqrt(2)) - lgamma(k + 1)) / (2 * k + 1)))"
-    return f"(CASE WHEN abs({x}) < 5.2 THEN 0.5 + sign({x}) * {s} / sqrt(pi()) WHEN {x} > 0 THEN 1 ELSE 0 END)"
+    # all-positive series: 1/2 + pdf(x) * sum of x^(2k+1) / (1 3 5 ... (2k+1)); beyond eight standard deviations 0 or 1
+    a = f"greatest(abs({x}), 1e-300)"
+    t = f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln({a}) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    return f"(CASE WHEN abs({x}) < 8 THEN 0.5 + sign({x}) * {t} * exp(-{x} * {x} / 2) / sqrt(2 * pi()) WHEN {x} > 0 THEN 1 ELSE 0 END)"
 
 
 q.cte("bs2", f"SELECT *, {_ncdf('d1')} AS n1, {_ncdf('d2')} AS n2 FROM bs1")
@@ -171,7 +172,7 @@ def _(t):
 
 
 _w = dict(order="quote_date")
-q.cte("ivx", f"SELECT symbol, quote_date, {q.pct_rank('atm_iv', 60, 12, ties='max', **_w)} * 100 AS iv_percentile, {q.z('atm_iv', 60, 12, ddof=0, **_w)} AS iv_z FROM near5")
+q.cte("ivx", f"SELECT symbol, quote_date, {q.pct_rank('atm_iv', 60, 12, ties='max', **_w)} * 100 AS iv_percentile, {q.z('atm_iv', 60, 12, ddof=0, **_w)} AS iv_z FROM (SELECT symbol, quote_date, round(atm_iv, 10) AS atm_iv FROM near5)")
 
 
 @plan(
@@ -181,7 +182,7 @@ q.cte("ivx", f"SELECT symbol, quote_date, {q.pct_rank('atm_iv', 60, 12, ties='ma
     "SELECT *, CASE WHEN iv_percentile IS NULL THEN 'unknown' WHEN iv_percentile >= 90 THEN 'extreme_high' WHEN iv_percentile >= 75 THEN 'high' WHEN iv_percentile <= 10 THEN 'extreme_low' WHEN iv_percentile <= 25 THEN 'low' ELSE 'normal' END AS iv_regime FROM ivx",
 )
 def _(t):
-    return op.iv_extremeness(op.nearest_iv(t.chain()), "atm_iv", 60, 12, Roll("symbol", "quote_date"))
+    return op.iv_extremeness(op.nearest_iv(t.chain()).withColumn("atm_iv", F.round("atm_iv", 10)), "atm_iv", 60, 12, Roll("symbol", "quote_date"))
 
 
 q.cte("tf", "SELECT DISTINCT date_trunc('month', date)::DATE AS month FROM macro")

@@ -161,10 +161,10 @@ class Tables:
             }
         )
         g = j.groupBy("symbol", "quote_date", "expiry", "strike", "type").agg(
-            F.sum("l_quantity").alias("volume"), F.sum(3 * F.col("l_quantity") + F.col("l_linenumber")).alias("oi"), (0.1 + 2 * F.avg("l_discount")).alias("iv"),
+            F.sum("l_quantity").alias("volume"), F.sum(3 * F.col("l_quantity") + F.col("l_linenumber")).alias("oi"), (0.1037 + 2 * F.avg("l_discount")).alias("iv"),
             (100 * F.avg("l_tax")).alias("bid"), (101 * F.avg("l_tax") + 1 + F.avg("l_discount")).alias("ask"),
         )
-        return g.withColumns({"spot": 1000 + 10.0 * F.month("quote_date"), "tte": F.datediff("expiry", "quote_date") / 365.0})
+        return g.withColumns({"spot": 950 + 10.0 * F.month("quote_date"), "tte": F.datediff("expiry", "quote_date") / 365.0})
 
     def insider(self) -> DataFrame:
         """Insider-trade stand-in: filing date, code, shares, value, name and title per trade."""
