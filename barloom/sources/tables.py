@@ -156,7 +156,7 @@ class Tables:
         j = j.withColumns(
             {
                 "expiry": F.date_add("quote_date", (30 * (1 + F.col("p_size") % 4)).cast("int")),
-                "strike": F.floor(F.col("p_retailprice") / 50) * 50.0,
+                "strike": F.floor((F.col("p_retailprice") - 900) * 3 / 10) * 10 + 850.0,
                 "type": F.when(F.col("l_partkey") % 2 == 0, "call").otherwise("put"),
             }
         )
