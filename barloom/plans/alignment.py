@@ -42,14 +42,14 @@ def _(t):
     return al.coalesce_frames(*halves(t))
 
 
-@plan("index_sidecar", 6, "row_id:i date volume flag", "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_shipdate::DATE AS date, l_quantity AS volume, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag FROM lineitem")
+@plan("index_sidecar", 6, "row_id:i date volume flag", "SELECT o_orderkey AS row_id, o_orderdate::DATE AS date, o_totalprice AS volume, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS flag FROM orders")
 def _(t):
-    li = t.raw("lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    index = li.select("row_id", F.date_format(F.col("l_shipdate").cast("date"), "yyyyMMdd").cast("int").alias("date"))
-    return io.with_index(li.select("row_id", F.col("l_quantity").alias("volume"), (F.col("l_returnflag") == "R").alias("flag"), F.col("l_linestatus").alias("name")), index)
+    o = t.raw("orders").withColumnRenamed("o_orderkey", "row_id")
+    index = o.select("row_id", F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd").cast("int").alias("date"))
+    return io.with_index(o.select("row_id", F.col("o_totalprice").alias("volume"), (F.col("o_orderstatus") == "F").alias("flag"), F.col("o_orderpriority").alias("name")), index)
 
 
-@plan("incremental_upsert", 7, "symbol date close open volume", "SELECT symbol, date, b.close, NULL AS open, volume FROM halves_b b UNION ALL SELECT symbol, date, close, open, NULL FROM halves_a a WHERE NOT EXISTS (SELECT 1 FROM halves_b b WHERE b.symbol = a.symbol AND b.date = a.date)")
+@plan("incremental_upsert", 7, "symbol date close open volume", "SELECT symbol, date, b.close, NULL::DOUBLE AS open, volume FROM halves_b b UNION ALL SELECT symbol, date, close, open, NULL::DOUBLE FROM halves_a a WHERE NOT EXISTS (SELECT 1 FROM halves_b b WHERE b.symbol = a.symbol AND b.date = a.date)")
 def _(t):
     return al.upsert(*halves(t))
 
@@ -295,7 +295,7 @@ def _(t):
     return t.bars().join(o, "date", "left_semi").groupBy("date").agg(F.count("*").alias("n"))
 
 
-@plan("ordered_column_union", 348, "symbol date close open volume", "SELECT symbol, date, close, open, NULL AS volume FROM halves_a UNION ALL SELECT symbol, date, close, NULL, volume FROM halves_b")
+@plan("ordered_column_union", 348, "symbol date close open volume", "SELECT symbol, date, close, open, NULL::DOUBLE AS volume FROM halves_a UNION ALL SELECT symbol, date, close, NULL::DOUBLE, volume FROM halves_b")
 def _(t):
     a, b = halves(t)
     return a.unionByName(b, allowMissingColumns=True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 WEEKDAY = "(CASE isodow({d}) WHEN 6 THEN {d} + 2 WHEN 7 THEN {d} + 1 ELSE {d} END)"
 SHIP = WEEKDAY.format(d="CAST(l_shipdate AS DATE)")
 
-OHLCV = """SELECT symbol, date, arg_min(price, (l_orderkey, l_linenumber)) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, (l_orderkey, l_linenumber)) AS close, sum(qty) AS volume FROM {src} GROUP BY symbol, date"""
+OHLCV = """SELECT symbol, date, arg_min(price, (l_orderkey, l_linenumber, price)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, (l_orderkey, l_linenumber, price)) AS close, sum(qty) AS volume FROM {src} GROUP BY symbol, date"""
 
 CTES = {
     "trades": f"SELECT p_brand AS symbol, {SHIP} AS date, l_extendedprice / l_quantity AS price, l_quantity AS qty, "

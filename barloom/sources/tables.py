@@ -45,7 +45,7 @@ class Tables:
 
     @staticmethod
     def _ohlcv(trades: DataFrame) -> DataFrame:
-        at = F.struct("l_orderkey", "l_linenumber")
+        at = F.struct("l_orderkey", "l_linenumber", "price")  # order lines repeat, so the price settles ties
         return trades.groupBy("symbol", "date").agg(
             F.min_by("price", at).alias("open"),
             F.max("price").alias("high"),
