@@ -161,7 +161,7 @@ def trust_features(df: DataFrame, y="y_true", q10="q10", q50="q50", q90="q90", r
         {
             "trust_score": clip(1 - F.abs(F.col("__cov") - 0.8) / 0.8, 0, 1), "spread_shock": F.col("__w") / (F.col("__med") + 1e-9) - 1, "quantile_drift": r.diff(q50),
             "width_sigma": F.col("__w") / (F.col("__vol") + 1e-9), "upper_error_rate": r.mean(flag(F.col(y) > F.col(q90)), 50, 10, shift=shift), "lower_error_rate": r.mean(flag(F.col(y) < F.col(q10)), 50, 10, shift=shift),
-            "trend_regime": F.signum(r.mean(y, 20, 5, shift=shift)), "vol_regime": flag(F.col("__vol") > r.quantile("__vol", 0.75, 60, 10)),
+            "trend_regime": F.signum(r.mean(y, 20, 5, shift=shift)), "vol_regime": flag(F.col("__vol") > r.quantile("__vol", 0.75, 60, 10) + 1e-9),
         }
     )
     return d.withColumn("error_asymmetry", F.col("upper_error_rate") - F.col("lower_error_rate")).drop("__w", "__e", "__in", "__med", "__vol", "__cov")

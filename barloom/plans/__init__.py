@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("indicators", "price_action", "market", "series", "crosssection", "evaluation", "portfolio", "options", "fundamentals", "aggregates", "alignment", "textual", "derived")
+MODULES = ("indicators", "price_action", "market", "series", "crosssection", "evaluation", "portfolio", "options", "fundamentals", "aggregates", "alignment", "textual", "derived", "streaming")
 
 
 def registry():

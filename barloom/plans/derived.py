@@ -67,7 +67,7 @@ def _trust(shift):
     e = {
         "trust_score": q.clip("1 - abs(cov - 0.8) / 0.8", 0, 1), "spread_shock": "w / (med + 1e-9) - 1", "quantile_drift": f"q50 - {q.lag('q50')}", "width_sigma": "w / (vol + 1e-9)",
         "upper_error_rate": q.mean("(y_true > q90)::INT", 50, 10, shift), "lower_error_rate": q.mean("(y_true < q10)::INT", 50, 10, shift), "trend_regime": f"sign({q.mean('y_true', 20, 5, shift)})",
-        "vol_regime": q.flag(f"vol > {q.quant('vol', 0.75, 60, 10)}"),
+        "vol_regime": q.flag(f"vol > {q.quant('vol', 0.75, 60, 10)} + 1e-9"),
     }
     return e, f"SELECT *, upper_error_rate - lower_error_rate AS error_asymmetry FROM ({q.select(e, f'({b})')})"
 

@@ -72,16 +72,18 @@ def shape_sql(sql: str, columns: str) -> str:
 def with_ctes(sql: str) -> str:
     """Prefix the shared fixture definitions a query refers to, dependencies first."""
     needed: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name, body in CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and name not in open_ and re.search(rf"\b{name}\b", text):
+                open_.add(name)
                 visit(body)
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
-    parts = [f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed]
+    once = {name: "" if re.search(rf"\b{name}\b", CTES[name]) else "MATERIALIZED " for name in needed}  # recursive ones stay plain
+    parts = [f"{name} AS {once[name]}({CTES[name]})" for name in needed]
     return "WITH RECURSIVE " + ",\n".join([*parts, f"result AS ({sql})"])
 
 

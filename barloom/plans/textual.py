@@ -150,10 +150,10 @@ def _(t):
 
 
 q.cte("sec0", "SELECT conv_id * 1000 + turn AS id, text || CASE WHEN turn % 2 = 1 THEN ' Operator: and now the first question ' || role ELSE '' END AS text FROM conversations")
-q.cte("sec1", "SELECT id, text, list_min(list_filter([" + ", ".join(f"strpos(lower(text), '{m}')" for m in ("question-and-answer", "question and answer", "q&a session", "operator:", "first question", "questions and answers", "qa session", "now open for questions")) + "], lambda p__: p__ > 0)) AS at FROM sec0")
+q.cte("sec1", "SELECT id, text, list_min(list_filter([" + ", ".join(f"strpos(lower(text), '{m}')" for m in ("question-and-answer", "question and answer", "q&a session", "operator:", "first question", "questions and answers", "qa session", "now open for questions")) + "], lambda p__: p__ > 0)) AS cut_at FROM sec0")
 
 
-@plan("transcript_sections", 376, "id:i prepared:s qa:s", "SELECT id, trim(CASE WHEN at IS NULL THEN text ELSE substr(text, 1, at - 1) END, ' ') AS prepared, trim(CASE WHEN at IS NULL THEN '' ELSE substr(text, at) END, ' ') AS qa FROM sec1")
+@plan("transcript_sections", 376, "id:i prepared:s qa:s", "SELECT id, trim(CASE WHEN cut_at IS NULL THEN text ELSE substr(text, 1, cut_at - 1) END, ' ') AS prepared, trim(CASE WHEN cut_at IS NULL THEN '' ELSE substr(text, cut_at) END, ' ') AS qa FROM sec1")
 def _(t):
     c = t.raw("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" Operator: and now the first question "), F.col("role"))).otherwise("")).alias("text"))
     return op.split_sections(c, "text")
