@@ -297,3 +297,11 @@ def neutral_fill(scaffold: DataFrame, sentiment: DataFrame, columns: list[str],
     d = scaffold.join(sentiment, ["symbol", "date"], "left")
     d = d.withColumns({c: r.lag(c) for c in columns})
     return d.withColumns({c: F.coalesce(r.ffill(c, limit), F.lit(0.0)) for c in columns})
+
+
+def changed_correlations(before: DataFrame, after: DataFrame, names: list[str], series="symbol", x="ret", k: int = 5) -> DataFrame:
+    """The k pairs of the listed series whose correlation moved most between two periods."""
+    a = series_correlations(before, series, x, names).select("a", "b", F.col("corr").alias("corr_before"))
+    b = series_correlations(after, series, x, names).select("a", "b", F.col("corr").alias("corr_after"))
+    j = a.join(b, ["a", "b"]).withColumn("change", F.abs(F.col("corr_after") - F.col("corr_before"))).where(F.col("change").isNotNull())
+    return j.orderBy(F.desc(F.round("change", 9)), "a", "b").limit(k)

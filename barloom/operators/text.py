@@ -119,10 +119,10 @@ def chunks(df: DataFrame, x: str, size: int, overlap: int) -> DataFrame:
 def headlines_per_day(df: DataFrame, title: str, date: str, keys=("symbol",), per_bucket: int = 256) -> DataFrame:
     """Headlines of a day as ordered text parts of at most `per_bucket` headlines.
 
-    A day may hold a third of all news, so it is never one string: rows get a position by bucket, and a day becomes as
-    many parts as it needs, each in order.
+    A day may hold a third of all news, so it is never one string: rows are placed second by second, and a day becomes
+    as many parts as it needs, each in order.
     """
-    d = df.where(F.trim(title) != "").withColumn("__b", F.floor(F.unix_timestamp("ts") / 3600))
+    d = df.where(F.trim(title) != "").withColumn("__b", F.unix_timestamp("ts"))
     n = d.groupBy(*keys, date, "__b").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*keys, date).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")

@@ -7,7 +7,7 @@ from importlib import import_module
 MODULES = ("indicators", "price_action", "market", "series", "crosssection", "evaluation", "portfolio", "options", "fundamentals", "aggregates", "alignment", "textual", "derived", "streaming")
 
 
-def registry():
+def load_plans():
     from barloom.plans.registry import PLANS
 
     for name in MODULES:

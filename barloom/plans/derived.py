@@ -313,3 +313,13 @@ def _(t):
     return op.neutral_fill(b.select("symbol", "date"), s, ["tone"], 3)
 
 
+
+
+q.cte("cc_a", "SELECT x.symbol AS a, y.symbol AS b, corr(x.v, y.v) FILTER (WHERE x.date < DATE '1998-01-01') AS corr_before, corr(x.v, y.v) FILTER (WHERE x.date >= DATE '1998-01-01') AS corr_after FROM sc_m x JOIN sc_m y USING (date) WHERE x.symbol < y.symbol GROUP BY 1, 2")
+
+
+@plan("top_changed_correlations", 342, "a:s b:s corr_before corr_after change", "SELECT *, abs(corr_after - corr_before) AS change FROM cc_a ORDER BY round(abs(corr_after - corr_before), 9) DESC, a, b LIMIT 5")
+def _(t):
+    m = t.bars().groupBy("symbol", F.trunc("date", "month").alias("date")).agg(F.sum("volume").alias("v"))
+    cut = F.lit("1998-01-01").cast("date")
+    return op.changed_correlations(m.where(F.col("date") < cut), m.where(F.col("date") >= cut), [f"Brand#{i}" for i in range(1, 26)], x="v")

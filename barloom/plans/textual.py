@@ -86,19 +86,19 @@ def _(t):
     "news_ranking",
     338,
     "source:s doc_id:i rank:i",
-    f"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY date_trunc('hour', ts) DESC, abs({cnt('text', POS)} - {cnt('text', NEG)}) DESC, doc_id) AS rank FROM nw WHERE trim(title, ' ') <> ''",
+    f"SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY date_trunc('minute', ts) DESC, abs({cnt('text', POS)} - {cnt('text', NEG)}) DESC, doc_id) AS rank FROM nw WHERE trim(title, ' ') <> ''",
 )
 def _(t):
     from pyspark.sql import Window
 
     d = news(t).where(F.trim("title") != "").withColumn("s", F.abs(op.mentions("text", POS) - op.mentions("text", NEG)))
-    # one partition per (source, hour); positions inside the hour are offset by the counts of later hours
-    h = d.withColumn("hour", F.date_trunc("hour", "ts"))
-    later = h.groupBy("source", "hour").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    # one partition per (source, minute); positions inside it are offset by the counts of later minutes
+    h = d.withColumn("slot", F.date_trunc("minute", "ts"))
+    later = h.groupBy("source", "slot").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     later = later.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    inside = Window.partitionBy("source", "hour").orderBy(F.desc("s"), "doc_id")
-    return h.withColumn("k", F.row_number().over(inside)).join(later, ["source", "hour"]).withColumn("rank", F.col("base") + F.col("k"))
+    inside = Window.partitionBy("source", "slot").orderBy(F.desc("s"), "doc_id")
+    return h.withColumn("k", F.row_number().over(inside)).join(later, ["source", "slot"]).withColumn("rank", F.col("base") + F.col("k"))
 
 
 @plan(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,18 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("BARLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", os.environ.get("BARLOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="barloom-ckpt-"))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; fall back to a local folder only when it names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-ckpt-"))

@@ -13,7 +13,7 @@ def read_panel(spark: SparkSession, root: str, symbols: list[str] | None = None,
     """Partitioned panel scan: symbol and date filters reach the partitions and row groups, columns the reader."""
     df = spark.read.parquet(root)
     if symbols is not None:
-        df = df.where(F.col("symbol").isin([s.upper() for s in symbols]))
+        df = df.where(F.col("symbol").isin(sorted({x for s in symbols for x in (s, s.upper())})))
     df = date_range(df, start, end)
     return df if columns is None else df.select("symbol", "date", *columns)
 

@@ -56,7 +56,7 @@ class Tables:
 
     def by_symbol(self, df: DataFrame, *keys: str) -> DataFrame:
         """The one exchange all per-symbol windows of a plan share; a fixed count keeps heavy windows parallel."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 3 * self.spark.sparkContext.defaultParallelism)
         return df.repartition(n, *(keys or ("symbol",)))
 
     def bars(self) -> DataFrame:

@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
-from barloom.plans import registry  # noqa: E402
+from barloom.plans import load_plans  # noqa: E402
 from barloom.session import local_session  # noqa: E402
 
 
@@ -73,7 +73,7 @@ def main():
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark, con = local_session(8), duck(sf_dir)
     fails = 0
-    plans = [p for p in registry().values() if re.search(args.only, p.build.__module__ + ":" + p.name)]
+    plans = [p for p in load_plans().values() if re.search(args.only, p.build.__module__ + ":" + p.name)]
     for p in plans:
         try:
             n, ts, td, status = compare(p, spark, con, sf_dir)
