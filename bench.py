@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line (median of three warm runs each)."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line (median of the warm runs, one by default)."""
 
 from __future__ import annotations
 
@@ -14,10 +14,8 @@ from barloom.plans import load_plans  # noqa: E402
 from barloom.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "tier2_ranking", "tier1_eligibility", "universe_rotation", "percentile_rank", "macd_trend", "momentum_indicators", "candle_mechanics", "volatility_ladder",
-    "earnings_seasonality", "asof_backward", "scaffold_densify", "panel_assembly", "insider_features", "market_breadth", "fund_overlap", "chain_snapshot", "black_scholes",
-    "fund_valuation_daily", "ternary_labels", "threshold_sweep", "walkforward_threshold", "expected_calibration_error", "conformal_quantile", "signal_pnl", "family_quality_gate",
-    "novelty", "token_chunks", "article_dedupe", "tumbling_window", "ks_drift", "page_hinkley",
+    "tier2_ranking", "tier1_eligibility", "universe_rotation", "percentile_rank", "macd_trend", "candle_mechanics", "asof_backward", "scaffold_densify", "market_breadth", "fund_overlap",
+    "chain_snapshot", "black_scholes", "ternary_labels", "threshold_sweep", "expected_calibration_error", "signal_pnl", "novelty", "token_chunks", "article_dedupe", "tumbling_window", "ks_drift", "page_hinkley",
 )
 
 
@@ -25,7 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     only = os.environ.get("BENCH_ONLY")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="barloom-bench")
     plans = load_plans()
     times: dict[str, float] = {}
