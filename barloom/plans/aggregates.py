@@ -298,11 +298,11 @@ def _(t):
 
 
 # ---- experiments ------------------------------------------------------------------------------------------------------------
-q.cte("ab0", "SELECT date, avg(y_true * sign(score)) AS ret, 'champion' AS arm FROM tape WHERE horizon = 5 GROUP BY date UNION ALL SELECT date, avg(y_true * sign(score)), 'challenger' FROM tape WHERE horizon = 21 GROUP BY date")
-q.cte("ab1", "SELECT *, sum(ret) OVER (PARTITION BY arm ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM ab0")
-q.cte("ab2", "SELECT *, eq - max(eq) OVER (PARTITION BY arm ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM ab1")
-q.cte("ab3", "SELECT arm, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, avg((ret > 0)::INT) AS w, min(dd) AS dd FROM ab2 GROUP BY arm")
-q.cte("ab4", "SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.s AS s1, b.s AS s2, a.w AS w1, b.w AS w2, a.dd AS d1, b.dd AS d2 FROM ab3 a, ab3 b WHERE a.arm = 'champion' AND b.arm = 'challenger'")
+q.cte("abx0", "SELECT date, avg(y_true * sign(score)) AS ret, 'champion' AS arm FROM tape WHERE horizon = 5 GROUP BY date UNION ALL SELECT date, avg(y_true * sign(score)), 'challenger' FROM tape WHERE horizon = 21 GROUP BY date")
+q.cte("abx1", "SELECT *, sum(ret) OVER (PARTITION BY arm ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eq FROM abx0")
+q.cte("abx2", "SELECT *, eq - max(eq) OVER (PARTITION BY arm ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd FROM abx1")
+q.cte("abx3", "SELECT arm, count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, avg((ret > 0)::INT) AS w, min(dd) AS dd FROM abx2 GROUP BY arm")
+q.cte("abx4", "SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.s AS s1, b.s AS s2, a.w AS w1, b.w AS w2, a.dd AS d1, b.dd AS d2 FROM abx3 a, abx3 b WHERE a.arm = 'champion' AND b.arm = 'challenger'")
 
 
 @plan(
@@ -310,7 +310,7 @@ q.cte("ab4", "SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.s AS s1, b.s
     101,
     "m_champion m_challenger s_champion s_challenger w_champion w_challenger dd_champion dd_challenger t_stat effect_size ci_lower ci_upper sample_ratio_mismatch",
     """SELECT m1 AS m_champion, m2 AS m_challenger, s1 AS s_champion, s2 AS s_challenger, w1 AS w_champion, w2 AS w_challenger, d1 AS dd_champion, d2 AS dd_challenger, (m2 - m1) / sqrt((n1 * s1 * s1 + n2 * s2 * s2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t_stat,
-    (m2 - m1) / sqrt(((n2 - 1) * s2 * s2 + (n1 - 1) * s1 * s1) / (n1 + n2 - 2)) AS effect_size, m2 - m1 - 1.96 * sqrt(s2 * s2 / n2 + s1 * s1 / n1) AS ci_lower, m2 - m1 + 1.96 * sqrt(s2 * s2 / n2 + s1 * s1 / n1) AS ci_upper, abs(n1 / n2::DOUBLE - 1) AS sample_ratio_mismatch FROM ab4""",
+    (m2 - m1) / sqrt(((n2 - 1) * s2 * s2 + (n1 - 1) * s1 * s1) / (n1 + n2 - 2)) AS effect_size, m2 - m1 - 1.96 * sqrt(s2 * s2 / n2 + s1 * s1 / n1) AS ci_lower, m2 - m1 + 1.96 * sqrt(s2 * s2 / n2 + s1 * s1 / n1) AS ci_upper, abs(n1 / n2::DOUBLE - 1) AS sample_ratio_mismatch FROM abx4""",
 )
 def _(t):
     d = t.tape().withColumn("arm", F.when(F.col("horizon") == 5, "champion").otherwise("challenger"))

@@ -48,6 +48,8 @@ CTES = {
 
 
 def cte(name: str, sql: str) -> None:
+    if name in CTES:
+        raise ValueError(f"fixture {name} defined twice")
     CTES[name] = sql
 
 

@@ -201,10 +201,10 @@ def _interp(x):
     return f"(CASE WHEN {x} IS NOT NULL THEN {x} WHEN {pv} IS NULL THEN 0 WHEN {nv} IS NULL THEN {pv} ELSE {pv} + ({nv} - {pv}) * (rn - {pi}) / ({ni} - {pi})::DOUBLE END)"
 
 
-q.cte("ms1", f"SELECT symbol, date, module, {_interp('score')} AS s, {_interp('conf')} AS c FROM ms_mod")
+q.cte("meta1", f"SELECT symbol, date, module, {_interp('score')} AS s, {_interp('conf')} AS c FROM ms_mod")
 
 
-@plan("meta_score", 250, "symbol date meta_score", "SELECT symbol, date, sum(s * c * CASE module WHEN 'a' THEN 0.7 ELSE 0.3 END) AS meta_score FROM ms1 GROUP BY 1, 2")
+@plan("meta_score", 250, "symbol date meta_score", "SELECT symbol, date, sum(s * c * CASE module WHEN 'a' THEN 0.7 ELSE 0.3 END) AS meta_score FROM meta1 GROUP BY 1, 2")
 def _(t):
     tp = t.tape()
     rn = F.col("rn")
