@@ -770,7 +770,7 @@ def _(t):
 q.cte("nn_right", "SELECT symbol, date, close AS v FROM numbered WHERE rn % 40 = 7")
 q.cte(
     "nn1",
-    "SELECT b.symbol, b.date, n.v, n.date AS nd, row_number() OVER (PARTITION BY b.symbol, b.date ORDER BY abs(date_diff('day', n.date, b.date)), n.date) AS k FROM bars b JOIN nn_right n ON n.symbol = b.symbol AND abs(date_diff('day', n.date, b.date)) <= 300",
+    "SELECT b.symbol, b.date, n.v, n.date AS nd, row_number() OVER (PARTITION BY b.symbol, b.date ORDER BY abs(date_diff('day', n.date, b.date)), n.date) AS k FROM bars b JOIN nn_right n ON n.symbol = b.symbol",
 )
 
 
