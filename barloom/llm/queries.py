@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, bpe, language, mixing, neardup, substrings, threshold, tokens
+from barloom.llm import ann, bpe, fixity, language, mixing, neardup, substrings, threshold, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,9 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TOP_K_SQL = """
-WITH kept AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH kept AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) AS BIGINT) AS score
   FROM kept q JOIN kept c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
@@ -67,6 +67,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+FIXITY_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 'pages-' || lpad(CAST(page_id // 1024 AS VARCHAR), 9, '0') || '.warc' AS archive FROM pages),
+r AS (SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS foot FROM p),
+o AS (SELECT *, CAST(coalesce(sum(strlen(head || html || foot)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT archive, "offset", CAST(strlen(head || html || foot) AS BIGINT) AS length_a, CASE WHEN page_id % 97 = 1 THEN NULL ELSE CAST(strlen(head || '#' || substr(html, 2) || foot) AS BIGINT) END AS length_b,
+  sha256(head || html || foot) AS digest_a, CASE WHEN page_id % 97 = 1 THEN NULL ELSE sha256(head || '#' || substr(html, 2) || foot) END AS digest_b, CASE WHEN page_id % 97 = 1 THEN 'missing' ELSE 'altered' END AS status
+FROM o WHERE page_id % 97 = 1 OR page_id % 89 = 0 AND NOT starts_with(html, '#')"""
+
+
+@query("op7_merkle_fixity", FIXITY_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives against a replica in which some records are overwritten at their first byte and some are lost."""
+    packed = fixity.pack(table(spark, sf_dir, "pages")).select("page_id", "archive", "offset", "record")
+    start = F.locate("\r\n\r\n", "record") + 4
+    spoiled = F.concat(F.substring("record", 1, start - 1), F.lit("#"), F.substring("record", start + 1, F.length("record")))
+    replica = packed.where("page_id % 97 <> 1").withColumn("record", F.when(F.col("page_id") % 89 == 0, spoiled).otherwise(F.col("record")))
+    return fixity.audit(packed, replica)
+
+
 @query("op8_byte_level_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
