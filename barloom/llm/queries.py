@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, bpe, fixity, language, mixing, neardup, substrings, threshold, tokens
+from barloom.llm import ann, bpe, fixity, language, mixing, neardup, privacy, substrings, threshold, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_disclosing_terms")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.sanitise(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    base = F.filter("spans", lambda s: s.kind != privacy.TERM)
+    counts = [privacy.of_kind("spans", kind).alias(f"n_{kind}") for kind in (*privacy.KINDS, privacy.TERM)]
+    removed = F.size(F.filter("spans", lambda s: s.how == "remove")).cast("long").alias("n_term_removed")
+    return found.select("doc_id", *counts[:-1], F.sha2(privacy.written(base), 256).alias("base_sha256"), privacy.written(F.col("spans")).alias("spans"), counts[-1], removed)
+
+
 TOP_K_SQL = """
 WITH kept AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
