@@ -26,7 +26,7 @@ from barloom.llm.words import blocks
 #: fixed values: code points with the Unicode property White_Space
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: bytes of text whose words are made distinct together
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 @functools.lru_cache(2)
@@ -112,45 +112,43 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     let a pre-token go on from a non-space into white space.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = packets.buckets_for(slim)
+    buckets = packets.buckets_for(slim, 1)
     id_type = slim.schema["id"].dataType
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = packets.batch_ids()
         for batch in blocks(batches, "text", BLOCK_BYTES):
             known = _Words(pattern)
-            texts = batch.column("text").to_pylist()
-            found = [np.fromiter(chain.from_iterable(map(known.__getitem__, known.chunks(t))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-            where = np.concatenate([*found, np.zeros(0, np.int64)])
+            texts = batch.column("text")
+            found = [np.fromiter(chain.from_iterable(map(known.__getitem__, known.chunks(t))), np.uint32) if (t := texts[i].as_py()) else np.zeros(0, np.uint32) for i in range(len(texts))]
             words = [w.encode() for w in known.words]
             names = _names(words)
-            # frequent words get small numbers
-            order = np.argsort(-np.bincount(where, minlength=len(words)), kind="stable")
-            number = np.empty(len(words), np.int64)
-            number[order] = np.arange(len(words))
-            number_of = next(ids)
-            table = packets.pack_table(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, found)), pa.int64())], names=["id", "n"]))
-            out = [(number_of, packets.DOCS, packets.pack_parts(table, packets.pack_ints(number[where])))]
+            del known
+            # words are numbered in the order in which the packets hold them
             by_name = np.argsort(names)
-            for bucket, lo, hi in packets.slices(names[by_name], buckets):
-                own = sorted(((words[i], int(number[i])) for i in by_name[lo:hi].tolist()))
-                out.append((number_of, bucket, packets.pack_parts(packets.pack_strings([w for w, _ in own]), packets.pack_ints(np.array([n for _, n in own])))))
+            cuts = packets.slices(names[by_name], buckets)
+            order = [i for _, lo, hi in cuts for i in sorted(by_name[lo:hi].tolist(), key=words.__getitem__)]
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words), dtype=np.uint32)
+            own = next(ids)
+            table = packets.pack_table(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, found)), pa.int64())], names=["id", "n"]))
+            out = [(own, packets.DOCS, packets.pack_parts(table, packets.pack_ints(number[np.concatenate([*found, np.zeros(0, np.uint32)])])))]
+            out += [(own, bucket, packets.pack_sorted([words[i] for i in order[lo:hi]])) for bucket, lo, hi in cuts]
             yield packets.rows(out)
 
     parts = cut(slim.mapInArrow(words_of, packets.SCHEMA), "bpe")
 
     def encode_bucket(group: pa.Table) -> pa.Table:
         ranks, known, out = load_ranks(ranks_path), {}, []
-        for batch, payload in zip(group["batch"].to_pylist(), group["payload"].to_pylist(), strict=True):
-            words, numbers = packets.unpack_parts(payload)
+        for batch, bucket, payload in zip(*(group[c].to_pylist() for c in ("batch", "bucket", "payload")), strict=True):
             found = []
-            for word in packets.unpack_strings(words):
+            for word in packets.unpack_sorted(payload):
                 if (ids := known.get(word)) is None:
                     ids = known[word] = encode_word(word, ranks)
                 found.append(ids)
             flat = np.fromiter(chain.from_iterable(found), np.int64)
             size = np.fromiter(map(len, found), np.int64, len(found))
-            out.append((batch, 0, packets.pack_parts(numbers, packets.pack_ints(size), packets.pack_ints(flat))))
+            out.append((batch, bucket, packets.pack_parts(packets.pack_ints(size), packets.pack_ints(flat))))
         return pa.Table.from_batches([packets.rows(out)])
 
     encoded = parts.where(F.col("bucket") != packets.DOCS).groupBy("bucket").applyInArrow(encode_bucket, packets.SCHEMA)
@@ -158,27 +156,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def in_order(group: pa.Table, words: pa.Table) -> pa.Table:
-        numbers, sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for payload in words["payload"].to_pylist():
-            own = [packets.unpack_ints(x).astype(np.int64) for x in packets.unpack_parts(payload)]
-            for to, x in zip((numbers, sizes, flats), own, strict=True):
-                to.append(x)
-        number, size, flat = map(np.concatenate, (numbers, sizes, flats))
-        start = np.cumsum(size) - size
-        start_of, size_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        start_of[number], size_of[number] = start, size
-        tables = []
+        replies = [packets.unpack_parts(p) for _, p in sorted(zip(words["bucket"].to_pylist(), words["payload"].to_pylist(), strict=True))]
+        none = [np.zeros(0, np.uint32)]
+        size, flat = (np.concatenate(none + [packets.unpack_ints(r[k]) for r in replies]) for k in (0, 1))
+        start = np.cumsum(size, dtype=np.int64) - size
+        names, counts, packed = [], [], []
         for payload in group["payload"].to_pylist():
             table, where = packets.unpack_parts(payload)
-            table, where = packets.unpack_table(table), packets.unpack_ints(where).astype(np.int64)
-            lengths = size_of[where]
-            ends = np.cumsum(lengths)
-            ids = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(start_of[where], lengths)]
-            words_before = np.concatenate([[0], np.cumsum(table.column("n").to_numpy())])
-            edges = np.concatenate([[0], ends])[words_before]
-            raw = ids.astype("<u4").tobytes()
-            tables.append(pa.Table.from_arrays([table.column("id"), pa.array(np.diff(edges), pa.int64()), pa.array([raw[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)], pa.binary())], names=schema.names))
-        return pa.concat_tables(tables) if tables else pa.Table.from_batches([], pa.schema([("id", words.schema.field("batch").type), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+            table, where = packets.unpack_table(table), packets.unpack_ints(where)
+            names.append(table.column("id"))
+            at = 0
+            for n in table.column("n").to_pylist():
+                own = where[at : at + n]
+                at += n
+                lengths = size[own].astype(np.int64)
+                ends = np.cumsum(lengths)
+                total = int(ends[-1]) if n else 0
+                counts.append(total)
+                packed.append(flat[np.arange(total) + np.repeat(start[own] - ends + lengths, lengths)].astype("<u4").tobytes())
+        return pa.Table.from_arrays([pa.chunked_array(names), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=schema.names)
 
     docs_rows = parts.where(F.col("bucket") == packets.DOCS)
     return docs_rows.groupBy("batch").cogroup(encoded.groupBy("batch")).applyInArrow(in_order, schema).withColumnRenamed("id", id_col)

@@ -82,14 +82,28 @@ def unpack_parts(data: bytes) -> list[bytes]:
     return [data[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
 
-def pack_strings(values: list[bytes]) -> bytes:
-    return pack_parts(pack_ints(np.fromiter(map(len, values), np.int64, len(values))), squeeze(b"".join(values)))
-
-
-def unpack_strings(data: bytes) -> list[bytes]:
-    size, body = unpack_parts(data)
-    body, ends = expand(body), np.cumsum(unpack_ints(size), dtype=np.int64).tolist()
-    return [body[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+def pack_sorted(values: list[bytes]) -> bytes:
+    """Sorted byte strings: how much each shares with the one before, and the rest."""
+    shared, rest, before = [], [], b""
+    for value in values:
+        n, most = 0, min(len(before), len(value))
+        while n < most and before[n] == value[n]:
+            n += 1
+        shared.append(n)
+        rest.append(value[n:])
+        before = value
+    return pack_parts(pack_ints(np.array(shared, np.int64)), pack_ints(np.fromiter(map(len, rest), np.int64, len(rest))), squeeze(b"".join(rest), 3))
+
+
+def unpack_sorted(data: bytes) -> list[bytes]:
+    shared, size, body = unpack_parts(data)
+    shared, body = unpack_ints(shared).tolist(), expand(body)
+    ends = np.cumsum(unpack_ints(size), dtype=np.int64).tolist()
+    out, before = [], b""
+    for n, s, e in zip(shared, [0, *ends], ends, strict=False):
+        before = before[:n] + body[s:e]
+        out.append(before)
+    return out
 
 
 def pack_table(batch: pa.RecordBatch) -> bytes:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: paths of the tables that `cut` has written in this process and `drop` has not deleted
+WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`. Where it is unset (tests, one machine) a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +28,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
+    WRITTEN.append(path)
     return out
 
 
@@ -32,9 +37,15 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_barloom_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            drop_paths(df.sparkSession, [path])
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def input_partitions(df: DataFrame) -> int:
