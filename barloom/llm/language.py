@@ -51,7 +51,8 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Suffix automaton of a sequence of letters below `width` as a table: 2 * next state, plus 1 where a phrase begins."""
+    """Suffix automaton of a sequence of letters below `width` as a table: 2 * next state, plus 1 where a phrase begins. The last
+    state stands before every phrase; a letter that the sequence lacks is a phrase by itself and leads back there."""
     links, longest, moves = [-1], [0], [{}]
     last = 0
     for code in codes:
@@ -74,11 +75,12 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     at = links[at]
                 links[to] = links[new] = twin
         last = new
-    table = np.full((len(links), width), -1, np.int64)
+    outside = len(links)
+    table = np.full((outside + 1, width), -1, np.int64)
     for state, own in enumerate(moves):
         for code, to in own.items():
             table[state, code] = to
-    restart = np.where(table[0] >= 0, 2 * table[0] + 1, 1)
+    restart = np.where(table[0] >= 0, 2 * table[0], 2 * outside) + 1
     return np.where(table >= 0, 2 * table, restart[None, :]).astype(np.int32)
 
 
@@ -114,8 +116,8 @@ class CrossParser:
             live = np.searchsorted(-length, -np.arange(int(length[0])))
             steps = [codes[start[:n] + t] for t, n in enumerate(live.tolist())]
             for k, table in enumerate(self.tables):
-                state = np.zeros(len(owner), np.int64)
-                phrases = np.ones(len(owner), np.int64)
+                state = np.full(len(owner), len(table) // self.width - 1)
+                phrases = np.zeros(len(owner), np.int64)
                 for own in steps:
                     n = len(own)
                     found = table[state[:n] * self.width + own]

@@ -188,7 +188,10 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, reach: int = 10, support: int
     text = F.col(text_col).cast("string")
     names = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     docs = docs.withColumn(text_col, text)
-    detected = cut(detect(docs, reach, text_col, names), "detected")
+    # columns under names that no column here has, then under their own again
+    own = {c: f"in_{i}" for i, c in enumerate(names)}
+    renamed = docs.select(F.col(text_col).alias("in_text"), *[F.col(c).alias(n) for c, n in own.items()])
+    detected = cut(detect(renamed, reach, "in_text", list(own.values())), "detected")
     total = F.lit(float(max(1, detected.count())))
     # each (document, entity, term) counts once, wherever the term stands
     near = cut(_named(detected.where(F.size("_near") > 0).select("_row", F.explode("_near").alias("x")).select("_row", "x.*")), "near")
@@ -210,7 +213,7 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, reach: int = 10, support: int
     none = F.array().cast("array<struct<kind:string,start:int,end:int,how:string>>")
     out = detected.join(cut(added, "added"), "_row", "left")
     drop(near)
-    return out.select(*names, F.concat(base, F.coalesce("_added", none)).alias("spans"))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], F.concat(base, F.coalesce("_added", none)).alias("spans"))
 
 
 def of_kind(spans: str, kind: str) -> Column:
