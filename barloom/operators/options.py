@@ -138,12 +138,15 @@ def sentiment(df: DataFrame) -> DataFrame:
 
 
 def unusual_activity(df: DataFrame, k: int = 10) -> DataFrame:
-    """Rows above the 99th volume percentile of their symbol: factor against the mean, label, the k largest per symbol."""
-    q = quantiles(df, ["symbol"], "volume", {"__q": 0.99}).join(df.groupBy("symbol").agg(F.avg("volume").alias("__m")), "symbol")
-    d = df.join(q, "symbol").where(F.col("volume") > F.col("__q")).withColumn("factor", F.col("volume") / F.col("__m"))
-    label = F.when(_call(), "unusual_call_activity").otherwise("unusual_put_activity")
-    # at most one percent of a symbol's rows reach the ranking
-    w = Window.partitionBy("symbol").orderBy(F.desc("volume"), "quote_date", "expiry", "strike", "type")
+    """Options above the 99th percentile of the positive volumes of their chain (symbol, quote date): factor against the mean
+    of these volumes (one at least), kind of activity, the k largest factors of a chain."""
+    traded = df.where(F.col("volume") > 0)
+    q = quantiles(traded, KEY, "volume", {"__q": 0.99}).join(traded.groupBy(*KEY).agg(F.avg("volume").alias("__m")), KEY)
+    d = df.join(q, KEY).where(F.col("volume") > F.col("__q")).withColumn("factor", F.col("volume") / F.greatest("__m", F.lit(1.0)))
+    ratio_ = F.col("strike") / F.col("spot")
+    label = F.when((ratio_ < 0.8) | (ratio_ > 1.2), "otm_activity").when(F.col("volume") > 2 * F.col("oi"), "volume_spike").otherwise("high_volume")
+    # at most one percent of a chain reaches the ranking
+    w = Window.partitionBy(*KEY).orderBy(F.desc("factor"), "expiry", "strike", "type")
     return d.withColumns({"label": label, "rank": F.row_number().over(w)}).where(F.col("rank") <= k).drop("__q", "__m")
 
 

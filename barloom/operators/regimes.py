@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.columns import clip, flag, ratio
 from barloom.functions.orderstats import quantiles
@@ -103,16 +105,22 @@ def router_label(df: DataFrame, r: Roll = SYM) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, label: str, confirmations: int = 3, keys=("symbol",)) -> DataFrame:
-    """The active regime changes only after `confirmations` consecutive rows of one new label.
-
-    A run of at least `confirmations` equal labels switches the state at its n-th row, whatever the state was; carrying
-    that label forward therefore gives the state without a sequential fold.
-    """
-    r = Roll(list(keys), "date")
-    df = spells(df, label, r)
-    switch = F.when((F.col("spell_pos") == confirmations - 1) | (r.row() == 1), F.col(label))
-    df = df.withColumn("__sw", switch)
-    return df.withColumn("active", r.ffill("__sw")).drop("__sw", "spell", "spell_pos")
+    """The active regime under a counter: a row of the active label resets it, any other raises it, and at `confirmations` the
+    row's label becomes active. Labels that differ among themselves count alike, so this is a true recurrence: a fold over
+    each key's rows, which the calendar bounds."""
+    schema = T.StructType([*df.schema.fields, T.StructField("active", df.schema[label].dataType)])
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        state, count, out = None, 0, []
+        for new in rows[label].to_pylist():
+            count = 0 if state is None or state == new else count + 1
+            if count == 0 or count >= confirmations:
+                state, count = new, 0
+            out.append(state)
+        return rows.append_column("active", pa.array(out, rows.schema.field(label).type))
+
+    return df.groupBy(*keys).applyInArrow(fold, schema)
 
 
 def vix_percentile_regime(df: DataFrame, vix="vix", n=252, mp=63, r: Roll = SYM) -> DataFrame:

@@ -199,7 +199,9 @@ JURISDICTIONS = {
 
 
 def jurisdiction(x, aliases=JURISDICTIONS) -> Column:
-    t = F.initcap(F.trim(col(x)))
+    """Title case (a capital after every character that is no letter), then the alias."""
+    runs = F.regexp_extract_all(F.trim(col(x)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    t = F.array_join(F.transform(runs, F.initcap), "")
     table = F.create_map(*[v for k, a in aliases.items() for v in (F.lit(k), F.lit(a))])
     return F.coalesce(F.element_at(table, t), t)
 

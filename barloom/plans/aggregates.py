@@ -76,7 +76,7 @@ def _(t):
 q.cte(
     "ins_daily",
     """SELECT symbol, filing_date, count(*) AS num_trades, sum((code = 'P')::INT) AS num_buy_trades, sum((code = 'S')::INT) AS num_sell_trades, sum(CASE WHEN code = 'P' THEN shares ELSE 0 END) AS buy_shares, sum(CASE WHEN code = 'S' THEN shares ELSE 0 END) AS sell_shares,
-    sum(CASE WHEN code = 'P' THEN value ELSE 0 END) AS buy_value, sum(CASE WHEN code = 'S' THEN value ELSE 0 END) AS sell_value, sum(CASE WHEN code = 'P' AND ln = 1 THEN value ELSE 0 END) AS exec_buy_value, sum(CASE WHEN code = 'S' AND ln = 1 THEN value ELSE 0 END) AS exec_sell_value,
+    sum(CASE WHEN code = 'P' THEN value ELSE 0 END) AS buy_value, sum(CASE WHEN code = 'S' THEN value ELSE 0 END) AS sell_value, sum(CASE WHEN code = 'P' AND ln IN (1, 3, 4) THEN value ELSE 0 END) AS exec_buy_value, sum(CASE WHEN code = 'S' AND ln IN (1, 3, 4) THEN value ELSE 0 END) AS exec_sell_value,
     count(DISTINCT name) AS unique_insiders, count(DISTINCT CASE WHEN code = 'P' THEN name END) AS unique_buy_insiders, count(DISTINCT CASE WHEN code = 'S' THEN name END) AS unique_sell_insiders FROM insider GROUP BY 1, 2""",
 )
 _ins = "num_trades num_buy_trades num_sell_trades buy_shares sell_shares buy_value sell_value exec_buy_value exec_sell_value unique_insiders unique_buy_insiders unique_sell_insiders"
@@ -113,14 +113,22 @@ def _(t):
 
 
 # ---- releases -----------------------------------------------------------------------------------------------------------
-_names = ["Core CPI m/m", "CPI y/y", "Nonfarm Payrolls", "FOMC Statement", "GDP q/q", "Housing Starts", "Core Consumer Price Index"]
-_keys = ["core_cpi", "cpi", "nfp", "fomc", "gdp", None, "core_cpi"]
+_names = ["Core CPI m/m", "CPI y/y", "Nonfarm Payrolls", "Interest Rate Decision", "GDP q/q", "Housing Starts", "Core Consumer Price Index", "Core PCE Price Index", "Jobless Rate", "Manufacturing PMI", "Retail Sales m/m", "Prism Survey", "Core Retail Sales", "Producer Price Index"]
 _imp = ["High", "2", "low", "9", "n/a"]
 _impw = [3, 2, 1, 3, 1]
 _case = lambda vals, x, n: "CASE " + " ".join(f"WHEN {x} % {n} = {i} THEN {('NULL' if v is None else repr(v))}" for i, v in enumerate(vals)) + " END"
+# the SQL classifies each name by itself, by position of the fragments
+_fragments = (("cpi", "consumer price index|cpi"), ("core_cpi", "core consumer price index|core cpi"), ("pce", "pce|personal consumption expenditures"), ("nfp", "nonfarm payroll|non-farm payroll|nfp"), ("unemployment", "unemployment rate|jobless rate"),
+    ("gdp", "gross domestic product|gdp"), ("fomc", "fomc|fed|federal open market committee|interest rate decision"), ("retail_sales", "retail sales"), ("ism", "ism|pmi"))
+_name_sql = "lower(" + _case(_names, "o_custkey", len(_names)) + ")"
+_classified = (
+    f"CASE WHEN regexp_matches({_name_sql}, 'core.*cpi|cpi.*core|core consumer price index') THEN 'core_cpi' "
+    + " ".join(f"WHEN regexp_matches({_name_sql}, '{f}')" + (f" AND NOT regexp_matches({_name_sql}, 'core')" if k == "cpi" else "") + f" THEN '{k}'" for k, f in _fragments)
+    + " END"
+)
 q.cte(
     "rel",
-    f"""SELECT {_case(_keys, 'o_custkey', 7)} AS type, {_case(_impw, 'o_custkey', 5)} AS weight, CASE WHEN isodow(o_orderdate::DATE) = 6 THEN o_orderdate::DATE + 2 WHEN isodow(o_orderdate::DATE) = 7 THEN o_orderdate::DATE + 1 ELSE o_orderdate::DATE END AS session,
+    f"""SELECT {_classified} AS type, {_case(_impw, 'o_custkey', 5)} AS weight, CASE WHEN isodow(o_orderdate::DATE) = 6 THEN o_orderdate::DATE + 2 WHEN isodow(o_orderdate::DATE) = 7 THEN o_orderdate::DATE + 1 ELSE o_orderdate::DATE END AS session,
     o_totalprice / 1000 AS actual, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 250.0 END AS forecast FROM orders""",
 )
 
@@ -130,7 +138,7 @@ def releases(t):
 
     pick = lambda vals, n: F.element_at(F.array(*[F.lit(v) for v in vals]), (F.col("o_custkey") % n + 1).cast("int"))
     o = t.raw("orders").select(
-        pick(_names, 7).alias("name"), pick(_imp, 5).alias("importance"), roll_to_weekday(F.col("o_orderdate").cast("date")).alias("session"),
+        pick(_names, len(_names)).alias("name"), pick(_imp, 5).alias("importance"), roll_to_weekday(F.col("o_orderdate").cast("date")).alias("session"),
         (F.col("o_totalprice") / 1000).alias("actual"), F.when(F.col("o_orderstatus") != "F", 250.0).alias("forecast"), "o_orderkey",
     )
     return o.withColumns({"type": op.event_type("name"), "weight": op.importance_weight("importance")})

@@ -137,13 +137,17 @@ def _(t):
     "unusual_activity",
     337,
     f"{SK} expiry:d strike type:s volume factor label:s rank:i",
-    """SELECT * FROM (SELECT c.*, volume / m AS factor, CASE type WHEN 'call' THEN 'unusual_call_activity' ELSE 'unusual_put_activity' END AS label, row_number() OVER (PARTITION BY c.symbol ORDER BY volume DESC, quote_date, expiry, strike, type) AS rank
-    FROM chain c JOIN (SELECT symbol, quantile_cont(volume, 0.99) AS qq, avg(volume) AS m FROM chain GROUP BY 1) USING (symbol) WHERE volume > qq) WHERE rank <= 10""",
+    """SELECT * FROM (SELECT c.*, volume / greatest(m, 1) AS factor, CASE WHEN strike / spot < 0.8 OR strike / spot > 1.2 THEN 'otm_activity' WHEN volume > 2 * oi THEN 'volume_spike' ELSE 'high_volume' END AS label,
+    row_number() OVER (PARTITION BY c.symbol, c.quote_date ORDER BY volume / greatest(m, 1) DESC, expiry, strike, type) AS rank
+    FROM odd_chain c JOIN (SELECT symbol, quote_date, quantile_cont(volume, 0.99) AS qq, avg(volume) AS m FROM odd_chain WHERE volume > 0 GROUP BY 1, 2) USING (symbol, quote_date) WHERE volume > qq) WHERE rank <= 10""",
 )
 def _(t):
-    return op.unusual_activity(t.chain())
+    # some options with little open interest, some without volume
+    key = F.col("strike").cast("int")
+    return op.unusual_activity(t.chain().withColumns({"oi": F.when(key % 3 == 0, F.col("oi") / 9).otherwise(F.col("oi")), "volume": F.when(key % 7 == 0, 0.0).otherwise(F.col("volume"))}))
 
 
+q.cte("odd_chain", "SELECT * REPLACE (CASE WHEN strike::INT % 3 = 0 THEN oi / 9 ELSE oi END AS oi, CASE WHEN strike::INT % 7 = 0 THEN 0 ELSE volume END AS volume) FROM chain")
 q.cte(
     "strad",
     """SELECT * FROM (SELECT c.symbol, c.quote_date, c.expiry, c.strike, c.spot, c.tte, (c.bid + c.ask) / 2 AS call_mid, (p.bid + p.ask) / 2 AS put_mid, c.iv AS call_iv, p.iv AS put_iv,

@@ -63,7 +63,7 @@ def _(t):
 
 _sq = " + ".join(
     f"CASE WHEN {c} >= {hi} THEN {a} WHEN {c} >= {lo} THEN {b} ELSE 0 END"
-    for c, hi, lo, a, b in (("short_ratio", 0.3, 0.2, 0.4, 0.25), ("days_to_cover", 10, 5, 0.3, 0.2), ("borrow_rate", 0.2, 0.1, 0.2, 0.1), ("utilization", 0.95, 0.85, 0.1, 0.05))
+    for c, hi, lo, a, b in (("short_ratio", 0.3, 0.2, 0.4, 0.25), ("days_to_cover", 10, 5, 0.3, 0.2), ("borrow_rate", 0.15, 0.05, 0.2, 0.1), ("utilization", 0.95, 0.8, 0.1, 0.05))
 )
 
 
@@ -464,7 +464,16 @@ def _(t):
     return rg.smooth_regimes(rg.volatility_ratio_regimes(t.rets()), "regime", 5)
 
 
-@plan("regime_hysteresis", 214, "symbol date regime:i active:i", f"SELECT symbol, date, regime, {q.ffill('CASE WHEN pos = 3 OR (sp = 1 AND pos = 1) THEN regime END')} AS active FROM sg3")
+q.cte("hyl", "SELECT symbol, date, regime, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM vr4")
+q.cte(
+    "hyr",
+    """SELECT symbol, date, regime, i, regime AS active, 0 AS k FROM hyl WHERE i = 1
+    UNION ALL SELECT symbol, date, regime, i, CASE WHEN same OR p + 1 >= 3 THEN regime ELSE a END, CASE WHEN same OR p + 1 >= 3 THEN 0 ELSE p + 1 END
+    FROM (SELECT l.*, r.active AS a, r.k AS p, r.active IS NULL OR coalesce(r.active = l.regime, false) AS same FROM hyr r JOIN hyl l ON l.symbol = r.symbol AND l.i = r.i + 1)""",
+)
+
+
+@plan("regime_hysteresis", 214, "symbol date regime:i active:i", "SELECT symbol, date, regime, active FROM hyr")
 def _(t):
     return rg.hysteresis(rg.volatility_ratio_regimes(t.rets()), "regime", 3)
 

@@ -139,9 +139,15 @@ def _(t):
     return stamp(dt.fold(diag(t), dt.adaptive_conformal(0.1, 0.05), "key", "hour", "value", ("q", "miss")), "hour")
 
 
+def shifted(t):
+    """The hourly series with a jump in level and spread half-way, which an adaptive window must find."""
+    late = F.col("hour") >= F.to_timestamp(F.lit("2024-01-16 00:00:00"))
+    return diag(t).withColumn("value", F.when(late, 1.5 + 5 * F.col("value")).otherwise(F.col("value")))
+
+
 @plan("adwin", 399, "key:s hour:s cut size", why_no_sql="adaptive window; tested against a direct scan of all cuts")
 def _(t):
-    return stamp(dt.fold(diag(t), dt.adwin(0.002, 30, 200), "key", "hour", "value", ("cut", "size")), "hour")
+    return stamp(dt.fold(shifted(t), dt.adwin(0.002, 30, 200), "key", "hour", "value", ("cut", "size")), "hour")
 
 
 @plan("adwin_half", 402, "key:s hour:s detected strength", why_no_sql="adaptive window; tested against a direct scan")
@@ -225,28 +231,42 @@ def _(t):
     return stamp(op.monotone_trend(diag(t), "value", 4, H), "hour")
 
 
-q.cte("dwx", "SELECT key, hour, signal FROM ph JOIN diag_n USING (key, rn)")
-q.cte("dwy", "SELECT *, max(CASE WHEN signal <> 0 THEN hour END) OVER (PARTITION BY key ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM dwx")
+q.cte("dwx", "SELECT key, hour, rn, (signal <> 0)::INT AS hit FROM ph JOIN diag_n USING (key, rn)")
+q.cte(
+    "dwr",
+    """SELECT key, hour, rn, hit AS alerts, hit AS retune, 0 AS retrain, CASE WHEN hit = 1 THEN hour END AS last, CASE WHEN hit = 1 THEN hour END AS first, NULL::TIMESTAMPTZ AS done FROM (SELECT key, hour::TIMESTAMPTZ AS hour, rn, hit FROM dwx) WHERE rn = 1
+    UNION ALL SELECT key, hour, rn, alerts + hit, due, fit, CASE WHEN due = 1 THEN hour ELSE last END, CASE WHEN fit = 1 THEN hour WHEN hit = 1 THEN coalesce(first, hour) ELSE first END, CASE WHEN fit = 1 THEN hour ELSE done END FROM (
+    SELECT d.key, d.hour::TIMESTAMPTZ AS hour, d.rn, d.hit, p.alerts, p.last, p.first, p.done, (d.hit = 1 AND (p.last IS NULL OR date_diff('hour', p.last, d.hour::TIMESTAMPTZ) >= 24))::INT AS due,
+    (d.hit = 1 AND p.first IS NOT NULL AND (p.done IS NULL OR date_diff('hour', p.done, d.hour::TIMESTAMPTZ) >= 120) AND date_diff('hour', p.first, d.hour::TIMESTAMPTZ) >= 72)::INT AS fit FROM dwr p JOIN dwx d ON d.key = p.key AND d.rn = p.rn + 1)""",
+)
 
 
-@plan(
-    "drift_watcher",
-    409,
-    "key:s hour:s signal degradations retune",
-    f"SELECT key, {_h}, signal, sum((signal <> 0)::INT) OVER (PARTITION BY key ORDER BY dwy.hour) AS degradations, (signal <> 0 AND (p IS NULL OR date_diff('hour', p, dwy.hour) >= 24))::INT AS retune FROM dwy",
-)
+@plan("drift_watcher", 409, "key:s hour:s alerts:i retune:i retrain:i", f"SELECT key, {_h}, alerts, retune, retrain FROM dwr")
 def _(t):
     s = dt.fold(diag(t), dt.page_hinkley(0.99, 1.0, 3), "key", "hour", "value")
-    return stamp(op.drift_watch(s, 24, H), "hour")
+    return stamp(dt.watch(s.withColumn("hit", (F.col("signal") != 0).cast("int")), "key", "hour", ("hit",), 24, 72, 120), "hour")
+
+
+@plan("drift_watcher_all", 409, "key:s hour:s alerts:i retune:i retrain:i", why_no_sql="adaptive window; the state rules are checked by drift_watcher, the window by a direct scan")
+def _(t):
+    d = shifted(t)
+    a = dt.fold(d, dt.adwin(0.002, 30, 500), "key", "hour", "value", ("cut", "size")).select("key", "hour", (F.col("cut") > 0).cast("int").alias("by_adwin"))
+    p = dt.fold(d, dt.page_hinkley(0.998, 40.0, 5), "key", "hour", "value").select("key", "hour", (F.col("signal") != 0).cast("int").alias("by_page"))
+    return stamp(dt.watch(a.join(p, ["key", "hour"]), "key", "hour", ("by_adwin", "by_page"), 24 * 7, 24 * 60, 24 * 90), "hour")
 
 
 q.cte("hy0", "SELECT key, hour, rn, CASE WHEN value > 0.25 THEN 'high' WHEN value < 0.18 THEN 'low' ELSE 'mid' END AS st FROM diag_n")
-q.cte("hy1", "SELECT *, CASE WHEN st IS DISTINCT FROM lag(st) OVER (PARTITION BY key ORDER BY hour) THEN 1 ELSE 0 END AS c FROM hy0")
-q.cte("hy2", "SELECT *, sum(c) OVER (PARTITION BY key ORDER BY hour) AS sp FROM hy1")
-q.cte("hy3", "SELECT *, row_number() OVER (PARTITION BY key, sp ORDER BY hour) AS pos FROM hy2")
 
 
-@plan("hysteresis_state", 414, "key:s hour:s active:s", f"SELECT key, {_h}, last_value(CASE WHEN pos = 2 OR rn = 1 THEN st END IGNORE NULLS) OVER (PARTITION BY key ORDER BY hy3.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM hy3")
+q.cte(
+    "hyq",
+    """SELECT key, hour, rn, st AS active, 0 AS k FROM hy0 WHERE rn = 1
+    UNION ALL SELECT key, hour, rn, CASE WHEN a = st OR p + 1 >= 2 THEN st ELSE a END, CASE WHEN a = st OR p + 1 >= 2 THEN 0 ELSE p + 1 END
+    FROM (SELECT l.key, l.hour, l.rn, l.st, r.active AS a, r.k AS p FROM hyq r JOIN hy0 l ON l.key = r.key AND l.rn = r.rn + 1)""",
+)
+
+
+@plan("hysteresis_state", 414, "key:s hour:s active:s", f"SELECT key, {_h}, active FROM hyq")
 def _(t):
     from barloom.operators.regimes import hysteresis
 

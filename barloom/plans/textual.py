@@ -197,10 +197,10 @@ def _(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("orderkey"), op.quarter_start(label).alias("start"))
 
 
-@plan("jurisdiction_normalisation", 382, "suppkey:i jurisdiction:s", "SELECT s_suppkey AS suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'US-New York' WHEN 2 THEN 'Nation_' || s_nationkey ELSE 'Cayman Islands' END AS jurisdiction FROM supplier")
+@plan("jurisdiction_normalisation", 382, "suppkey:i jurisdiction:s", "SELECT s_suppkey AS suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'United States' WHEN 1 THEN 'US-New York' WHEN 2 THEN 'Nation_' || s_nationkey WHEN 3 THEN 'Cayman Islands' ELSE 'Guinea-Bissau (O''X/' || s_nationkey || 'Th)' END AS jurisdiction FROM supplier")
 def _(t):
-    k = F.col("s_suppkey") % 4
-    raw = F.when(k == 0, " usa").when(k == 1, "NEW YORK ").when(k == 2, F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"))).otherwise("cayman islands")
+    k = F.col("s_suppkey") % 5
+    raw = F.when(k == 0, " usa").when(k == 1, "NEW YORK ").when(k == 2, F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"))).when(k == 3, "cayman islands").otherwise(F.concat(F.lit("GUINEA-bissau (o'x/"), F.col("s_nationkey").cast("string"), F.lit("th)")))
     return t.raw("supplier").select(F.col("s_suppkey").alias("suppkey"), op.jurisdiction(raw).alias("jurisdiction"))
 
 

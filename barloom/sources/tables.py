@@ -171,9 +171,9 @@ class Tables:
         li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", F.col("l_shipdate").cast("date").alias("filing_date"))
         p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
         return li.join(p, "l_partkey").select(
-            "symbol", "filing_date", F.when(F.col("l_returnflag") == "A", "P - Purchase").when(F.col("l_returnflag") == "R", "S - Sale").otherwise("G - Gift").alias("code"),
+            "symbol", "filing_date", F.when(F.col("l_returnflag") == "A", " Purchase").when(F.col("l_returnflag") == "R", "s").otherwise("P - Plan").alias("code"),
             F.col("l_quantity").alias("shares"), F.col("l_extendedprice").alias("value"), F.col("l_orderkey").cast("string").alias("name"),
-            F.when(F.col("l_linenumber") == 1, "Chief Executive Officer").when(F.col("l_linenumber") == 2, "Director").otherwise("10% Owner").alias("title"),
+            F.element_at(F.array(*[F.lit(x) for x in ("Chief Executive Officer", "Vice President", "President and CEO", "CEO", "Chief Financial Officer", "10% Owner", "Treasurer")]), F.col("l_linenumber").cast("int")).alias("title"),
         )
 
     def minute_bars(self) -> DataFrame:

@@ -79,10 +79,11 @@ def ddm(warn=2.0, drift=3.0, warmup=30) -> tuple[tuple, Step]:
     return start, step
 
 
-def adwin(delta=0.002, min_size=30, max_size=200, financial=False) -> tuple[tuple, Step]:
+def adwin(delta=0.002, min_size=30, max_size=1000, financial=True) -> tuple[tuple, Step]:
     """Adaptive window: the first cut whose half means differ by more than the bound; the window keeps the newer side.
 
-    The window holds at most `max_size` values. Output: (cut, window size); cut -1 when there is none.
+    Both sides hold `min_size` values, the newer one more than that. With `financial` the cut must also come with another
+    volatility or trend. The window holds at most `max_size` values. Output: (cut, window size); cut -1 when there is none.
     """
 
     def moments(v):
@@ -104,7 +105,7 @@ def adwin(delta=0.002, min_size=30, max_size=200, financial=False) -> tuple[tupl
         w = (*window, x)[-max_size:]
         n = len(w)
         total, left = sum(w), sum(w[:min_size])
-        for i in range(min_size, n - min_size + 1):
+        for i in range(min_size, n - min_size):
             if i > min_size:
                 left += w[i - 1]
             j = n - i
@@ -201,3 +202,37 @@ def stream_fold(df: DataFrame, detector: tuple[tuple, Step], key: str, order: st
     types = dict(df.dtypes)
     schema = f"{key} {types[key]}, {order} {types[order]}, {names[0]} double, {names[1]} double"
     return df.select(key, order, x).groupBy(key).applyInPandasWithState(run, schema, "s array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch(df: DataFrame, key: str, order: str, alerts: tuple[str, ...], retune_hours: float, persist_hours: float, retrain_hours: float) -> DataFrame:
+    """Decisions per key from alert columns (0/1), taken in the order given: `retune` when an alert comes and the last retune is
+    `retune_hours` ago; `retrain` when alerts have gone on for `persist_hours` since the first one (or since the last retrain) and
+    the last retrain is `retrain_hours` ago. `alerts` counts those so far. A true recurrence: folded over each key's rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        retuned = first = retrained = None
+        seen, out = 0, []
+        for at, *flags in pdf[[order, *alerts]].itertuples(index=False):
+            retune = retrain = 0
+            for on in flags:
+                if not on:
+                    continue
+                seen += 1
+                if retuned is None or (at - retuned).total_seconds() >= 3600 * retune_hours:
+                    retune, retuned = 1, at
+                if first is None:
+                    first = at
+                elif retrained is not None and (at - retrained).total_seconds() < 3600 * retrain_hours:
+                    continue
+                elif (at - first).total_seconds() >= 3600 * persist_hours:
+                    retrain, retrained, first = 1, at, at
+            out.append((seen, retune, retrain))
+        res = pdf[[key, order]].copy()
+        for i, name in enumerate(("alerts", "retune", "retrain")):
+            res[name] = [o[i] for o in out]
+        return res
+
+    types = dict(df.dtypes)
+    schema = f"{key} {types[key]}, {order} {types[order]}, alerts long, retune long, retrain long"
+    return df.select(key, order, *alerts).groupBy(key).applyInPandas(run, schema)

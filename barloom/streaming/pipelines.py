@@ -156,15 +156,3 @@ def monotone_trend(df: DataFrame, x: str, k: int, r: Roll) -> DataFrame:
     w = r.frame(k - 1)
     up, dn = F.min("__d").over(w) >= 0, F.max("__d").over(w) <= 0
     return d.withColumn("trend", F.when(full & up, "deteriorating").when(full & dn, "improving").otherwise("none")).drop("__d")
-
-
-def drift_watch(signals: DataFrame, cool_down_hours: int, r: Roll) -> DataFrame:
-    """Retune decisions per key: a detection counts as degradation; a retune is due when none was seen in the cool-down.
-
-    The cool-down is a look-back over detections themselves, so it needs no sequential state.
-    """
-    hit = F.col("signal") != 0
-    prev = F.last(F.when(hit, F.col(r.order[0])), ignorenulls=True).over(r.frame(None, 1))
-    d = signals.withColumns({"__h": hit, "__p": prev})
-    gap = (F.unix_timestamp(r.order[0]) - F.unix_timestamp("__p")) / 3600
-    return d.withColumns({"degradations": F.sum(flag(F.col("__h"))).over(r.frame(None)), "retune": flag(F.col("__h") & (F.col("__p").isNull() | (gap >= cool_down_hours)))}).drop("__h", "__p")
