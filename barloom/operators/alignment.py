@@ -124,7 +124,8 @@ def schedule_lookup(df: DataFrame, schedule: DataFrame, date: str = "date") -> D
     """
     w = Window.partitionBy("family").orderBy("asof")
     s = schedule.withColumn("__end", F.lead("asof").over(w))
-    return df.join(F.broadcast(s), (F.col(date) >= F.col("asof")) & (F.col("__end").isNull() | (F.col(date) < F.col("__end")))).drop("__end")
+    # no hint: the planner broadcasts the schedule where its size allows
+    return df.join(s, (F.col(date) >= F.col("asof")) & (F.col("__end").isNull() | (F.col(date) < F.col("__end")))).drop("__end")
 
 
 def valid_on(df: DataFrame, registry: DataFrame, date: str = "date") -> DataFrame:
@@ -137,24 +138,27 @@ def missing_keys(requested: DataFrame, loaded: DataFrame, key="symbol") -> DataF
     return requested.select(key).distinct().join(loaded.select(key), key, "left_anti")
 
 
-def fund_overlap(holdings: DataFrame, funds: list[str], max_funds: int = 64) -> DataFrame:
-    """Jaccard overlap (percent) of every pair of the listed funds and the number of holdings common to all.
+def fund_overlap(holdings: DataFrame, funds: DataFrame | None = None) -> DataFrame:
+    """Jaccard overlap (percent) of every pair of funds, of those in the table `funds` or of all, and the number of holdings common
+    to all of them.
 
-    Holdings are first reduced to the set of listed funds per security (at most `max_funds` members), so the work per
-    security is bounded however popular it is.
+    Holdings are first reduced to the set of funds per security and equal sets to one row, so a security costs no more
+    however often it is held.
     """
-    if len(funds) > max_funds:
-        raise ValueError(f"{len(funds)} funds listed, limit {max_funds}")
-    h = holdings.where(F.col("fund").isin(funds)).groupBy("security").agg(F.sort_array(F.collect_set("fund")).alias("fs"))
+    if funds is not None:
+        holdings = holdings.join(funds.select("fund"), "fund", "left_semi")
+    h = holdings.groupBy("security").agg(F.sort_array(F.collect_set("fund")).alias("fs"))
     masks = h.groupBy("fs").agg(F.count("*").alias("n"))  # distinct membership patterns
     size = masks.select(F.explode("fs").alias("fund"), "n").groupBy("fund").agg(F.sum("n").alias("size"))
     pair = masks.select(F.explode("fs").alias("fund_a"), "fs", "n").select("fund_a", F.explode("fs").alias("fund_b"), "n").where(F.col("fund_a") <= F.col("fund_b"))
     inter = pair.groupBy("fund_a", "fund_b").agg(F.sum("n").alias("shared"))
     a, b = size.select(F.col("fund").alias("fund_a"), F.col("size").alias("__sa")), size.select(F.col("fund").alias("fund_b"), F.col("size").alias("__sb"))
-    # fund sizes are at most `max_funds` rows, so the all-pairs grid is the bounded result itself
-    grid = F.broadcast(a.join(F.broadcast(b), F.col("fund_a") <= F.col("fund_b")))
+    # every pair of funds is a row of the result
+    grid = a.join(b, F.col("fund_a") <= F.col("fund_b"))
     out = inter.join(grid, ["fund_a", "fund_b"], "right").fillna(0, ["shared"])
-    common = F.broadcast(masks.agg(F.coalesce(F.sum(F.when(F.size("fs") == len(funds), F.col("n"))), F.lit(0)).alias("common_to_all")))
+    widest = masks.groupBy(F.size("fs").alias("__k")).agg(F.sum("n").alias("__n"))
+    all_ = size.agg(F.count("*").cast("int").alias("__k"))
+    common = F.broadcast(all_.join(widest, "__k", "left").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("common_to_all")))  # one row
     pct = F.when(F.col("fund_a") == F.col("fund_b"), 100.0).otherwise(100.0 * F.col("shared") / (F.col("__sa") + F.col("__sb") - F.col("shared")))
     return out.join(common).withColumn("overlap_pct", pct).drop("__sa", "__sb")
 

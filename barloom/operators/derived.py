@@ -228,11 +228,11 @@ def quantile_order_ok(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumn("ordered", flag(reduce(lambda x, y: x & y, steps)))
 
 
-def series_correlations(df: DataFrame, series="symbol", x="ret", names: list[str] = (), strong=0.7, max_names: int = 200) -> DataFrame:
-    """Correlation of every pair of the listed series over common dates (the list is checked; output is its square)."""
-    if len(names) > max_names:
-        raise ValueError(f"{len(names)} series, limit {max_names}")
-    d = df.where(F.col(series).isin(list(names)) & F.col(x).isNotNull()).select("date", F.col(series).alias("a"), F.col(x).alias("xa"))
+def series_correlations(df: DataFrame, series="symbol", x="ret", names: DataFrame | None = None, strong=0.7) -> DataFrame:
+    """Correlation of every pair of series over common dates, of those in the table `names` or of all; the pairs are the result."""
+    if names is not None:
+        df = df.join(names.select(series), series, "left_semi")
+    d = df.where(F.col(x).isNotNull()).select("date", F.col(series).alias("a"), F.col(x).alias("xa"))
     e = d.select("date", F.col("a").alias("b"), F.col("xa").alias("xb"))
     j = d.join(e, "date").where(F.col("a") < F.col("b"))
     g = j.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_pop("xa", "xb").alias("c"), F.stddev_pop("xa").alias("sa"), F.stddev_pop("xb").alias("sb"))
@@ -299,8 +299,8 @@ def neutral_fill(scaffold: DataFrame, sentiment: DataFrame, columns: list[str],
     return d.withColumns({c: F.coalesce(r.ffill(c, limit), F.lit(0.0)) for c in columns})
 
 
-def changed_correlations(before: DataFrame, after: DataFrame, names: list[str], series="symbol", x="ret", k: int = 5) -> DataFrame:
-    """The k pairs of the listed series whose correlation moved most between two periods."""
+def changed_correlations(before: DataFrame, after: DataFrame, names: DataFrame | None = None, series="symbol", x="ret", k: int = 5) -> DataFrame:
+    """The k pairs of series whose correlation moved most between two periods."""
     a = series_correlations(before, series, x, names).select("a", "b", F.col("corr").alias("corr_before"))
     b = series_correlations(after, series, x, names).select("a", "b", F.col("corr").alias("corr_after"))
     j = a.join(b, ["a", "b"]).withColumn("change", F.abs(F.col("corr_after") - F.col("corr_before"))).where(F.col("change").isNotNull())

@@ -84,14 +84,26 @@ def vol_target(weights: DataFrame, returns: DataFrame, target: float, max_scale=
     return df.withColumns({"scale": scale, "w_scaled": F.col("w") * scale})
 
 
-def ewma_covariance(returns: DataFrame, universe: list[str], lam: float = 0.94, max_symbols: int = 200) -> DataFrame:
-    """EWMA covariance of a chosen universe as (symbol_i, symbol_j, cov), weights (1-λ)λ^age by date order.
-
-    The number of pairs is the square of the universe, so its size is checked; sums are partial-aggregated.
+def vol_target_covariance(weights: DataFrame, cov: DataFrame, target: float, max_scale=5.0, trading_days=252) -> DataFrame:
+    """Scale one date's weights to a target volatility under a given covariance (symbol_i <= symbol_j, cov), such as an EWMA or
+    a shrunk one; weights stay as they are where the variance is not a positive number."""
+    w = weights.select("symbol", "w")
+    i, j = w.select(F.col("symbol").alias("symbol_i"), F.col("w").alias("__wi")), w.select(F.col("symbol").alias("symbol_j"), F.col("w").alias("__wj"))
+    twice = F.when(F.col("symbol_i") == F.col("symbol_j"), 1.0).otherwise(2.0)
+    var = cov.join(i, "symbol_i").join(j, "symbol_j").agg(F.sum(twice * F.col("cov") * F.col("__wi") * F.col("__wj")).alias("__v"))
+    df = weights.join(F.broadcast(var))  # one row
+    df = df.withColumn("portfolio_vol", F.when(F.col("__v") > 0, F.sqrt("__v") * math.sqrt(trading_days)))
+    scale = F.coalesce(clip(target / F.col("portfolio_vol"), 0, max_scale), F.lit(1.0)) if target > 0 else F.lit(1.0)
+    return df.withColumn("scale", scale).withColumn("w_scaled", F.col("w") * F.col("scale")).drop("__v")
+
+
+def ewma_covariance(returns: DataFrame, universe: DataFrame | None = None, lam: float = 0.94) -> DataFrame:
+    """EWMA covariance as (symbol_i, symbol_j, cov), weights (1-λ)λ^age by date order; of the symbols in the table `universe`, or
+    of all. Pairs are the result itself; sums are partial-aggregated per pair.
     """
-    if len(universe) > max_symbols:
-        raise ValueError(f"covariance universe has {len(universe)} symbols, limit {max_symbols}")
-    d = returns.where(F.col("symbol").isin(universe)).select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    if universe is not None:
+        returns = returns.join(universe.select("symbol"), "symbol", "left_semi")
+    d = returns.select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
     cal = d.select("date").distinct()
     cal = cal.withColumn("__age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))) - 1)  # one row per session
     d = d.join(cal, "date")

@@ -113,7 +113,8 @@ def chunks(df: DataFrame, x: str, size: int, overlap: int) -> DataFrame:
     d = d.where(n > 0).withColumn("__s", F.sequence(F.lit(0), last, F.lit(step)))
     d = d.withColumn("__c", F.transform("__s", lambda s: F.array_join(F.slice(F.col("__w"), s + 1, F.lit(size)), " ")))
     keep = [c for c in df.columns if c != x]
-    return d.select(*keep, F.posexplode("__c").alias("chunk", "chunk_text"))
+    # an inner explode would add a filter that splits the text anew for every window; the outer one adds none
+    return d.select(*keep, F.posexplode_outer("__c").alias("chunk", "chunk_text")).where(F.col("chunk_text").isNotNull())
 
 
 def headlines_per_day(df: DataFrame, title: str, date: str, keys=("symbol",), per_bucket: int = 256) -> DataFrame:

@@ -289,7 +289,6 @@ def _(t):
     return op.fund_composition(holdings(t))
 
 
-FUNDS = [f"Brand#{i}" for i in range(1, 26)]
 q.cte("fo_size", "SELECT fund, count(*) AS n FROM hold GROUP BY fund")
 q.cte("fo_pair", "SELECT a.fund AS fund_a, b.fund AS fund_b, count(*) AS shared FROM hold a JOIN hold b USING (security) WHERE a.fund <= b.fund GROUP BY 1, 2")
 
@@ -299,10 +298,10 @@ q.cte("fo_pair", "SELECT a.fund AS fund_a, b.fund AS fund_b, count(*) AS shared
     63,
     "fund_a:s fund_b:s shared:i overlap_pct common_to_all:i",
     """SELECT x.fund AS fund_a, y.fund AS fund_b, coalesce(shared, 0) AS shared, CASE WHEN x.fund = y.fund THEN 100.0 ELSE 100.0 * coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)) END AS overlap_pct,
-    (SELECT count(*) FROM (SELECT security FROM hold GROUP BY 1 HAVING count(*) = 25)) AS common_to_all FROM fo_size x JOIN fo_size y ON x.fund <= y.fund LEFT JOIN fo_pair p ON p.fund_a = x.fund AND p.fund_b = y.fund""",
+    (SELECT count(*) FROM (SELECT security FROM hold GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM fo_size))) AS common_to_all FROM fo_size x JOIN fo_size y ON x.fund <= y.fund LEFT JOIN fo_pair p ON p.fund_a = x.fund AND p.fund_b = y.fund""",
 )
 def _(t):
-    return al.fund_overlap(holdings(t), FUNDS)
+    return al.fund_overlap(holdings(t))
 
 
 # ---- experiments ------------------------------------------------------------------------------------------------------------

@@ -194,10 +194,10 @@ def _(t):
     "forecast_block_summary",
     (437, 438),
     "symbol date forecast_mean forecast_sign forecast_dispersion",
-    "SELECT symbol, date, m AS forecast_mean, sign(m) AS forecast_sign, sqrt((pow(q25 - m, 2) + pow(q50 - m, 2) + pow(q75 - m, 2)) / 3) AS forecast_dispersion FROM (SELECT *, (q25 + q50 + q75) / 3 AS m FROM qtape) WHERE abs(m) > 1e-9",
+    "SELECT symbol, date, m AS forecast_mean, sign(m) AS forecast_sign, sqrt((pow(q25 - m, 2) + pow(q50 - m, 2) + pow(q75 - m, 2)) / 3) AS forecast_dispersion FROM (SELECT *, (q25 + q50 + q75) / 3 AS m FROM qtape)",
 )
 def _(t):
-    return op.forecast_summary(t.quantile_tape(), ["q25", "q50", "q75"]).where(F.abs("forecast_mean") > 1e-9)
+    return op.forecast_summary(t.quantile_tape(), ["q25", "q50", "q75"])
 
 
 _pos = "CASE WHEN p <= 0.4 THEN -1 WHEN p >= 0.6 THEN 1 ELSE 0 END"
@@ -253,7 +253,7 @@ q.cte("sc_m", "SELECT symbol, date_trunc('month', date)::DATE AS date, sum(volum
 @plan("series_correlations", 449, "a:s b:s n:i corr strong", "SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, corr(x.v, y.v) AS corr, (abs(corr(x.v, y.v)) >= 0.2)::INT AS strong FROM sc_m x JOIN sc_m y USING (date) WHERE x.symbol < y.symbol GROUP BY 1, 2")
 def _(t):
     m = t.bars().groupBy("symbol", F.trunc("date", "month").alias("date")).agg(F.sum("volume").alias("v"))
-    return op.series_correlations(m, x="v", names=[f"Brand#{i}" for i in range(1, 26)], strong=0.2)
+    return op.series_correlations(m, x="v", strong=0.2)
 
 
 q.cte("cmon", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY date DESC, symbol DESC) AS k FROM tape) WHERE k <= 500")
@@ -322,4 +322,4 @@ q.cte("cc_a", "SELECT x.symbol AS a, y.symbol AS b, corr(x.v, y.v) FILTER (WHERE
 def _(t):
     m = t.bars().groupBy("symbol", F.trunc("date", "month").alias("date")).agg(F.sum("volume").alias("v"))
     cut = F.lit("1998-01-01").cast("date")
-    return op.changed_correlations(m.where(F.col("date") < cut), m.where(F.col("date") >= cut), [f"Brand#{i}" for i in range(1, 26)], x="v")
+    return op.changed_correlations(m.where(F.col("date") < cut), m.where(F.col("date") >= cut), x="v")

@@ -24,7 +24,7 @@ CTES = {
     "avg(l_extendedprice * (1 - l_discount)) / 1000 AS hyg FROM lineitem GROUP BY 1",
     "macro_series": "SELECT *, 'MACRO' AS symbol FROM macro",
     "urgent": "SELECT p_brand AS symbol, CAST(o_orderdate AS DATE) AS event_date, count(*) AS n_events FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
-    "AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2",
+    "JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2",
     "tape0": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS nxt FROM rets",
     "tape": "SELECT symbol, date, rn, (rn - 1) // 60 AS fold_id, 0.6::DOUBLE * sin(volume * 0.37::DOUBLE + rn) AS score, 0.5::DOUBLE + 0.49::DOUBLE * sin(volume * 0.37::DOUBLE + rn) AS p, abs(cos(volume)) AS conf, "
     "0.01::DOUBLE + 0.01::DOUBLE * abs(cos(rn)) AS sigma, least(0.05::DOUBLE, greatest(-0.05::DOUBLE, nxt / 20)) AS y_true, (nxt > 0)::INT AS y, CASE WHEN rn % 2 = 0 THEN 5 ELSE 21 END AS horizon, "

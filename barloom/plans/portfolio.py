@@ -101,20 +101,32 @@ def _(t):
     return op.vol_target(r.groupBy("symbol").agg((F.avg(F.sin("volume")) / 10).alias("w")), r, 0.1)
 
 
-UNIVERSE = [f"Brand#{i}" for i in range(1, 26)]
-q.cte("ew_in", "SELECT symbol, date, coalesce(ret, 0) AS ret FROM rets WHERE symbol IN (" + ", ".join(f"'{u}'" for u in UNIVERSE) + ")")
+@plan(
+    "vol_target_covariance",
+    242,
+    "symbol w portfolio_vol scale w_scaled",
+    """SELECT symbol, w, sqrt(v) * sqrt(252) AS portfolio_vol, CASE WHEN v > 0 THEN greatest(0, least(5, 0.1 / (sqrt(v) * sqrt(252)))) ELSE 1 END AS scale, w * CASE WHEN v > 0 THEN greatest(0, least(5, 0.1 / (sqrt(v) * sqrt(252)))) ELSE 1 END AS w_scaled
+    FROM vt_w, (SELECT sum(CASE WHEN symbol_i = symbol_j THEN 1 ELSE 1.4 END * cov * a.w * b.w) AS v FROM ew_cov JOIN vt_w a ON a.symbol = symbol_i JOIN vt_w b ON b.symbol = symbol_j)""",
+)
+def _(t):
+    r = t.rets()
+    cov = op.shrink_covariance(op.ewma_covariance(r), 0.3)
+    return op.vol_target_covariance(r.groupBy("symbol").agg((F.avg(F.sin("volume")) / 10).alias("w")), cov, 0.1)
+
+
+q.cte("ew_in", "SELECT symbol, date, coalesce(ret, 0) AS ret FROM rets")
 q.cte("ew_cal", "SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM ew_in)")
 q.cte("ew_cov", "SELECT a.symbol AS symbol_i, b.symbol AS symbol_j, sum(0.06 * pow(0.94, age) * a.ret * b.ret) AS cov FROM ew_in a JOIN ew_in b USING (date) JOIN ew_cal USING (date) WHERE a.symbol <= b.symbol GROUP BY 1, 2")
 
 
 @plan("ewma_covariance", 243, "symbol_i:s symbol_j:s cov", "SELECT * FROM ew_cov")
 def _(t):
-    return op.ewma_covariance(t.rets(), UNIVERSE)
+    return op.ewma_covariance(t.rets())
 
 
 @plan("shrink_covariance", 244, "symbol_i:s symbol_j:s cov", "SELECT symbol_i, symbol_j, cov * CASE WHEN symbol_i = symbol_j THEN 1 ELSE 0.7 END AS cov FROM ew_cov")
 def _(t):
-    return op.shrink_covariance(op.ewma_covariance(t.rets(), UNIVERSE), 0.3)
+    return op.shrink_covariance(op.ewma_covariance(t.rets()), 0.3)
 
 
 @plan("transaction_cost", 245, "symbol date cost", "SELECT symbol, date, 0.0005 * abs(w - coalesce(prev_w, 0)) + 0.01 * pow(abs(w - coalesce(prev_w, 0)), 1.5) AS cost FROM book")
@@ -761,7 +773,7 @@ def _(t):
     return ql.worst_nan_columns(qpanel(t), NUM, 2, ["symbol"])
 
 
-q.cte("symcol", "SELECT DISTINCT 'S' || l_suppkey AS symbol, l_returnflag || l_linestatus || (l_linenumber % 4) AS \"column\" FROM lineitem WHERE l_tax > 0.06 AND l_discount > 0.08")
+q.cte("symcol", "SELECT DISTINCT 'S' || l_suppkey AS symbol, l_returnflag || l_linestatus || (l_quantity::INT) AS \"column\" FROM lineitem")
 
 
 @plan(
@@ -771,8 +783,7 @@ q.cte("symcol", "SELECT DISTINCT 'S' || l_suppkey AS symbol, l_returnflag || l_l
     """SELECT s.symbol, c."column", n_symbols, 'missing' AS status FROM (SELECT DISTINCT symbol FROM symcol) s, (SELECT "column", count(DISTINCT symbol) AS n_symbols FROM symcol GROUP BY 1) c WHERE NOT EXISTS (SELECT 1 FROM symcol x WHERE x.symbol = s.symbol AND x."column" = c."column")""",
 )
 def _(t):
-    c = t.raw("lineitem").where((F.col("l_tax") > 0.06) & (F.col("l_discount") > 0.08))
-    c = c.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string")).alias("column"))
+    c = t.raw("lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("column"))
     return ql.schema_differences(c.distinct())
 
 

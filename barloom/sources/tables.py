@@ -116,9 +116,9 @@ class Tables:
         return self.macro().withColumn("symbol", F.lit("MACRO"))
 
     def urgent(self) -> DataFrame:
-        """Sparse dated events per brand: urgent orders whose first line is of that brand."""
+        """Dated events per brand: lines of urgent orders."""
         o = self.raw("orders").where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", F.col("o_orderdate").cast("date").alias("event_date"))
-        li = self.raw("lineitem").where(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey")
+        li = self.raw("lineitem").select("l_orderkey", "l_partkey")
         part = self.raw("part").select("p_partkey", F.col("p_brand").alias("symbol"))
         return (
             o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
