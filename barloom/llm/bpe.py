@@ -104,6 +104,23 @@ def _names(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _whole(size: np.ndarray, shared: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The sequences, one after the other, from what each shares with the one before and the rest."""
+    end, taken = np.cumsum(size), np.cumsum(size - shared)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
+    at, own = end - size + shared, size - shared
+    place = np.arange(len(rest)) - np.repeat(taken - own, own) + np.repeat(at, own)
+    out[place] = rest
+    # item k of a sequence that shares more than k items is that of the sequence before
+    for k in range(int(shared.max()) if len(shared) else 0):
+        has = np.flatnonzero(size > k)
+        source = np.where(shared[has] > k, 0, has)
+        source = np.maximum.accumulate(source)
+        # a sequence without item k ends the run, but then the next one cannot share it
+        out[(end - size)[has] + k] = out[(end - size)[source] + k]
+    return out
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of whole texts: id, n_tokens, ids (unsigned 32-bit little-endian integers in a row; `id_array` gives an array).
 
@@ -130,9 +147,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             order = [i for _, lo, hi in cuts for i in sorted(by_name[lo:hi].tolist(), key=words.__getitem__)]
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
+            # positions hold numbers in the order of frequency; words met once come last, in the order of the text, and share one
+            where = np.concatenate([*found, np.zeros(0, np.uint32)])
+            count = np.bincount(where, minlength=len(words))
+            by_count = np.argsort(-count, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_count] = np.arange(len(words), dtype=np.uint32)
+            often = int((count > 1).sum())
+            where = np.minimum(rank[where], np.uint32(often))
             own = next(ids)
             table = packets.pack_table(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, found)), pa.int64())], names=["id", "n"]))
-            out = [(own, packets.DOCS, packets.pack_parts(table, packets.pack_ints(number[np.concatenate([*found, np.zeros(0, np.uint32)])])))]
+            out = [(own, packets.DOCS, packets.pack_parts(table, packets.pack_small(where), packets.pack_ints(number[by_count]), str(often).encode()))]
             out += [(own, bucket, packets.pack_sorted([words[i] for i in order[lo:hi]])) for bucket, lo, hi in cuts]
             yield packets.rows(out)
 
@@ -146,9 +171,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if (ids := known.get(word)) is None:
                     ids = known[word] = encode_word(word, ranks)
                 found.append(ids)
-            flat = np.fromiter(chain.from_iterable(found), np.int64)
             size = np.fromiter(map(len, found), np.int64, len(found))
-            out.append((batch, bucket, packets.pack_parts(packets.pack_ints(size), packets.pack_ints(flat))))
+            shared, rest = packets.shared_starts(found)
+            out.append((batch, bucket, packets.pack_parts(*[packets.pack_ints(np.array(x, np.int64)) for x in (size, shared, list(chain.from_iterable(rest)))])))
         return pa.Table.from_batches([packets.rows(out)])
 
     encoded = parts.where(F.col("bucket") != packets.DOCS).groupBy("bucket").applyInArrow(encode_bucket, packets.SCHEMA)
@@ -156,14 +181,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def in_order(group: pa.Table, words: pa.Table) -> pa.Table:
-        replies = [packets.unpack_parts(p) for _, p in sorted(zip(words["bucket"].to_pylist(), words["payload"].to_pylist(), strict=True))]
-        none = [np.zeros(0, np.uint32)]
-        size, flat = (np.concatenate(none + [packets.unpack_ints(r[k]) for r in replies]) for k in (0, 1))
+        sizes, flats = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for _, payload in sorted(zip(words["bucket"].to_pylist(), words["payload"].to_pylist(), strict=True)):
+            size, shared, rest = (packets.unpack_ints(x) for x in packets.unpack_parts(payload))
+            sizes.append(size)
+            flats.append(_whole(size.astype(np.int64), shared.astype(np.int64), rest))
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         start = np.cumsum(size, dtype=np.int64) - size
         names, counts, packed = [], [], []
         for payload in group["payload"].to_pylist():
-            table, where = packets.unpack_parts(payload)
-            table, where = packets.unpack_table(table), packets.unpack_ints(where)
+            table, where, number, often = packets.unpack_parts(payload)
+            table, where, number = packets.unpack_table(table), packets.unpack_small(where), packets.unpack_ints(number)
+            once = np.flatnonzero(where == int(often))
+            where[once] += np.arange(len(once), dtype=np.uint32)
+            where = number[where]
             names.append(table.column("id"))
             at = 0
             for n in table.column("n").to_pylist():

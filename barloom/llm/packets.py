@@ -70,6 +70,33 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Unsigned integers most of which are small: one byte below 128, two below 16512, else three, each place by itself."""
+    if len(values) and int(values.max()) >= 16512 + (63 << 16):
+        return pack_parts(b"\0", pack_ints(values))
+    two, three = values >= 128, values >= 16512
+    low = np.where(three, values - np.uint32(16512), np.where(two, values - np.uint32(128), 0)).astype(np.uint32)
+    head = np.where(three, 192 + (low >> 16), np.where(two, 128 + (low >> 8), values)).astype(np.uint8)
+    rest = [(low[two] & 255).astype(np.uint8), ((low[three] >> 8) & 255).astype(np.uint8)]
+    return pack_parts(b"\1", *[squeeze(x.tobytes(), 3) for x in (head, *rest)])
+
+
+def unpack_small(data: bytes) -> np.ndarray:
+    kind, *parts = unpack_parts(data)
+    if kind == b"\0":
+        return unpack_ints(parts[0])
+    head, second, third = (np.frombuffer(expand(p), np.uint8) for p in parts)
+    out = head.astype(np.uint32)
+    two, three = head >= 128, head >= 192
+    low = np.zeros(len(head), np.uint32)
+    low[two] = second
+    middle = np.zeros(len(head), np.uint32)
+    middle[three] = third
+    out[two] = 128 + ((out[two] - 128) << 8) + low[two]
+    out[three] = 16512 + ((head[three].astype(np.uint32) - 192) << 16) + (middle[three] << 8) + low[three]
+    return out
+
+
 def pack_parts(*parts: bytes) -> bytes:
     """Several byte strings as one."""
     return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
@@ -82,9 +109,9 @@ def unpack_parts(data: bytes) -> list[bytes]:
     return [data[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
 
 
-def pack_sorted(values: list[bytes]) -> bytes:
-    """Sorted byte strings: how much each shares with the one before, and the rest."""
-    shared, rest, before = [], [], b""
+def shared_starts(values: list) -> tuple[list[int], list]:
+    """How many items each sequence shares with the start of the one before, and the rest of it."""
+    shared, rest, before = [], [], ()
     for value in values:
         n, most = 0, min(len(before), len(value))
         while n < most and before[n] == value[n]:
@@ -92,6 +119,12 @@ def pack_sorted(values: list[bytes]) -> bytes:
         shared.append(n)
         rest.append(value[n:])
         before = value
+    return shared, rest
+
+
+def pack_sorted(values: list[bytes]) -> bytes:
+    """Sorted byte strings: how much each shares with the one before, and the rest."""
+    shared, rest = shared_starts(values)
     return pack_parts(pack_ints(np.array(shared, np.int64)), pack_ints(np.fromiter(map(len, rest), np.int64, len(rest))), squeeze(b"".join(rest), 3))
 
 
