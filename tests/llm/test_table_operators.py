@@ -234,7 +234,7 @@ def test_audit_finds_what_differs(spark):
     all_ = packed.count()
     assert fixity.audit(packed, packed.limit(0)).where("status = 'missing'").count() == all_
     bad = packed.where("page_id % 40 <> 7 OR page_id IS NULL").withColumn("record", F.when(F.col("page_id") % 30 == 4, F.reverse("record")).when(F.col("page_id") % 30 == 6, F.lit(None)).otherwise(F.col("record")))
-    extra = packed.where("page_id = 100").select(*[F.lit("other.warc").alias(c) if c == "archive" else F.col(c) for c in packed.columns])
+    extra = packed.where("page_id = 101").select(*[F.lit("other.warc").alias(c) if c == "archive" else F.col(c) for c in packed.columns])
     found = Counter(r.status for r in fixity.audit(packed, bad.unionByName(extra)).collect())
     at = "page_id % 40 <> 7 AND (page_id % 30 = 4 OR page_id % 30 = 6)"
     assert found == Counter(altered=packed.where(at).count(), missing=packed.where("page_id % 40 = 7").count(), extra=1)
