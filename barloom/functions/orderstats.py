@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import col
 
 
+#: distinct values of a bucket, and the most split points that a row is compared with
+PER_BUCKET, MOST_BUCKETS = 1_000_000, 4096
+
+
 def ranked_values(df: DataFrame, keys, x: str, buckets: int = 64) -> DataFrame:
     """One row per (keys, value): cnt, below (rows with a smaller value), total, dense (1-based), distinct."""
     keys = list(keys)
     d = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("cnt"))
     sizes = d.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("cnt").alias("total"))
     d = d.join(sizes, keys) if keys else d.join(F.broadcast(sizes))  # without keys the sizes are one row
-    step = F.greatest(F.lit(1), F.floor(F.col("distinct") / buckets)).cast("bigint")
+    # buckets follow the distinct values, so that one holds about PER_BUCKET of them
+    wanted = F.greatest(F.lit(buckets), F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("distinct") / PER_BUCKET)))
+    step = F.greatest(F.lit(1), F.floor(F.col("distinct") / wanted)).cast("bigint")
     splits = d.where((F.col("distinct") > 4 * buckets) & (F.pmod(F.xxhash64(x), step) == 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(x)).alias("__cut"))
     d = d.join(splits, keys, "left") if keys else d.join(F.broadcast(splits), F.lit(True), "left")
     d = d.withColumn("__b", F.when(F.col("__cut").isNull(), 0).otherwise(F.size(F.filter("__cut", lambda s: s < F.col(x))))).drop("__cut")

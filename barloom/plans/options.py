@@ -81,7 +81,7 @@ def greeks(t):
     return op.black_scholes(t.chain())
 
 
-@plan("black_scholes", 366, f"{SK} expiry:d strike type:s price delta gamma vega theta rho", "SELECT * FROM greeks")
+@plan("black_scholes", 366, f"{SK} expiry:d strike type:s price:m delta:m gamma:m vega:m theta:m rho:m", "SELECT * FROM greeks")
 def _(t):
     return greeks(t)
 

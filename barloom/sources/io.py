@@ -46,11 +46,11 @@ def stable_shape(df: DataFrame, allowed: list[str], family: str, keys=("symbol",
 
 
 def write_snapshot(df: DataFrame, path: str, meta: dict[str, str], overwrite: bool = False) -> bool:
-    """Snapshot partitioned by date with its metadata beside it; an existing snapshot is left alone."""
+    """Snapshot partitioned by date with its metadata beside it; a finished snapshot is left alone. The metadata is written last
+    and its commit marker says that the snapshot is whole, so what a job that died has left is written again."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if exists and not overwrite:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker) and not overwrite:
         return False
     df.write.mode("overwrite").partitionBy("date").parquet(f"{path}/data")
     spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")

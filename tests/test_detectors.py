@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,23 +29,47 @@ def jump():
     return [random.random() * 0.2 for _ in range(120)] + [0.8 + random.random() * 0.2 for _ in range(120)]
 
 
-def test_adwin_first_cut_matches_a_scan_of_all_cuts(jump):
+@pytest.mark.parametrize("financial", [False, True])
+def test_adwin_first_cut_matches_a_scan_of_all_cuts(jump, financial):
     window, want = [], []
+    jump = jump + [0.9 + 3 * (x - 0.9) for x in jump[-100:]]
+
+    def other(a, b):
+        spread, trend = [float(np.std(v)) for v in (a, b)], [float(np.polyfit(range(len(v)), v, 1)[0]) for v in (a, b)]
+        return max(spread) / (min(spread) + 1e-8) > 2 or abs(trend[0] - trend[1]) > 0.1
     for x in jump:
         window = (window + [x])[-200:]
         n, cut = len(window), None
-        for i in range(20, n - 20 + 1):
+        for i in range(20, n - 20):
             a, b = window[:i], window[i:]
-            if abs(sum(a) / len(a) - sum(b) / len(b)) > math.sqrt(2 * (1 / len(a) + 1 / len(b)) * math.log(2 * n / 0.002)):
+            if abs(sum(a) / len(a) - sum(b) / len(b)) > math.sqrt(2 * (1 / len(a) + 1 / len(b)) * math.log(2 * n / 0.002)) and (not financial or other(a, b)):
                 cut = i
                 break
         want.append(float(cut) if cut else -1.0)
         if cut:
             window = window[cut:]
-    got = [o[0] for o in walk(dtc.adwin(0.002, 20, 200), jump)]
+    got = [o[0] for o in walk(dtc.adwin(0.002, 20, 200, financial), jump)]
     assert got == want
 
 
+def test_watch_keeps_its_cool_downs(spark):
+    hours = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=10 * i) for i in range(12)]
+    df = spark.createDataFrame(pd.DataFrame({"key": "k", "hour": hours, "a": [int(i not in (1, 2)) for i in range(12)], "b": 0}))
+    out = dtc.watch(df, "key", "hour", ("a", "b"), 24, 48, 40).orderBy("hour").toPandas()
+    # alerts at 0, 30, 40, ... hours; the cool-down runs from the last retune
+    assert [10 * i for i in range(12) if out.retune[i]] == [0, 30, 60, 90]
+    assert [10 * i for i in range(12) if out.retrain[i]] == [50, 100]
+    assert out.alerts.tolist()[-1] == 10
+
+
+def test_hysteresis_counts_rows_unlike_the_active_label(spark):
+    from barloom.operators.regimes import hysteresis
+
+    days = [pd.Timestamp("2024-01-01") + pd.Timedelta(days=i) for i in range(9)]
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "date": days, "l": list("abcbacbbb")}))
+    assert "".join(r.active for r in hysteresis(df, "l", 3).orderBy("date").collect()) == "aaabbbbbb"
+
+
 def test_adwin_half_detects_the_jump(jump):
     hits = [i for i, o in enumerate(walk(dtc.adwin_half(0.002), jump)) if o[0]]
     assert hits and 120 <= hits[0] < 200
