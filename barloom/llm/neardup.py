@@ -6,10 +6,9 @@ meets first (optimal densification). R bins in a row make a band; nodes with the
 R = 4, sets of similarity 0.8 miss each other in all 32 bands with a chance of 5e-8.
 
 A bucket of m nodes gives m - 1 edges, all to one hub. Edges are confirmed on the full sets. A star alone would lose a link
-between two nodes that are both unlike the hub, so buckets whose nodes are not yet all connected get another hub for some
-rounds, and what is then left is compared by signature inside the bucket, in blocks of bounded size, with a threshold that
-true links miss with a chance below 1e-8. Nodes already connected are never compared again, which keeps large groups of
-copies linear.
+between two nodes that are both unlike the hub, so buckets whose nodes are not yet all connected get another hub, and what is
+then left is compared by full sets inside the bucket, in blocks of bounded size that return only links which connect something
+new. Nodes already connected are never paired again, which keeps large groups of copies linear.
 """
 
 from __future__ import annotations
@@ -28,11 +27,11 @@ from barloom.llm.words import Words, blocks, combine, mix
 
 U64 = np.uint64
 K, R = 128, 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: hubs that a bucket may get before its rest is compared in blocks
-HUBS = 4
+HUBS = 2
 #: nodes of one side of a block
-SIDE = 2048
+SIDE = 1024
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -95,18 +94,17 @@ def _node(own: np.ndarray) -> bytes:
 
 
 def _sketch(slim: DataFrame, size: int, least: int) -> DataFrame:
-    """id, text keys, n and, for sets of `least` shingles or more, bands and a byte per bin."""
+    """id, text keys, n and, for sets of `least` shingles or more, bands."""
     schema = T.StructType(
         [*[slim.schema[c] for c in ("id", "t1", "t2")]]
-        + [T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+        + [T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(batch.column("text"), size)
             wide = [i for i, s in enumerate(sets) if len(s) >= least]
-            sig = signatures([sets[i] for i in wide])
-            band, low = bands(sig), sig.astype(np.uint8)
+            band = bands(signatures([sets[i] for i in wide]))
             at = {i: k for k, i in enumerate(wide)}
             yield pa.RecordBatch.from_arrays(
                 [
@@ -114,7 +112,6 @@ def _sketch(slim: DataFrame, size: int, least: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([band[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
-                    pa.array([low[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
                 ],
                 names=schema.names,
             )
@@ -164,19 +161,20 @@ def _components(links: DataFrame, most: int = 60) -> DataFrame:
     Every step keeps components as they are and only shortens paths to their least node."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = cut(edges, "edges")
+    print_ = [F.count("*"), F.bit_xor(F.xxhash64("u", "v"))]
+    before = edges.agg(*print_).first()
     for _ in range(most):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = cut(small, "small")
-        moved = small.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(small, ["u", "v"], "left_anti").limit(1).count()
-        drop(edges, large)
-        edges = small
-        if not moved:
+        drop(edges)
+        edges, after = small, small.agg(*print_).first()
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -186,38 +184,50 @@ def _sizes_allow(n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected nodes of one bucket whose signatures do not rule a link out.
+def _overlaps(sets: list[np.ndarray], own: np.ndarray, others: np.ndarray):
+    """For each set in `own`: its number and how many shingles it shares with each set in `others`."""
+    flat = np.concatenate([sets[j] for j in others.tolist()])
+    owner = np.repeat(np.arange(len(others)), [len(sets[j]) for j in others.tolist()])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i in own.tolist():
+        lo, hi = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        yield i, np.bincount(owner[at], minlength=len(others))
 
-    `members`: key, node, label, n, sig. A large bucket is dealt into blocks of SIDE nodes against SIDE nodes."""
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+
+def _rest(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between unconnected nodes of one bucket, by their full sets; of several that join the same two components one.
+
+    `members`: key, node, label, packed. A large bucket is dealt into blocks of SIDE nodes against SIDE nodes, so what a task
+    holds is bounded, and what it returns is less than the nodes it has seen."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"), F.bit_xor(F.xxhash64("node")).alias("x"), F.count("*").alias("m"))
+    # the same nodes often meet in several bands
+    parts = sizes.groupBy("x", "m", "parts").agg(F.min("key").alias("key")).select("key", "parts")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = members.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "n", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "packed")
     schema = "a binary, b binary"
 
-    def pairs(group: pa.Table) -> pa.Table:
-        p, q = group["p"][0].as_py(), group["q"][0].as_py()
-        own, n = group["own"].to_numpy(), group["n"].to_numpy()
-        node, label = group["node"].to_pylist(), np.unique(np.array([x.hex() for x in group["label"].to_pylist()]), return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, K)
-        out_a, out_b = [], []
+    def links(group: pa.Table) -> pa.Table:
+        p, q, own = group["p"][0].as_py(), group["q"][0].as_py(), group["own"].to_numpy()
+        node, open_ = group["node"].to_pylist(), zstandard.ZstdDecompressor().decompress
+        sets = shingle_sets(pa.array([open_(x).decode() for x in group["packed"].to_pylist()], pa.large_string()), size)
+        n, label = np.array([len(s) for s in sets]), np.unique(np.array([x.hex() for x in group["label"].to_pylist()]), return_inverse=True)[1]
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        for i in left.tolist():
-            to = right[right > i] if p == q else right
-            to = to[(label[to] != label[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
-            if not len(to):
-                continue
-            alike = (sig[to] == sig[i]).mean(axis=1)
-            s = percent / 100
-            floor = s - 6 * np.sqrt(s * (1 - s) * (1 / K + 1 / np.minimum(n[to], n[i])))
-            to = to[alike >= floor]
-            out_a += [node[i]] * len(to)
-            out_b += [node[j] for j in to.tolist()]
+        out_a, out_b = [], []
+        if len(left) and len(right):
+            for i, shared in _overlaps(sets, left[(np.bincount(label[right], minlength=label.max() + 1)[label[left]] < len(right))], right):
+                alike = right[100 * shared >= percent * (n[i] + n[right] - shared)]
+                for to in np.unique(label[alike[label[alike] != label[i]]]).tolist():
+                    j = int(alike[label[alike] == to][0])
+                    out_a.append(min(node[i], node[j]))
+                    out_b.append(max(node[i], node[j]))
+                    label[label == to] = label[i]
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    found = dealt.groupBy("key", "p", "q").applyInArrow(pairs, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("key", "p", "q").applyInArrow(links, schema)
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,14 +245,14 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     least = -(-percent // max(1, 100 - percent))
     sketch = cut(_sketch(slim, size, least), "sketch")
     some = sketch.where("n > 0")
-    nodes = cut(some.groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "t1", "t2")).alias("of"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    nodes = cut(some.groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct("id", "t1", "t2")).alias("of"), F.first("bands").alias("bands")), "nodes")
     in_bucket = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
     shared = in_bucket.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     buckets = cut(in_bucket.join(shared, "key"), "buckets")
     asked = buckets.select("node").distinct().join(nodes.select("node", F.col("of.id").alias("i"), F.col("of.t1").alias("u1"), F.col("of.t2").alias("u2")), "node")
     packed = _packed(slim)
     texts = cut(packed.join(asked, (packed.t1 == asked.u1) & (packed.t2 == asked.u2) & packed.id.eqNullSafe(asked.i)).select("node", "packed").dropDuplicates(["node"]), "texts")
-    about = cut(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "sig"), "about")
+    about = cut(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n"), "about")
 
     links, labels = None, about.select("node", F.col("node").alias("label"))
     for round_ in range(HUBS + 1):
@@ -256,9 +266,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
             a, b = about.select(F.col("node").alias("hub"), F.col("n").alias("n_a")), about.select("node", F.col("n").alias("n_b"))
             edges = star.join(a, "hub").join(b, "node").where(_sizes_allow(F.col("n_a"), F.col("n_b"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            edges = _rest(state.join(open_.select("key"), "key").join(about, "node"), percent)
+            edges = _rest(state.join(open_.select("key"), "key").join(texts, "node"), size, percent)
         edges = cut(edges, "star")
-        found = cut(_confirm(edges, texts, size, percent), "links")
+        found = cut(_confirm(edges, texts, size, percent), "links") if round_ < HUBS else edges
         if found.limit(1).count():
             links = found if links is None else links.unionAll(found)
             known = cut(_components(links), "known")

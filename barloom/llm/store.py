@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,11 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def _rows_of_text(spark: SparkSession):
+    """Arrow batches of fewer rows while a table is written: the usual 10,000 hold tens of MB of text, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(1000, int(before)) if int(before) > 0 else 1000))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """`df` written once and read back: a lost executor re-reads the files, and both readers of a result see the same rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _rows_of_text(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
     WRITTEN.append(path)
