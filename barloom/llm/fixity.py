@@ -32,8 +32,8 @@ def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """The pages as records with their place: page_id, archive, offset, record, and the columns of `pages`.
 
     Archives take PER_ARCHIVE ids in a row. Pages without an id are spread over archives of their own by content. Offsets come
-    from the lengths alone, so pages are shuffled without their bytes; rows that repeat are records of their own, told apart by
-    url and content, and equal rows are interchangeable.
+    from the lengths alone, a slim table, and are then joined to the pages; rows that repeat are records of their own, told
+    apart by url and content, and equal rows are interchangeable.
     """
     text = record(F.col(url_col), F.col(id_col), F.col(html_col))
     loose = F.concat(F.lit("loose-"), F.hex(F.xxhash64(url_col, html_col)).substr(1, 3))
