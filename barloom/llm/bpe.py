@@ -121,7 +121,7 @@ def _whole(size: np.ndarray, shared: np.ndarray, rest: np.ndarray) -> np.ndarray
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Ids of whole texts: id, n_tokens, ids (unsigned 32-bit little-endian integers in a row; `id_array` gives an array).
 
     A null text counts as empty: no ids. Ids of rows are carried, never interpreted, so null and repeated ids give a row each;
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = packets.batch_ids()
-        for batch in blocks(batches, "text", BLOCK_BYTES):
+        for batch in blocks(batches, "text", block_bytes):
             known = _Words(pattern)
             texts = batch.column("text")
             found = [np.fromiter(chain.from_iterable(map(known.__getitem__, known.chunks(t))), np.uint32) if (t := texts[i].as_py()) else np.zeros(0, np.uint32) for i in range(len(texts))]

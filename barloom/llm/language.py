@@ -27,7 +27,7 @@ SAMPLE_LETTERS = 200_000
 SAMPLE_DOCS, SAMPLE_POINTS = 64, 2_000
 #: letters read without a break; a longer text is read in parts, each beginning a phrase
 PART = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 
 

@@ -18,6 +18,10 @@ from barloom.llm import bpe, language, mixing, neardup, privacy, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: rows of an Arrow batch: whole texts, in the JVM and in Python at once
+BATCH_ROWS = 500
+#: bytes of text whose words are made distinct together: smaller than the operator's own, beside the memory of other stages
+BLOCK_BYTES = 3 << 20
 
 #: tables of the stages of the run that goes on
 _made: list[str] = []
@@ -29,6 +33,7 @@ def _stage(first: bool = False):
     def wrap(build: Callable[[SparkSession, DataFrame, str], DataFrame]):
         @functools.wraps(build)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
             if not first:
                 read = docs.inputFiles()
                 store.drop_paths(spark, [p for p in _made if not any(p.split(":")[-1].lstrip("/") in f for f in read)])
@@ -77,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (unsigned 32-bit little-endian), and digests of them and of the bytes that they decode to."""
     ranks = public_tokenizers.path(RANKS)
-    found = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    found = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=BLOCK_BYTES), ranks)
     return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
