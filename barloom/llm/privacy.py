@@ -1,12 +1,12 @@
 """Personal data and the terms that give it away.
 
-Patterns find the personal data itself. Each value found is a protected entity; the corpus tells how much a term near it
-reveals: the pointwise mutual information of term and entity, log(p(e, t) / (p(e) p(t))), against the information of the entity
-itself, -log p(e). A term that reveals at least the share `alpha` of it is generalised to its class (number, name, word) if the
-class reveals less than that, and removed if not. Probabilities are shares of documents, counted over the whole corpus.
+Patterns find the personal data itself. Each value found is a protected entity; the corpus tells how much a term reveals of it:
+the pointwise mutual information of term and entity, log(p(e, t) / (p(e) p(t))), against the information of the entity itself,
+-log p(e). A term that reveals at least the share `alpha` of it is generalised to its class (number, name, word) if the class
+reveals less than that, and removed if not. Probabilities are shares of documents, counted over the whole corpus.
 
-Terms are looked at within `reach` terms of an entity, in every document that holds it, and need `support` such documents: what
-is met once tells nothing about the corpus.
+A document holds a term wherever it stands in it outside the personal data, and `support` documents must hold both: what is met
+once tells nothing about the corpus. A term that reveals an entity is replaced wherever it stands, in any document.
 """
 
 from __future__ import annotations
@@ -16,19 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.store import cut, drop
-from barloom.llm.words import MARKS, Words, blocks
+from barloom.llm.words import LOWER, MARKS, Words, blocks
 
 BLOCK_BYTES = 2 << 20
 #: fixed values: kinds in the order of reports
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CLASSES = ("number", "name", "word")
+#: what is counted: documents, and those that hold a term, an entity or a term of a class
+_DOC, _TERMS, _ENTITY, _CLASS = range(4)
+#: pairs of entity and term that a task adds up at a time
+PAIRS = 1 << 20
+#: bits of a filter over names, and where a name's own bits are read from it
+FILTER_BITS, _SHIFTS = 1 << 25, (0, 19, 39)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits that fails from its start fails from everywhere in it
@@ -90,85 +97,178 @@ def class_of(term: str) -> str:
     return CLASSES[0] if _DIGIT.search(term) else CLASSES[1] if term[:1].isupper() else CLASSES[2]
 
 
-def _low(term: str) -> bytes:
-    return bytes(b + 32 if 65 <= b <= 90 else b for b in term.encode())
-
-
 def _name(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}".encode()) - (1 << 63)
 
 
-def _neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the terms within reach of each span, those inside spans left out."""
-    inside = sorted((a, b) for _, a, b in spans)
-    terms, k = [], 0
-    for m in _TERM.finditer(text):
-        a, b = m.span()
-        while k < len(inside) and inside[k][1] <= a:
-            k += 1
-        # spans of different kinds may overlap, so look at the next ones too
-        if not any(s < b and a < e for s, e in inside[k : k + 4]):
-            terms.append((a, b))
-    starts = [a for a, _ in terms]
-    out = []
-    for kind, a, b in spans:
-        entity, at = _name(kind, text[a:b]), int(np.searchsorted(starts, a))
-        out += [(entity, text[s:e], s, e) for s, e in terms[max(0, at - reach) : at + reach]]
-    return out
+def _blank(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks for the spans and the terms that reach into them: as long as before."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if _TERM.match(text, a):
+            while a > at and _TERM.match(text[a - 1]):
+                a -= 1
+        if _TERM.match(text[b - 1]) and (m := _TERM.match(text, b)):
+            b = m.end()
+        if b > at:
+            out += [text[at:a], " " * (b - max(a, at))]
+            at = b
+    return "".join([*out, text[at:]])
 
 
-NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.BinaryType()), T.StructField("class", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+def _classes(words: Words) -> np.ndarray:
+    """`class_of` each word, as its place in CLASSES."""
+    raw = words._raw
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57), dtype=np.int32)])
+    first = raw[words.starts]
+    upper = (first >= 65) & (first <= 90)
+    wide = np.flatnonzero(first >= 128)
+    if len(wide):
+        size = np.where(first[wide] < 0xE0, 2, np.where(first[wide] < 0xF0, 3, 4))
+        padded = np.concatenate([raw, np.zeros(4, np.uint8)])
+        letter = padded[words.starts[wide][:, None] + np.arange(4)]
+        letter[np.arange(4) >= size[:, None]] = 0
+        codes, at = np.unique(np.ascontiguousarray(letter).view("<u4").ravel(), return_inverse=True)
+        upper[wide] = np.array([c.tobytes().rstrip(b"\0").decode().isupper() for c in codes])[at]
+    return np.where(digits[words.ends] > digits[words.starts], 0, np.where(upper, 1, 2))
 
 
-def detect(docs: DataFrame, reach: int, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns in `keep`, row (a number of its own), base spans, and the terms near them."""
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_row", T.LongType()), T.StructField("_base", SPANS), T.StructField("_near", NEAR)])
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.binary()), ("class", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+class _Block:
+    """The personal data of several texts, and their terms outside it: names of the terms in lower case, and classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def __init__(self, column: pa.Array):
+        self.texts = [t or "" for t in column.to_pylist()]
+        self.found = [find(t) for t in self.texts]
+        self.blank = pa.array([_blank(t, f) if f else t for t, f in zip(self.texts, self.found, strict=True)], pa.large_string())
 
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            base, near = [], []
-            for i in range(batch.num_rows):
-                text = batch.column(text_col)[i].as_py() or ""
-                found = find(text)
-                base.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near.append([{"entity": e, "term": _low(t), "class": CLASSES.index(class_of(t)), "start": a, "end": b} for e, t, a, b in (_neighbours(text, found, reach) if found else ())])
-            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], rows, pa.array(base, span_type), pa.array(near, near_type)], names=schema.names)
+    def entities(self, i: int) -> np.ndarray:
+        return np.unique(np.array([_name(kind, self.texts[i][a:b]) for kind, a, b in self.found[i]], np.int64))
+
+    def terms(self, rows: list[int] | None = None) -> Words:
+        words = Words(self.blank if rows is None else self.blank.take(pa.array(rows, pa.int64())), MARKS)
+        words.classes = _classes(words)
+        words.bytes, words._raw = words._raw, LOWER[words._raw]
+        words.called = words.names().view(np.int64)
+        return words
+
+
+def _parts(words: Words) -> Iterator[slice]:
+    return (slice(a, b) for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False))
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
+def counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """kind, name, n: all documents, and those that hold each term, entity and class, added up per batch before they are shuffled."""
 
-def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """term (64-bit name), n: documents that hold each term of the corpus, counted per batch before they are shuffled."""
-    schema = "term long, n long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col, BLOCK_BYTES):
+            block = _Block(batch.column(text_col))
+            words = block.terms()
+            once = {
+                _DOC: [np.zeros(batch.num_rows, np.int64)],
+                _TERMS: [np.unique(words.called[part]) for part in _parts(words)],
+                _ENTITY: [block.entities(i) for i, f in enumerate(block.found) if f],
+                _CLASS: [np.unique(words.classes[part]) for part in _parts(words)],
+            }
+            for kind, names in once.items():
+                name, n = np.unique(np.concatenate([*names, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), kind), pa.int32()), pa.array(name, pa.int64()), pa.array(n, pa.int64())], names=["kind", "name", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+
+
+def together(docs: DataFrame, text_col: str, asked: np.ndarray) -> DataFrame:
+    """entity, kind (term or class), name, n_both: documents that hold both, wherever in the text, for the entities that pass the
+    filter; added up per batch, a bounded number of pairs at a time, before they are shuffled."""
+
+    def added(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        entity, kind, name = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((name, kind, entity))
+        entity, kind, name = entity[order], kind[order], name[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (entity[1:] != entity[:-1]) | (kind[1:] != kind[:-1]) | (name[1:] != name[:-1])
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(entity[at], pa.int64()), pa.array(kind[at], pa.int32()), pa.array(name[at], pa.int64()), pa.array(np.diff(np.append(at, len(name))), pa.int64())], names=["entity", "kind", "name", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in blocks(batches, text_col, BLOCK_BYTES):
-            words = Words(batch.column(text_col), MARKS, lower=True)
-            names = words.names()
-            once = [np.unique(names[a:b]) for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False)]
-            terms, n = np.unique(np.concatenate([*once, names[:0]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+            block = _Block(batch.column(text_col))
+            named = {i: block.entities(i) for i, f in enumerate(block.found) if f}
+            protected = {i: e[_passes(asked, e)] for i, e in named.items() if _passes(asked, e).any()}
+            if not protected:
+                continue
+            words = block.terms(list(protected))
+            for entities, part in zip(protected.values(), _parts(words), strict=True):
+                terms, classes = np.unique(words.called[part]), np.unique(words.classes[part]).astype(np.int64)
+                names = np.concatenate([terms, classes])
+                kinds = np.repeat(np.array([_TERMS, _CLASS], np.int32), [len(terms), len(classes)])
+                step = max(1, PAIRS // max(1, len(names)))
+                for lo in range(0, len(entities), step):
+                    own = entities[lo : lo + step]
+                    held.append((np.repeat(own, len(names)), np.tile(kinds, len(own)), np.tile(names, len(own))))
+                    size += len(own) * len(names)
+                    if size >= PAIRS:
+                        yield added(held)
+                        held, size = [], 0
+        if held:
+            yield added(held)
+
+    return docs.select(text_col).mapInArrow(run, "entity long, kind int, name long, n long").groupBy("entity", "kind", "name").agg(F.sum("n").alias("n_both"))
+
+
+def _bits(name: np.ndarray, shift: int) -> np.ndarray:
+    return ((name.view(np.uint64) >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column `name`, of one size however many there are: lets all of them pass, and few others."""
+    bit = F.explode(F.array(*[F.shiftrightunsigned("name", s).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) for s in _SHIFTS]))
+    found = names.select(bit.alias("bit")).groupBy(F.expr("cast(shiftright(bit, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
 
-    return docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n_term"))
+
+def _passes(wanted: np.ndarray, name: np.ndarray) -> np.ndarray:
+    out = np.ones(len(name), bool)
+    for shift in _SHIFTS:
+        bit = _bits(name, shift)
+        out &= (wanted[bit >> 6] >> (bit & 63)) & 1 == 1
+    return out
 
 
-def _named(near: DataFrame) -> DataFrame:
-    """The terms' 64-bit names beside their bytes, as `term_counts` gives them."""
+MAYBE = T.ArrayType(T.StructType([T.StructField("name", T.LongType()), T.StructField("class", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def detect(docs: DataFrame, text_col: str, keep: list[str], wanted: np.ndarray) -> DataFrame:
+    """The columns in `keep`, row (a number of its own), base spans, and every term that passes the filter, wherever it stands."""
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_row", T.LongType()), T.StructField("_base", SPANS), T.StructField("_maybe", MAYBE)])
+    span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = Words(batch.column("term").cast(pa.string())).names()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.view(np.int64), pa.int64())], names=[*batch.schema.names, "name"])
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 36
+        for batch in blocks(batches, text_col, BLOCK_BYTES):
+            block = _Block(batch.column(text_col))
+            base = [[{"kind": k, "start": a, "end": b} for k, a, b in found] for found in block.found]
+            words = block.terms()
+            at = np.flatnonzero(_passes(wanted, words.called))
+            # bytes to code points, counted from the start of each text
+            points = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80, dtype=np.int32)])
+            text = np.searchsorted(words.first, at, side="right") - 1
+            sizes = pc.binary_length(block.blank).to_numpy(zero_copy_only=False)
+            origin = points[np.concatenate([[0], np.cumsum(sizes)])[text].astype(np.int64)]
+            maybe = pa.StructArray.from_arrays(
+                [pa.array(words.called[at], pa.int64()), pa.array(words.classes[at], pa.int32()), pa.array(points[words.starts[at]] - origin, pa.int32()), pa.array(points[words.ends[at]] - origin, pa.int32())], names=["name", "class", "start", "end"]
+            )
+            maybe = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, words.first), pa.int32()), maybe)
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], rows, pa.array(base, span_type), maybe], names=schema.names)
 
-    return near.mapInArrow(run, T.StructType([*near.schema.fields, T.StructField("name", T.LongType())]))
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
 def _share(together: str, term: str, entity: str, total: Column) -> Column:
@@ -178,12 +278,12 @@ def _share(together: str, term: str, entity: str, total: Column) -> Column:
     return F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.9, reach: int = 10, support: int = 2, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.9, support: int = 2, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns in `keep` (all by default) with spans: an array of (kind, start, end, how) by kind as in KINDS, `term` last, then
     start; offsets are code points, end exclusive; how is `value`, `general` or `remove`. `redact` makes texts of it.
 
     A null text counts as empty and has no spans. Repeated rows are documents of their own and count as such. An entity that every
-    document holds tells nothing and protects nothing. `spans` replaces a column of that name.
+    document holds tells nothing and protects nothing. `spans` replaces a column of that name. `docs` is read three times.
     """
     text = F.col(text_col).cast("string")
     names = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
@@ -191,28 +291,27 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, reach: int = 10, support: int
     # columns under names that no column here has, then under their own again
     own = {c: f"in_{i}" for i, c in enumerate(names)}
     renamed = docs.select(F.col(text_col).alias("in_text"), *[F.col(c).alias(n) for c, n in own.items()])
-    detected = cut(detect(renamed, reach, "in_text", list(own.values())), "detected")
-    total = F.lit(float(max(1, detected.count())))
-    # each (document, entity, term) counts once, wherever the term stands
-    near = cut(_named(detected.where(F.size("_near") > 0).select("_row", F.explode("_near").alias("x")).select("_row", "x.*")), "near")
-    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = near.select("_row", "entity", "name").distinct().groupBy("entity", "name").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    counts = term_counts(docs, text_col)
-    share = together.join(counts, F.col("name") == F.col("term")).join(entities, "entity")
-    share = share.withColumn("share", _share("n_both", "n_term", "n_entity", total)).where(F.col("share") >= alpha).select("entity", "name")
-    # a class of terms near any entity at all is itself a term: it may tell as much
-    by_class = near.select("_row", "entity", "class").distinct().groupBy("entity", "class").agg(F.count("*").alias("n_both"))
-    of_class = near.select("_row", "class").distinct().groupBy("class").agg(F.count("*").alias("n_class"))
-    telling = by_class.join(of_class, "class").join(entities, "entity").withColumn("share", _share("n_both", "n_class", "n_entity", total))
-    telling = telling.where((F.col("share") >= alpha) & (F.col("n_both") >= support)).select("entity", "class", F.lit(True).alias("class_tells"))
-    flagged = near.join(share, ["entity", "name"]).join(telling, ["entity", "class"], "left")
-    flagged = flagged.groupBy("_row", "start", "end").agg(F.max(F.coalesce("class_tells", F.lit(False))).alias("gone"))
+    # what fewer than `support` documents hold cannot be held together by as many
+    counts = cut(counted(renamed, "in_text").where(F.col("kind").isin(_DOC, _CLASS) | (F.col("n") >= support)), "counts")
+    total = F.lit(float(max(1, counts.where(F.col("kind") == _DOC).agg(F.sum("n")).first()[0] or 0)))
+    entities = counts.where(F.col("kind") == _ENTITY).select(F.col("name").alias("entity"), F.col("n").alias("n_entity"))
+    pairs = together(renamed, "in_text", _filter(entities.select(F.col("entity").alias("name")))).where(F.col("n_both") >= support)
+    known = counts.where(F.col("kind").isin(_TERMS, _CLASS)).select("kind", "name", F.col("n").alias("n_term"))
+    share = pairs.join(known, ["kind", "name"]).join(entities, "entity")
+    share = cut(share.where(_share("n_both", "n_term", "n_entity", total) >= alpha).select("entity", "kind", "name"), "share")
+    # a class of terms is itself a term: it may tell as much
+    telling = share.where(F.col("kind") == _CLASS).groupBy("entity").agg(F.collect_set(F.col("name").cast("int")).alias("told"))
+    flagged = share.where(F.col("kind") == _TERMS).join(telling, "entity", "left").select("name", F.explode_outer("told").alias("told"))
+    flagged = cut(flagged.groupBy("name").agg(F.collect_set("told").alias("told")), "flagged")
+    detected = cut(detect(renamed, "in_text", list(own.values()), _filter(flagged)), "detected")
+    met = detected.where(F.size("_maybe") > 0).select("_row", F.explode("_maybe").alias("x")).select("_row", "x.*").join(flagged, "name")
+    met = met.select("_row", "start", "end", F.array_contains("told", F.col("class")).alias("gone"))
     how = F.when(F.col("gone"), "remove").otherwise("general")
-    added = flagged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end", how.alias("how")))).alias("_added"))
+    added = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end", how.alias("how")))).alias("_added"))
     base = F.transform("_base", lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), F.lit("value").alias("how")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,how:string>>")
     out = detected.join(cut(added, "added"), "_row", "left")
-    drop(near)
+    drop(counts, share, flagged)
     return out.select(*[F.col(n).alias(c) for c, n in own.items()], F.concat(base, F.coalesce("_added", none)).alias("spans"))
 
 

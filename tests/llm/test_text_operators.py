@@ -181,6 +181,39 @@ def test_disclosing_terms(spark):
     assert privacy.sanitise(table(spark, ODD)).count() == len(ODD)
 
 
+def test_disclosing_terms_anywhere(spark):
+    """A name always far from the address, in every document of it, and once without it, against plain counting over whole texts."""
+    common = "one two three four five six seven eight nine ten eleven twelve"
+    far = [f"Dear Österlund, {common} Über {common} write to ö.jo{i % 2}@mail.example.com Österlund {common} österlund" for i in range(6)]
+    texts = [*[f"{common} thirteen" for _ in range(60)], *far, "so says Österlund alone", "a@b.example.com 10.0.0.1 quux", "a@b.example.com 10.0.0.1 quux", None]
+    docs = table(spark, texts)
+    held, whole = [], [t or "" for t in texts]
+    for t in whole:
+        inside = plain(t)
+        free = [(m.group(), *m.span()) for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", t) if not any(a < m.end() and m.start() < b for _, a, b in inside)]
+        held.append(({t[a:b] for _, a, b in inside}, free))
+    lower = lambda term: "".join(c.lower() if c.isascii() else c for c in term)
+    n_entity, n_term = Counter(e for es, _ in held for e in es), Counter(w for _, free in held for w in {lower(x) for x, _, _ in free})
+    n_both = Counter((e, w) for es, free in held for e in es for w in {lower(x) for x, _, _ in free})
+    share = lambda e, w: np.log(len(texts) * n_both[e, w] / n_term[w] / n_entity[e]) / np.log(len(texts) / n_entity[e])
+    told = {w for (e, w), n in n_both.items() if n >= 2 and share(e, w) >= 0.7}
+    want = sorted((t, str([(x, a, b) for x, a, b in free if lower(x) in told])) for t, (_, free) in zip(whole, held, strict=True))
+    assert {"Österlund", "quux"} <= told and not {"one", "twelve"} & told
+    found = privacy.sanitise(docs, alpha=0.7)
+    got = sorted((r.text or "", str([(r.text[s.start : s.end], s.start, s.end) for s in r.spans if s.kind == "term"])) for r in found.collect())
+    assert got == want
+    assert not any("Österlund" in (r.text or "") for r in privacy.apply_spans(found).collect())
+
+
+def test_classes_of_terms():
+    text = "ab Ab aB 1a A1 \xe9b \xc9b \u4f60 \U0001d400x \U00010428 \u01c5a \u0663 x\u00b2 Z"
+    words = privacy._Block(pa.array([text])).terms()
+    assert [privacy.CLASSES[c] for c in words.classes] == [privacy.class_of(m.group()) for m in privacy._TERM.finditer(text)]
+    # what reaches into a span goes with it, and offsets stay
+    assert privacy._blank("ab cd-ef\xe9g h", [("ip", 3, 6), ("card", 5, 8)]) == "ab" + " " * 9 + "h"
+    assert privacy._blank("x \xe9jo@x.y z", [("email", 3, 9)]) == "x" + " " * 9 + "z"
+
+
 def test_redaction_of_overlapping_spans():
     s = lambda kind, a, b, how="value": {"kind": kind, "start": a, "end": b, "how": how}
     assert privacy.redact("ab cd ef", [s("ip", 0, 5), s("card", 3, 8)]) == "[IP]"
