@@ -22,8 +22,8 @@ from barloom.llm.vectors import dense, same_width, usable
 #: bound of the sample that the index is fitted on
 SAMPLE = 4096
 NEIGHBOURS = 10
-#: rows of a block; a larger part is dealt into several
-ROWS = 8192
+#: rows and questions of a block; a larger part, and what asks a part more often, is dealt into several
+ROWS = QUESTIONS = 8192
 
 
 class Router:
@@ -137,6 +137,20 @@ def _top(block: np.ndarray, ids: np.ndarray, query_id: int, point: np.ndarray, r
     return close[order], exact[order]
 
 
+def _meetings(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, block, group, id, vec) and (part, block, group, query_id, point): every block of a part's rows meets every group of
+    the questions that probe the part. Dealt by `turn`, so that equal ids and equal vectors spread too."""
+    indexed = routed.select("id", "vec", "turn", F.col("parts")[0].alias("part"))
+    asked = routed.where("asks").select(F.col("id").alias("query_id"), F.col("vec").alias("point"), "turn", F.explode("parts").alias("part"))
+    # at most 2 ** depth rows; parts that hold nothing or that nothing probes drop out
+    sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups")), "part")
+    own = lambda n: F.pmod(F.xxhash64("turn", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = indexed.join(F.broadcast(sizes), "part").select("part", own("blocks").alias("block"), each("groups").alias("group"), "id", "vec")
+    questions = asked.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), own("groups").alias("group"), "query_id", "point")
+    return members, questions
+
+
 def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", depth: int = 5, recall: float = 0.97) -> DataFrame:
     """query_id, rank (from 1), id, score: for each query row the k found rows of the largest inner product in double precision,
     its own row left out, equals by smaller id; all found rows if there are fewer.
@@ -148,25 +162,25 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     rows = table.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)) & F.exists(F.col(vec_col), lambda x: x != 0))
     rows = cut(rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), is_query.alias("asks")), "vectors")
     sample = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("asks", T.BooleanType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("asks", T.BooleanType()), T.StructField("turn", T.LongType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
     found = "query_id long, id long, score double"
     if not sample.num_rows:
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
     router = fit(dense(sample["vec"], np.float64), depth, recall, k)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId() << 36
         for batch in batches:
             chance = router.probabilities(dense(batch.column("vec"), np.float64))
             order = np.argsort(-chance, axis=1, kind="stable")[:, : router.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "vec", "asks")], pa.array(list(order), pa.list_(pa.int32()))], names=schema.names)
+            turns = pa.array(range(turn, turn + batch.num_rows), pa.int64())
+            turn += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "vec", "asks")], turns, pa.array(list(order), pa.list_(pa.int32()))], names=schema.names)
 
     routed = cut(rows.mapInArrow(route, schema), "routed")
-    indexed = routed.select("id", "vec", F.col("parts")[0].alias("part"))
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
-    members = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # at most 2 ** depth rows
-    asked = routed.where("asks").select(F.col("id").alias("query_id"), F.col("vec").alias("point"), F.explode("parts").alias("probe"))
-    sizes = blocks.select(F.col("part").alias("probe"), F.col("blocks").alias("n"))
-    asked = asked.join(F.broadcast(sizes), "probe").select("query_id", "point", "probe", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    members, asked = _meetings(routed)
 
     def rerank(group: pa.Table, questions: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -180,6 +194,6 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                     out.append((np.full(len(at), names[i]), ids[at], score))
         return pa.table({n: pa.array(np.concatenate([o[i] for o in out]), t) for i, (n, t) in enumerate((("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())))})
 
-    near = members.groupBy("part", "block").cogroup(asked.groupBy("probe", "at")).applyInArrow(rerank, found)
+    near = members.groupBy("part", "block", "group").cogroup(asked.groupBy("part", "block", "group")).applyInArrow(rerank, found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

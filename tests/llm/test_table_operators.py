@@ -207,6 +207,29 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_questions_meet_rows_in_blocks(spark, monkeypatch):
+    """Half of all rows ask one part, many under one id: no group grows with them, every row meets every question once."""
+    monkeypatch.setattr(ann, "ROWS", 64)
+    monkeypatch.setattr(ann, "QUESTIONS", 64, raising=False)
+    routed = spark.range(2000).select(
+        F.when(F.col("id") < 500, 7).otherwise(F.col("id")).alias("id"), F.array(F.lit(1.0)).alias("vec"), (F.col("id") % 2 == 0).alias("asks"), F.col("id").alias("turn"), F.array(F.lit(3), (F.col("id") % 4).cast("int")).alias("parts")
+    )
+    members, asked = ann._meetings(routed)
+    keys = ["part", "block", "group"]
+    assert members.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 128 and asked.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 128
+    met = members.where("part = 3").groupBy(*keys).agg(F.count("*").alias("m")).join(asked.groupBy(*keys).agg(F.count("*").alias("q")), keys)
+    assert met.agg(F.sum(F.col("m") * F.col("q"))).first()[0] == 2000 * 1000
+
+
+def test_blocks_of_questions_do_not_change_the_result(spark, monkeypatch):
+    _, table = vectors(spark, 6, 1500, 16)
+    found = lambda: sorted(map(tuple, ann.search(table, F.col("vec_id") % 2 == 0, 5).collect()))
+    whole = found()
+    monkeypatch.setattr(ann, "ROWS", 32)
+    monkeypatch.setattr(ann, "QUESTIONS", 32, raising=False)
+    assert found() == whole
+
+
 def test_parts_are_balanced():
     rnd = np.random.default_rng(4)
     near = ann.neighbour_graph(rnd.standard_normal((1000, 8)), 10)
