@@ -58,7 +58,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_stage()
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group linked by five-word shingles at a similarity of 0.8 or more stays."""
-    docs = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    # written with their numbers: computed anew, they would follow the splits of each job
+    docs = store.cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = neardup.components(docs, size=5, percent=80, id_col="_row")
     gone = store.cut(found.where("NOT kept").select("_row"), "copies")
     return docs.join(gone, "_row", "left_anti").select(*COLUMNS)

@@ -57,6 +57,26 @@ def test_one_document_of_each_group_stays(stages):
     assert len({of_text[t] for t in kept.text}) == len(kept)
 
 
+def test_numbers_outlast_other_splits(spark, tmp_path, monkeypatch):
+    """Files are split otherwise between the jobs of a stage, as where executors come or go."""
+    texts = [f"{'same words in every copy of this text' if i % 2 else ' '.join(f'w{i}x{k}' for k in range(9))}" for i in range(200)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(8).write.parquet(f"{tmp_path}/d")
+    key, found = "spark.sql.files.maxPartitionBytes", corpus_pipeline.neardup.components
+
+    def elsewhere(*args, **named):
+        out = store.cut(found(*args, **named), "found")
+        spark.conf.set(key, "1k")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.neardup, "components", elsewhere)
+    before = spark.conf.get(key)
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), "").toPandas()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(kept.text) == sorted(set(texts))
+
+
 def test_no_personal_data_is_left(stages):
     given, clean = stages["privacy"]
     assert len(given) == len(clean) and any(plain(t) for t in given.text)
