@@ -17,8 +17,8 @@ from barloom.llm.store import cut
 
 #: fixed values: weights of the sources in the order of their names, repeating
 CYCLE = (5, 2, 1)
-#: ranges of keys at each level; after two levels the range in which a budget ends has about a 16-millionth of a source
-RANGES = 4096
+#: ranges of keys at each level, even in ln(key): whatever the weights, the last one holds at most about a 1.4-billionth of a source
+RANGES, LEVELS = 4096, 3
 #: separators of words
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -59,7 +59,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataF
 
 def _range(key: Column, level: int) -> Column:
     """Number of the range of a key at a level, counted within the range above; grows with the key."""
-    place = 1 - F.exp(-key)  # in [0, 1), in the keys' order
+    # in [0, 1), in the keys' order; a key of 0 has no logarithm and is first
+    place = F.least(F.lit(1 - 2.0**-53), F.greatest(F.lit(0.0), (F.log(key) + 64) / 128))
     for _ in range(level):
         place = place * RANGES - F.floor(place * RANGES)
     return F.floor(place * RANGES).cast("int")
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, share: float = 1.5, most_epochs: int = 2, seed: int = 1
     # where each source's budget ends: a range, then a range in that, with the words before it
     ends = goals.select("source", F.lit(0).cast("long").alias("before"), "budget")
     inside = slim.where("_size > 0")
-    for level in (0, 1):
+    for level in range(LEVELS):
         name = f"at_{level}"
         kept = ["source", *[f"at_{k}" for k in range(level)]]
         rows = inside.join(ends.select(F.col("source").alias("s"), *[F.col(c).alias(f"w_{c}") for c in kept[1:]]), F.col("_source").eqNullSafe(F.col("s")))
@@ -101,9 +102,9 @@ def mix(docs: DataFrame, share: float = 1.5, most_epochs: int = 2, seed: int = 1
         ends = cut(hit.select("source", *kept[1:], name, (F.col("before") + F.col("b")).alias("before"), "budget"), "ends")
 
     placed = slim.join(goals.select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget"), F.col("_source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.join(ends.select(F.col("source").alias("s"), "at_0", "at_1", "before"), F.col("_source").eqNullSafe(F.col("s")), "left").drop("s")
-    mine = F.struct(_range(F.col("_key"), 0).alias("r0"), _range(F.col("_key"), 1).alias("r1"))
-    end = F.struct(F.col("at_0").alias("r0"), F.col("at_1").alias("r1"))
+    placed = placed.join(ends.select(F.col("source").alias("s"), *[f"at_{k}" for k in range(LEVELS)], "before"), F.col("_source").eqNullSafe(F.col("s")), "left").drop("s")
+    mine = F.struct(*[_range(F.col("_key"), k).alias(f"r{k}") for k in range(LEVELS)])
+    end = F.struct(*[F.col(f"at_{k}").alias(f"r{k}") for k in range(LEVELS)])
     placed = placed.withColumn("_mine", mine).withColumn("_end", end)
     at_end = (F.col("_size") > 0) & F.col("at_0").isNotNull() & (F.col("_mine") == F.col("_end"))
     # without an end the budget is 0 or takes everything

@@ -261,3 +261,11 @@ def test_audit_finds_what_differs(spark):
     found = Counter(r.status for r in fixity.audit(packed, bad.unionByName(extra)).collect())
     at = "page_id % 40 <> 7 AND (page_id % 30 = 4 OR page_id % 30 = 6)"
     assert found == Counter(altered=packed.where(at).count(), missing=packed.where("page_id % 40 = 7").count(), extra=1)
+
+
+def test_ranges_of_keys_are_small_for_small_weights(spark):
+    keys = spark.range(50_000).select(mixing.order_key(11, F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.05), F.col("id")).alias("key"))
+    found = keys.select("key", mixing._range(F.col("key"), 0).alias("a"), mixing._range(F.col("key"), 1).alias("b")).toPandas().sort_values("key")
+    assert found.groupby(["a", "b"]).size().max() <= 10
+    places = list(zip(found.a, found.b))
+    assert places == sorted(places) and found.a.between(0, mixing.RANGES - 1).all()
