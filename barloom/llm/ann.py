@@ -2,8 +2,8 @@
 
 A bounded sample of the vectors gives a neighbour graph; it is cut in halves again and again along the second eigenvector, at
 the median, so that parts are equal in size and few edges cross. A small softmax classifier learns the parts of the sample.
-Every row is indexed in its most probable part; a query looks into its several most probable parts, as many as the sample
-needs for the wanted recall, and reranks all rows there by the exact measure.
+Every row is indexed in its most probable part; a query looks into its several most probable parts, as many as rows
+of the sample that it did not learn from need for the wanted recall, and reranks all rows there by the exact measure.
 """
 
 from __future__ import annotations
@@ -106,16 +106,17 @@ def train(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Generator,
 
 
 def fit(sample: np.ndarray, depth: int = 5, recall: float = 0.97, k: int = 20, seed: int = 5) -> Router:
-    """A router whose probes reach `recall` of the k nearest rows within the sample itself."""
+    """A router whose probes reach `recall` of the k nearest rows among a quarter of the sample that it was not trained on."""
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(sample))
+    held, sample = sample[order[: len(sample) // 4]], sample[order[len(sample) // 4 :]]
     depth = max(0, min(depth, int(np.log2(max(1, len(sample) // 64)))))
     near = neighbour_graph(sample, NEIGHBOURS)
     part = balanced_parts(near, depth, rng) if depth else np.zeros(len(sample), np.int64)
     router = Router(train(sample, part, 2**depth, rng), 2**depth)
-    chance = router.probabilities(sample)
-    home, asked = chance.argmax(axis=1), rng.permutation(len(sample))[:1024]
-    wanted = neighbour_graph(sample, k)[asked]
-    rank_of = np.argsort(np.argsort(-chance[asked], axis=1, kind="stable"), axis=1, kind="stable")
+    chance = router.probabilities(held)
+    home, wanted = chance.argmax(axis=1), neighbour_graph(held, k)
+    rank_of = np.argsort(np.argsort(-chance, axis=1, kind="stable"), axis=1, kind="stable")
     needed = np.take_along_axis(rank_of, home[wanted], axis=1)
     for probes in range(1, 2**depth + 1):
         if not needed.size or (needed < probes).mean() >= recall:

@@ -230,6 +230,29 @@ def test_blocks_of_questions_do_not_change_the_result(spark, monkeypatch):
     assert found() == whole
 
 
+def test_neighbours_of_rows_beyond_the_sample(spark):
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((12_000, 24))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    hit, asked = 0, range(0, 12_000, 40)
+    own = ann.search(table, F.col("vec_id") % 40 == 0, 20).toPandas().groupby("query_id").id.agg(set)
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(own[q] & set(np.argsort(-score)[:20].tolist()))
+    print("recall", hit / (20 * len(asked)))
+    assert hit / (20 * len(asked)) >= 0.95
+
+
+def test_probes_come_from_rows_held_back(monkeypatch):
+    seen = []
+    monkeypatch.setattr(ann, "train", lambda x, *a, f=ann.train: seen.append(x) or f(x, *a))
+    monkeypatch.setattr(ann.Router, "probabilities", lambda self, x, f=ann.Router.probabilities: seen.append(x) or f(self, x))
+    ann.fit(np.random.default_rng(3).standard_normal((600, 8)))
+    learnt, asked = ({r.tobytes() for r in x} for x in seen)
+    assert len(learnt) == 450 and len(asked) == 150 and not learnt & asked
+
+
 def test_parts_are_balanced():
     rnd = np.random.default_rng(4)
     near = ann.neighbour_graph(rnd.standard_normal((1000, 8)), 10)
