@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, bpe, fixity, language, mixing, neardup, privacy, substrings, threshold, tokens
+from barloom.llm import ann, bpe, fixity, language, manifest, mixing, neardup, privacy, substrings, threshold, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,52 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_components")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+def _up(tree: str, seed: str) -> str:
+    """Recursive SQL: the levels of the trees whose leaves `seed` gives as (part, pos, stamp)."""
+    return f"""{tree} AS (SELECT part, 0 AS level, pos, stamp, count(*) OVER (PARTITION BY part) AS n FROM ({seed})
+  UNION ALL SELECT part, level + 1, pos // 8, sha256(string_agg(stamp, '' ORDER BY pos)), (n + 7) // 8 FROM {tree} WHERE n > 1 GROUP BY part, level, pos // 8, n)"""
+
+
+def _steps(tree: str) -> str:
+    """For every node but a tree's root the hashes before and after it among its siblings."""
+    own = "PARTITION BY part, level, pos // 8 ORDER BY pos ROWS BETWEEN"
+    return f"SELECT part, level, pos, coalesce(string_agg(stamp, '') OVER ({own} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(stamp, '') OVER ({own} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {tree} WHERE n > 1"
+
+
+#: crc32 is not among the engine's functions: the bitwise rule over the digits of the id
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295, flatten([[ord(d), 0, 0, 0, 0, 0, 0, 0] for d in string_split(CAST(doc_id AS VARCHAR), '')])), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295)"
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS part, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {CRC32_SQL} % 3 = 0 THEN sha256({_HEAD} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS spoiled FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+{_up("low", "SELECT part, pos, leaf AS stamp FROM r")},
+subs AS (SELECT part, stamp FROM low WHERE n = 1),
+{_up("high", "SELECT 0 AS part, part AS pos, stamp FROM subs")},
+top AS (SELECT stamp AS root FROM high WHERE n = 1),
+steps AS (SELECT part, level, pos, b, a FROM ({_steps("low")}) UNION ALL SELECT -1, level, pos, b, a FROM ({_steps("high")})),
+walk AS (SELECT row_number() OVER () AS i, doc_id, leaf, part, part AS name, pos, 0 AS level, '' AS proof, coalesce(spoiled, leaf) AS acc FROM r
+  UNION ALL
+  SELECT w.i, w.doc_id, w.leaf, CASE WHEN s.b IS NULL THEN -1 ELSE w.part END, w.name, CASE WHEN s.b IS NULL THEN w.name ELSE w.pos // 8 END, CASE WHEN s.b IS NULL THEN 0 ELSE w.level + 1 END,
+    w.proof || coalesce(s.b || s.a, ''), CASE WHEN s.b IS NULL THEN w.acc ELSE sha256(s.b || w.acc || s.a) END
+  FROM walk w LEFT JOIN steps s ON s.part = w.part AND s.level = w.level AND s.pos = w.pos WHERE s.b IS NOT NULL OR w.part >= 0)
+SELECT doc_id, leaf, subs.stamp AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM walk JOIN subs ON subs.part = walk.name CROSS JOIN top
+WHERE walk.part = -1 AND NOT EXISTS (SELECT 1 FROM steps s WHERE s.part = -1 AND s.level = walk.level AND s.pos = walk.pos)"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and what a copy in which some texts are lower-cased folds to."""
+    docs = table(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spoiled = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.leaf_of([*head, lower]))
+    rows = docs.select("doc_id", "lang", manifest.leaf_of([*head, F.col("text")]).alias("leaf"), spoiled.alias("spoiled"))
+    found = manifest.manifest(rows, "doc_id", "lang", carry=("spoiled",))
+    proof = manifest.digest(manifest.siblings(F.col("path"))).alias("proof_sha256")
+    folded = manifest.fold(F.coalesce("spoiled", "leaf"), F.col("path")).alias("folded_root")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, folded).withColumn("verified", F.col("folded_root") == F.col("root"))
