@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, bpe, fixity, language, manifest, mixing, neardup, privacy, substrings, threshold, tokens
+from barloom.llm import ann, bpe, fixity, language, manifest, mixing, neardup, packing, privacy, substrings, threshold, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def _up(tree: str, seed: str) -> str:
     """Recursive SQL: the levels of the trees whose leaves `seed` gives as (part, pos, stamp)."""
     return f"""{tree} AS (SELECT part, 0 AS level, pos, stamp, count(*) OVER (PARTITION BY part) AS n FROM ({seed})
