@@ -10,9 +10,13 @@ each is used. Pieces of a length are interchangeable, so a piece finds its place
 from __future__ import annotations
 
 import bisect
+import gc
 import os
+import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,57 +29,92 @@ from barloom.llm import words
 from barloom.llm.store import cut
 
 #: bytes of text encoded together, and bytes of distinct chunks that a task remembers before it starts anew
-BLOCK_BYTES, REMEMBERED = 4 << 20, 32 << 20
+BLOCK_BYTES, REMEMBERED = 4 << 20, 8 << 20
 #: (how often, ((length, copies), ...))
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
+#: letters that lower-casing and composing leave single characters, and marks that stand for themselves behind them
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)")
+
+
 class Chunks:
-    """Ids of texts by those of their chunks between ASCII white space."""
+    """Ids of texts by those of their chunks between ASCII white space.
+
+    A chunk of plain letters and marks is one or two words of the tokenizer, which its model takes as they are; any other chunk
+    goes through the whole library, special strings, normalising and splitting included.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._library, self._end = Tokenizer.from_file(path), end_id
         self._library.no_truncation()
         self._library.no_padding()
+        self._model, as_bytes = self._library.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(128, 256) if PLAIN.fullmatch(chr(c))]
+        self._bytes = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
         self._forget()
 
     def _forget(self) -> None:
         self._code: dict[bytes | None, int] = {None: 0}
-        self._ids, self._ends, self._held = [np.array([self._end], np.uint32)], [1], 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            found = self._library.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-            for chunk, one in zip(some, found, strict=True):
-                self._code[chunk] = len(self._ends)
-                ids = np.array(one.ids, np.uint32)
-                self._ids.append(ids)
-                self._ends.append(self._ends[-1] + len(ids))
-            self._held += sum(map(len, some))
-        self._ids = [np.concatenate(self._ids)]
+        self._words: dict[str, array] = {}
+        self._ids, self._ends, self._held = array("I", [self._end]), [1], 0
+
+    def _word(self, word: str) -> array:
+        """Ids of one word of the tokenizer, in lower case."""
+        found = self._words.get(word)
+        if found is None:
+            found = self._words[word] = array("I", [t.id for t in self._model.tokenize(word if word.isascii() else word.translate(self._bytes))])
+        return found
+
+    def _learn(self, new: Iterable[bytes]) -> None:
+        odd, code, held, ends, known = [], self._code, self._ids, self._ends, self._words.get
+        for chunk in new:
+            text = chunk.decode("utf-8", "replace")
+            plain = PLAIN.fullmatch(text)
+            self._held += len(chunk)
+            if plain is None:
+                odd.append((chunk, text))
+                continue
+            word, marks = plain.groups()
+            word = word.lower()
+            held.extend(known(word) or self._word(word))
+            if marks:
+                held.extend(known(marks) or self._word(marks))
+            code[chunk] = len(ends)
+            ends.append(len(held))
+        for lo in range(0, len(odd), 4096):
+            some = odd[lo : lo + 4096]
+            found = self._library.encode_batch_fast([text for _, text in some], add_special_tokens=False)
+            for (chunk, _), one in zip(some, found, strict=True):
+                held.extend(one.ids)
+                code[chunk] = len(ends)
+                ends.append(len(held))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by the end id, and where each text ends."""
         if self._held > REMEMBERED:
             self._forget()
-        split = [t.split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split)) + 1
         every: list[bytes | None] = []
-        for chunks in split:
-            every += chunks
+        counts = []
+        for text in texts:
+            every += text.split()
             every.append(None)
-        del split
-        self._learn(list(set(every).difference(self._code)))
-        codes = np.fromiter(map(self._code.__getitem__, every), np.int64, len(every))
+            counts.append(len(every))
+        codes = np.fromiter(map(self._code.get, every, repeat(-1)), np.int64, len(every))
+        unmet = np.flatnonzero(codes < 0)
+        chunks = [every[i] for i in unmet.tolist()]
+        self._learn(set(chunks))
+        codes[unmet] = np.fromiter(map(self._code.__getitem__, chunks), np.int64, len(chunks))
         ends = np.array(self._ends)
         size = np.diff(ends, prepend=0)[codes]
         to = np.cumsum(size)
-        ids = self._ids[0][np.repeat(ends[codes] - to, size) + np.arange(to[-1] if len(to) else 0)]
-        return ids, to[np.cumsum(counts) - 1]
+        ids = np.array(self._ids, np.uint32)[np.repeat(ends[codes] - to, size) + np.arange(to[-1] if len(to) else 0)]
+        return ids, to[np.array(counts, np.int64) - 1]
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -89,6 +128,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
 
         task, chunks = TaskContext.get().partitionId(), Chunks(path, end_id)
         met = np.zeros(size + 1, np.int64)
+        gc.disable()  # millions of words and no cycles; the collector would walk them again and again
         for block in words.blocks(batches, "_text", BLOCK_BYTES):
             ids, ends = chunks.encode(block.column("_text").to_pylist())
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -110,6 +150,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
                 part = [c.slice(lo, 1000) for c in columns]
                 part[4] = part[4].cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(part, names=schema.names)
+        gc.enable()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col(id_col).alias("_id"), text.alias("_text")).mapInArrow(cut_texts, schema)

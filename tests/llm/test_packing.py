@@ -27,6 +27,19 @@ def test_ids_are_those_of_the_library():
     assert [f.tolist() for f in found] == want
 
 
+def test_ids_of_plain_words_are_those_of_the_library():
+    library = Tokenizer.from_file(PATH)
+    rnd = random.Random(8)
+    letters = "".join(chr(c) for c in range(65, 256) if packing.PLAIN.fullmatch(chr(c)))
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) + "".join(rnd.choice(".,;:!?") for _ in range(rnd.randint(0, 3))) for _ in range(4000)]
+    words += [*letters, *".,;:!?", *[w + ".'" for w in letters], *[c + "\u0301" for c in letters]]
+    chunks = packing.Chunks(PATH, 1)
+    for _ in range(2):  # learnt and remembered
+        ids, ends = chunks.encode([w.encode() for w in words])
+        assert [f.tolist() for f in np.split(ids, ends[:-1])] == [[*e.ids, 1] for e in library.encode_batch(words, add_special_tokens=False)]
+    assert all(packing.PLAIN.fullmatch(w) for w in words[:4000])
+
+
 def best_fit(lengths, size):
     """Plain best fit, longest first, piece by piece."""
     bins = []
