@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from barloom.llm import packets
 from barloom.llm.store import cut
 from barloom.llm.words import blocks
+from barloom.llm.workers import released, released_groups
 
 #: fixed values: code points with the Unicode property White_Space
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -161,7 +162,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out += [(own, bucket, packets.pack_sorted([words[i] for i in order[lo:hi]])) for bucket, lo, hi in cuts]
             yield packets.rows(out)
 
-    parts = cut(slim.mapInArrow(words_of, packets.SCHEMA), "bpe")
+    parts = cut(slim.mapInArrow(released(words_of), packets.SCHEMA), "bpe")
 
     def encode_bucket(group: pa.Table) -> pa.Table:
         ranks, known, out = load_ranks(ranks_path), {}, []
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out.append((batch, bucket, packets.pack_parts(*[packets.pack_ints(np.array(x, np.int64)) for x in (size, shared, list(chain.from_iterable(rest)))])))
         return pa.Table.from_batches([packets.rows(out)])
 
-    encoded = parts.where(F.col("bucket") != packets.DOCS).groupBy("bucket").applyInArrow(encode_bucket, packets.SCHEMA)
+    encoded = parts.where(F.col("bucket") != packets.DOCS).groupBy("bucket").applyInArrow(released_groups(encode_bucket), packets.SCHEMA)
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -208,7 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return pa.Table.from_arrays([pa.chunked_array(names), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=schema.names)
 
     docs_rows = parts.where(F.col("bucket") == packets.DOCS)
-    return docs_rows.groupBy("batch").cogroup(encoded.groupBy("batch")).applyInArrow(in_order, schema).withColumnRenamed("id", id_col)
+    return docs_rows.groupBy("batch").cogroup(encoded.groupBy("batch")).applyInArrow(released_groups(in_order), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -223,7 +224,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
             found = [None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.binary())], names=schema.names)
 
-    return encoded.select(*columns).mapInArrow(run, schema)
+    return encoded.select(*columns).mapInArrow(released(run), schema)
 
 
 def id_array(ids):

@@ -4,13 +4,14 @@ For every language a suffix automaton of a bounded sample of labelled text finds
 document greedily, a new phrase begins where the match cannot be extended; phrases times the logarithm of the sample's length,
 over the document's length, estimate the cross entropy. The language with the least wins.
 
-The automata are tables (state, letter) -> state, so that all documents of a batch are read in step, one letter each at a time.
+The automata are arrays, so that all documents of a batch are read in step, one letter each at a time.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.words import blocks
+from barloom.llm.workers import released
 
 #: letters of labelled text for all languages together: the bound of the model's size
 SAMPLE_LETTERS = 200_000
 #: labelled documents of a language to take them from, and code points of each
 SAMPLE_DOCS, SAMPLE_POINTS = 64, 2_000
+#: rows that pass the bound of a language, as a multiple of those wanted
+LIKELY = 4
 #: letters read without a break; a longer text is read in parts, each beginning a phrase
 PART = 512
 BLOCK_BYTES = 1 << 20
@@ -50,38 +54,78 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points[kept], np.concatenate([[0], np.cumsum(kept)])[edges]
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Suffix automaton of a sequence of letters below `width` as a table: 2 * next state, plus 1 where a phrase begins. The last
-    state stands before every phrase; a letter that the sequence lacks is a phrase by itself and leads back there."""
-    links, longest, moves = [-1], [0], [{}]
-    last = 0
-    for code in codes:
-        new = len(links)
-        links.append(0), longest.append(longest[last] + 1), moves.append({})
-        at = last
-        while at >= 0 and code not in moves[at]:
-            moves[at][code] = new
-            at = links[at]
-        if at >= 0:
-            to = moves[at][code]
-            if longest[to] == longest[at] + 1:
-                links[new] = to
-            else:
-                # the match ends in the middle of `to`: give it a state of its own
-                twin = len(links)
-                links.append(links[to]), longest.append(longest[at] + 1), moves.append(dict(moves[to]))
-                while at >= 0 and moves[at].get(code) == to:
-                    moves[at][code] = twin
-                    at = links[at]
-                links[to] = links[new] = twin
-        last = new
-    outside = len(links)
-    table = np.full((outside + 1, width), -1, np.int64)
-    for state, own in enumerate(moves):
-        for code, to in own.items():
-            table[state, code] = to
-    restart = np.where(table[0] >= 0, 2 * table[0], 2 * outside) + 1
-    return np.where(table >= 0, 2 * table, restart[None, :]).astype(np.int32)
+class Automaton:
+    """Suffix automaton of a sequence of letters below `width`, and the greedy reading.
+
+    Only the moves that a state has are kept: those of all states lie in one array, each state's from its own base on, in slots
+    that no other state uses, so that the size follows the sequence and not the alphabet. A letter without a move begins a
+    phrase; one that the sequence lacks is a phrase by itself and leads to the last state, which stands before every phrase.
+    """
+
+    def __init__(self, codes: list[int], width: int):
+        links, longest, moves = [-1], [0], [{}]
+        last = 0
+        for code in codes:
+            new = len(links)
+            links.append(0), longest.append(longest[last] + 1), moves.append({})
+            at = last
+            while at >= 0 and code not in moves[at]:
+                moves[at][code] = new
+                at = links[at]
+            if at >= 0:
+                to = moves[at][code]
+                if longest[to] == longest[at] + 1:
+                    links[new] = to
+                else:
+                    # the match ends in the middle of `to`: give it a state of its own
+                    twin = len(links)
+                    links.append(links[to]), longest.append(longest[at] + 1), moves.append(dict(moves[to]))
+                    while at >= 0 and moves[at].get(code) == to:
+                        moves[at][code] = twin
+                        at = links[at]
+                    links[to] = links[new] = twin
+            last = new
+        self.outside = len(links)
+        self.restart = np.full(width, self.outside, np.int32)
+        for code, to in moves[0].items():
+            self.restart[code] = to
+        self._place(moves, width)
+
+    def _place(self, moves: list[dict[int, int]], width: int) -> None:
+        rng = np.random.default_rng(5)
+        # twice the moves, and room for the longest of them anywhere
+        slots = 2 * sum(map(len, moves)) + 2 * width
+        # a letter may be looked up on either side of a state's own slots
+        self.check, self.move = np.full(slots + 2 * width, -1, np.int32), np.zeros(slots + 2 * width, np.int32)
+        self.base = np.zeros(self.outside + 1, np.int32)
+        taken = self.check >= 0
+        taken[:width] = taken[width + slots :] = True
+        several = sorted((s for s, own in enumerate(moves) if len(own) > 1), key=lambda s: -len(moves[s]))
+        for state in several:
+            codes = np.fromiter(moves[state], np.int64)
+            first = int(codes.min())
+            found = None
+            while found is None:
+                bases = rng.integers(width, width + slots, 32) - first
+                bases = bases[bases + int(codes.max()) < width + slots]
+                free = np.flatnonzero(~taken[bases[:, None] + codes].any(axis=1))
+                if len(free):
+                    found = int(bases[free[0]])
+            self.base[state] = found
+            at = found + codes
+            taken[at] = True
+            self.check[at], self.move[at] = state, np.fromiter(moves[state].values(), np.int64)
+        lone = np.array([s for s, own in enumerate(moves) if len(own) == 1], np.int64)
+        codes = np.array([next(iter(moves[s])) for s in lone.tolist()], np.int64)
+        at = np.flatnonzero(~taken)[: len(lone)]
+        self.base[lone], self.check[at] = at - codes, lone
+        self.move[at] = [next(iter(moves[s].values())) for s in lone.tolist()]
+
+    def read(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where the match goes on without a new phrase."""
+        at = self.base[state] + codes
+        goes_on = self.check[at] == state
+        return np.where(goes_on, self.move[at], self.restart[codes]), goes_on
 
 
 class CrossParser:
@@ -93,9 +137,10 @@ class CrossParser:
         own = [_points([samples[name]])[0][:each] for name in self.languages]
         known = np.unique(np.concatenate([*own, np.zeros(1, np.uint32)]))
         self.width = len(known) + 1  # the last code: letters that no sample has
-        self.code_of = np.full(0x110000, self.width - 1, np.int32)
+        # letters beyond the last known one share its place behind the table
+        self.code_of = np.full(int(known.max()) + 2, self.width - 1, np.int32)
         self.code_of[known] = np.arange(len(known))
-        self.tables = [automaton(self.code_of[x].tolist(), self.width).ravel() for x in own]
+        self.automata = [Automaton(self.code_of[x].tolist(), self.width) for x in own]
         self.bits = [np.log2(max(2, len(x))) for x in own]
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +148,7 @@ class CrossParser:
         points, edges = _points(texts)
         size = np.diff(edges)
         spelled = np.concatenate([[0], np.cumsum(points != 0)])[edges]
-        codes = self.code_of[points]
+        codes = self.code_of[np.minimum(points, len(self.code_of) - 1)]
         parts = -(-size // PART)
         owner = np.repeat(np.arange(len(texts)), parts)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -115,14 +160,14 @@ class CrossParser:
         if len(owner):
             live = np.searchsorted(-length, -np.arange(int(length[0])))
             steps = [codes[start[:n] + t] for t, n in enumerate(live.tolist())]
-            for k, table in enumerate(self.tables):
-                state = np.full(len(owner), len(table) // self.width - 1)
-                phrases = np.zeros(len(owner), np.int64)
+            for k, automaton in enumerate(self.automata):
+                state = np.full(len(owner), automaton.outside, np.int32)
+                going = np.zeros(len(owner), np.int64)
                 for own in steps:
                     n = len(own)
-                    found = table[state[:n] * self.width + own]
-                    phrases[:n] += found & 1
-                    state[:n] = found >> 1
+                    state[:n], on = automaton.read(state[:n], own)
+                    going[:n] += on
+                phrases = length - going
                 out[:, k] = np.bincount(owner, phrases, len(texts)) * self.bits[k] / np.maximum(size, 1)
         return out, np.diff(spelled) > 0
 
@@ -140,11 +185,6 @@ class CrossParser:
         return names, scores
 
 
-@functools.lru_cache(2)
-def _parser(samples: tuple[tuple[str, str], ...], letters: int) -> CrossParser:
-    return CrossParser(dict(samples), letters)
-
-
 def held_out(key: str) -> Column:
     """Documents that no sample may come from: a quarter, by the key's checksum."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
@@ -152,14 +192,30 @@ def held_out(key: str) -> Column:
 
 def samples(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", letters: int = SAMPLE_LETTERS) -> tuple[tuple[str, str], ...]:
     """Labelled text of each language, at most SAMPLE_DOCS pieces each, from documents that are not held out: those with the
-    least hashes, found within 256 parts of a language first, so that no task sorts a whole language."""
-    learn = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    learn = learn.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_POINTS).alias("text"), F.xxhash64(F.col(key), F.col(text_col)).alias("h"))
-    learn = learn.withColumn("part", F.pmod("h", F.lit(256)))
-    for keys in (("lang", "part"), ("lang",)):
-        learn = learn.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS)
+    least hashes. Languages are counted first, so that about LIKELY times as many rows as are wanted pass a bound on their hash
+    and only those are shuffled, whatever the size of the table; a language of which too few pass, as when most of its rows are
+    equal, is searched again without the bound."""
+    spark = docs.sparkSession
+    named = docs.where(~held_out(key) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text_col).cast("string").alias("text"))
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
+    if not counts:
+        return ()
+    start = F.substring("text", 1, SAMPLE_POINTS)
+    learn = named.where(F.col("text").isNotNull()).select("lang", start.alias("text"), F.xxhash64("key", start).alias("h"))
+
+    def least(rows: DataFrame) -> list:
+        distinct = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
+        best = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+        return best.select("lang", "h", "text").orderBy("lang", "h").collect()
+
+    shares = spark.createDataFrame([(name, min(2**63 - 1, -(2**63) + int(min(1.0, LIKELY * SAMPLE_DOCS / n) * 2**64))) for name, n in counts.items()], "lang string, most long")
+    rows = least(learn.join(F.broadcast(shares), "lang").where(F.col("h") <= F.col("most")).select("lang", "text", "h"))
+    met = Counter(r.lang for r in rows)
+    again = [name for name, n in counts.items() if met[name] < min(SAMPLE_DOCS, n) and LIKELY * SAMPLE_DOCS < n]
+    if again:
+        rows = [r for r in rows if r.lang not in again] + least(learn.where(F.col("lang").isin(again)))
     found: dict[str, list[str]] = {}
-    for row in learn.select("lang", "h", "text").orderBy("lang", "h", "text").collect():
+    for row in rows:
         found.setdefault(row.lang, []).append(row.text)
     each = letters // max(1, len(found))
     return tuple(sorted((name, "\n".join(texts)[: 4 * each]) for name, texts in found.items()))
@@ -174,10 +230,12 @@ def identify(docs: DataFrame, labelled: tuple[tuple[str, str], ...], letters: in
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    # a few bytes for each letter of the samples, built once and sent to the tasks
+    parser = CrossParser(dict(labelled), letters)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(labelled, letters)
         for batch in blocks(batches, text_col, BLOCK_BYTES):
             names, scores = parser.predict([t or "" for t in batch.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(released(run), schema)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.store import cut, drop
 from barloom.llm.words import Words, blocks, combine, mix
+from barloom.llm.workers import released, released_groups
 
 U64 = np.uint64
 K, R = 128, 4
@@ -116,7 +117,7 @@ def _sketch(slim: DataFrame, size: int, least: int) -> DataFrame:
                 names=schema.names,
             )
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(released(run), schema)
 
 
 def _packed(slim: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def _packed(slim: DataFrame) -> DataFrame:
             packed = [None if t is None else squeeze(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "t1", "t2")], pa.array(packed, pa.binary())], names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(released(run), schema)
 
 
 def _confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -152,7 +153,7 @@ def _confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     linked.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return edges.select("a", "b").join(b_side, "b").join(a_side, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, schema)
+    return edges.select("a", "b").join(b_side, "b").join(a_side, "a").select("a", "b", "of_a", "of_b").mapInArrow(released(run), schema)
 
 
 def _components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -227,7 +228,7 @@ def _rest(members: DataFrame, size: int, percent: int) -> DataFrame:
                     label[label == to] = label[i]
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return dealt.groupBy("key", "p", "q").applyInArrow(links, schema)
+    return dealt.groupBy("key", "p", "q").applyInArrow(released_groups(links), schema)
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

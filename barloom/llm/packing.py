@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from barloom.llm import words
 from barloom.llm.store import cut
+from barloom.llm.workers import released
 
 #: bytes of text encoded together, and bytes of distinct chunks that a task remembers before it starts anew
 BLOCK_BYTES, REMEMBERED = 4 << 20, 8 << 20
@@ -153,7 +154,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
         gc.enable()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).alias("_id"), text.alias("_text")).mapInArrow(cut_texts, schema)
+    return docs.select(F.col(id_col).alias("_id"), text.alias("_text")).mapInArrow(released(cut_texts), schema)
 
 
 def _times(left: np.ndarray, lengths: tuple[int, ...]) -> int:

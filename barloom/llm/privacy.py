@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from barloom.llm.store import cut, drop
 from barloom.llm.words import LOWER, MARKS, Words, blocks
+from barloom.llm.workers import released
 
 BLOCK_BYTES = 2 << 20
 #: fixed values: kinds in the order of reports
@@ -173,7 +174,7 @@ def counted(docs: DataFrame, text_col: str) -> DataFrame:
                 name, n = np.unique(np.concatenate([*names, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), kind), pa.int32()), pa.array(name, pa.int64()), pa.array(n, pa.int64())], names=["kind", "name", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(released(run), "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
 
 
 def together(docs: DataFrame, text_col: str, asked: np.ndarray) -> DataFrame:
@@ -213,7 +214,7 @@ def together(docs: DataFrame, text_col: str, asked: np.ndarray) -> DataFrame:
         if held:
             yield added(held)
 
-    return docs.select(text_col).mapInArrow(run, "entity long, kind int, name long, n long").groupBy("entity", "kind", "name").agg(F.sum("n").alias("n_both"))
+    return docs.select(text_col).mapInArrow(released(run), "entity long, kind int, name long, n long").groupBy("entity", "kind", "name").agg(F.sum("n").alias("n_both"))
 
 
 def _bits(name: np.ndarray, shift: int) -> np.ndarray:
@@ -268,7 +269,7 @@ def detect(docs: DataFrame, text_col: str, keep: list[str], wanted: np.ndarray)
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], rows, pa.array(base, span_type), maybe], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(released(run), schema)
 
 
 def _share(together: str, term: str, entity: str, total: Column) -> Column:
@@ -352,4 +353,4 @@ def apply_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [redact(batch.column(text_col)[i].as_py(), spans[i].as_py()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(released(run), schema)

@@ -109,11 +109,13 @@ def test_empty_documents_pass_through(spark, tmp_path):
 
 
 def test_queries_of_the_contract(spark, sf_dir):
-    assert [f"op{n}" for n in range(1, 11)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
     assert set(ORACLES) <= set(QUERIES)
     first = {
         "op1": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2": "query_id rank vec_id score", "op3": "doc_id n_words n_removed kept_sha256", "op4": "doc_id size source_size target taken",
         "op5": "doc_id n_bytes n_tokens over_limit", "op6": "doc_id held_out lang_pred score", "op8": "doc_id n_tokens ids_sha256 decoded_sha256", "op9": "query_id rank vec_id score", "op10": "doc_id n_shingles component_id kept",
+        "op11": "anchor_id positive_id rank negative_id positive_score negative_score", "op12": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }
     rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "embeddings")}
     for name, build in QUERIES.items():
@@ -122,7 +124,7 @@ def test_queries_of_the_contract(spark, sf_dir):
             out = build(spark, sf_dir)
             columns = first[op].split()
             assert out.columns[: len(columns)] == columns, name
-            if op not in ("op2", "op9"):
+            if op not in ("op2", "op9", "op11", "op12"):
                 assert out.agg(F.count("*")).first()[0] == rows["documents"], name
 
 

@@ -122,25 +122,55 @@ def test_cross_parsing(spark):
     assert language.identify(docs.limit(0), labelled).count() == 0
 
 
-def test_automaton_reads_the_longest_match():
+def phrases(sample, text):
+    """Greedy longest matches, by searching."""
+    joined, here, at, found = "".join(map(chr, sample)), "".join(map(chr, text)), 0, 0
+    while at < len(here):
+        size = 1
+        while at + size < len(here) and here[at : at + size + 1] in joined:
+            size += 1
+        found += 1
+        at += size
+    return found
+
+
+@pytest.mark.parametrize(("letters", "size"), [(3, 60), (40, 400), (3000, 4000), (3000, 20), (1, 30)])
+def test_automaton_reads_the_longest_match(letters, size):
+    """Few letters and many, and more letters than the sample is long."""
     rnd = random.Random(9)
-    sample, width = [rnd.randint(0, 2) for _ in range(60)], 4
-    moves = language.automaton(sample, width)
-    for _ in range(200):
-        text = [rnd.randint(0, 3) for _ in range(25)]
-        state, phrases = len(moves) - 1, 0
-        for c in text:
-            step = int(moves[state, c])
-            state, phrases = step >> 1, phrases + (step & 1)
-        joined, at, want = "".join(map(str, sample)), 0, 0
-        here = "".join(map(str, text))
-        while at < len(here):
-            size = 1
-            while at + size < len(here) and here[at : at + size + 1] in joined:
-                size += 1
-            want += 1
-            at += size
-        assert phrases == want
+    sample, width = [rnd.randrange(letters) for _ in range(size)], letters + 1
+    automaton = language.Automaton(sample, width)
+    texts = [[rnd.randrange(width) for _ in range(25)] for _ in range(100)]
+    texts += [(sample + sample)[i : i + 25][:25] for i in (rnd.randrange(max(1, size - 25)) for _ in range(100)) if size >= 25]
+    state, going = np.full(len(texts), automaton.outside), np.zeros(len(texts), int)
+    for t in range(25):
+        state, on = automaton.read(state, np.array([x[t] for x in texts]))
+        going += on
+    assert (25 - going).tolist() == [phrases(sample, x) for x in texts]
+
+
+def test_automata_of_large_alphabets_are_small():
+    """Two languages of 3,000 letters beside an ordinary one: what goes to the tasks follows the samples, not the alphabet."""
+    import pickle
+
+    rnd = random.Random(4)
+    text = lambda lo, n: "".join(chr(rnd.randrange(lo, lo + n)) for _ in range(60_000))
+    parser = language.CrossParser({"a": text(97, 26), "x": text(0x4E00, 3000), "y": text(0xAC00, 3000)}, language.SAMPLE_LETTERS)
+    assert len(pickle.dumps(parser)) < 20_000_000
+    texts = [text(97, 26)[:400], text(0x4E00, 3000)[:400], text(0xAC00, 3000)[:400], "1 \U0001f600", "\U0001f600a"]
+    assert parser.predict(texts)[0] == ["a", "x", "y", "und", "a"]
+
+
+def test_samples_are_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 5)
+    rows = [(i, f"text {i}", "en") for i in range(400)] + [(1, "same", "de")] * 300 + [(i, f"das {i}", "de") for i in range(900, 909)] + [(i, f"le {i}", "fr") for i in range(6)] + [(3, None, "fr"), (4, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    found = dict(language.samples(docs))
+    hashed = docs.where(~language.held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).distinct().collect()
+    for name in ("en", "de", "fr"):
+        best = sorted((r.h, r.text) for r in hashed if r.lang == name)[:5]
+        assert found[name] == "\n".join(t for _, t in best)
+    assert language.samples(docs.where("lang IS NULL")) == () and language.samples(docs.limit(0)) == ()
 
 
 def plain(text):
