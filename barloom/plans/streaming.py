@@ -145,12 +145,43 @@ def shifted(t):
     return diag(t).withColumn("value", F.when(late, 1.5 + 5 * F.col("value")).otherwise(F.col("value")))
 
 
-@plan("adwin", 399, "key:s hour:s cut size", why_no_sql="adaptive window; tested against a direct scan of all cuts")
+q.cte("shf", "SELECT key, hour, rn, CASE WHEN hour >= TIMESTAMP '2024-01-16' THEN 1.5 + 5 * value ELSE value END::DOUBLE AS value FROM diag_n")
+
+
+def _adwin_sql(name: str, most: int) -> str:
+    """The window as a list; every cut is judged from the values on both sides. The cut of a row is the first one found."""
+    mean, spread = "list_avg({0})", "list_stddev_pop({0})"
+    slope = "coalesce(list_sum([({0})[j] * (j - 1) for j in range(1, len({0}) + 1)]) - (len({0}) - 1) / 2.0 * list_sum({0}), 0) / nullif(len({0}) * (pow(len({0}), 2) - 1) / 12, 0)"
+    a, b = "w[1:i]", "w[i + 1:]"
+    both = lambda f: (f.format(a), f.format(b))
+    m, s, t = both(mean), both(spread), both(slope)
+    apart = f"abs({m[0]} - {m[1]}) > sqrt(2 * (1.0 / i + 1.0 / (len(w) - i)) * ln(2 * len(w) / 0.002))"
+    other = f"(greatest({s[0]}, {s[1]}) / (least({s[0]}, {s[1]}) + 1e-8) > 2 OR abs({t[0]} - {t[1]}) > 0.1)"
+    return f"""SELECT key, rn, [value] AS w, -1.0::DOUBLE AS cut, 1.0::DOUBLE AS size FROM shf WHERE rn = 1
+    UNION ALL SELECT key, rn, CASE WHEN i IS NULL THEN w ELSE w[i + 1:] END, coalesce(i, -1)::DOUBLE, (len(w) - coalesce(i, 0))::DOUBLE FROM (
+    SELECT key, rn, w, list_filter(list_filter(range(30, len(w) - 30), lambda i: {apart}), lambda i: {other})[1] AS i FROM (
+    SELECT d.key, d.rn, list_append(p.w, d.value)[-{most}:] AS w FROM {name} p JOIN shf d ON d.key = p.key AND d.rn = p.rn + 1))"""
+
+
+q.cte("adw", _adwin_sql("adw", 200))
+
+
+@plan("adwin", 399, "key:s hour:s cut size", "SELECT key, strftime(hour, '%Y-%m-%d %H:%M') AS hour, cut, size FROM adw JOIN diag_n USING (key, rn)")
 def _(t):
     return stamp(dt.fold(shifted(t), dt.adwin(0.002, 30, 200), "key", "hour", "value", ("cut", "size")), "hour")
 
 
-@plan("adwin_half", 402, "key:s hour:s detected strength", why_no_sql="adaptive window; tested against a direct scan")
+q.cte(
+    "adh",
+    """SELECT key, rn, [value::DOUBLE] AS w, 0.0::DOUBLE AS detected, 0.0::DOUBLE AS strength FROM diag_n WHERE rn = 1
+    UNION ALL SELECT key, rn, CASE WHEN hit THEN w[len(w) // 2 + 1:] ELSE w END, hit::INT::DOUBLE, CASE WHEN hit THEN least(1, diff / eps) ELSE 0 END FROM (
+    SELECT *, coalesce(len(w) > 2 AND var > 0 AND diff > eps, false) AS hit FROM (
+    SELECT *, list_var_pop(w) AS var, sqrt(2 * list_var_pop(w) * ln(2 / 0.3) / len(w)) + 2 * ln(2 / 0.3) / (3 * len(w)) AS eps, abs(list_avg(w[1:len(w) // 2]) - list_avg(w[len(w) // 2 + 1:])) AS diff FROM (
+    SELECT d.key, d.rn, list_append(p.w, d.value::DOUBLE)[-500:] AS w FROM adh p JOIN diag_n d ON d.key = p.key AND d.rn = p.rn + 1)))""",
+)
+
+
+@plan("adwin_half", 402, "key:s hour:s detected strength", "SELECT key, strftime(hour, '%Y-%m-%d %H:%M') AS hour, detected, strength FROM adh JOIN diag_n USING (key, rn)")
 def _(t):
     return stamp(dt.fold(diag(t), dt.adwin_half(0.3, 500), "key", "hour", "value", ("detected", "strength")), "hour")
 
@@ -247,7 +278,27 @@ def _(t):
     return stamp(dt.watch(s.withColumn("hit", (F.col("signal") != 0).cast("int")), "key", "hour", ("hit",), 24, 72, 120), "hour")
 
 
-@plan("drift_watcher_all", 409, "key:s hour:s alerts:i retune:i retrain:i", why_no_sql="adaptive window; the state rules are checked by drift_watcher, the window by a direct scan")
+q.cte("adl", _adwin_sql("adl", 500))
+q.cte(
+    "pha",
+    """SELECT key, rn, value AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS nu, 0 AS nd, 0 AS hit FROM (SELECT key, rn, value FROM shf WHERE rn = 1)
+    UNION ALL SELECT key, rn, mean, CASE WHEN u THEN 0 ELSE up END, CASE WHEN v AND NOT u THEN 0 ELSE dn END, CASE WHEN u THEN 0 ELSE nu END, CASE WHEN v AND NOT u THEN 0 ELSE nd END, (u OR v)::INT FROM (
+    SELECT *, up > 40 AND nu >= 5 AS u, dn > 40 AND nd >= 5 AS v FROM (
+    SELECT key, rn, mean, CASE WHEN dev > 0 THEN greatest(0, up + dev) ELSE up END AS up, CASE WHEN dev > 0 THEN dn ELSE greatest(0, dn - dev) END AS dn, nu + (dev > 0)::INT AS nu, nd + (dev <= 0)::INT AS nd FROM (
+    SELECT d.key, d.rn, 0.998::DOUBLE * p.mean + 0.002::DOUBLE * d.value AS mean, d.value - (0.998::DOUBLE * p.mean + 0.002::DOUBLE * d.value) AS dev, up, dn, nu, nd FROM pha p JOIN shf d ON d.key = p.key AND d.rn = p.rn + 1)))""",
+)
+#: two alerts a row, the adaptive window's first: what the first one decides is known to the second
+q.cte("dwa", "SELECT s.key, s.hour::TIMESTAMPTZ AS hour, 2 * s.rn + k - 2 AS rn, CASE WHEN k = 0 THEN (a.cut > 0)::INT ELSE p.hit END AS hit FROM shf s JOIN adl a USING (key, rn) JOIN pha p USING (key, rn), (SELECT unnest([0, 1]) AS k)")
+q.cte(
+    "dwb",
+    """SELECT key, hour, rn, hit AS alerts, hit AS retune, 0 AS retrain, CASE WHEN hit = 1 THEN hour END AS last, CASE WHEN hit = 1 THEN hour END AS first, NULL::TIMESTAMPTZ AS done FROM dwa WHERE rn = 0
+    UNION ALL SELECT key, hour, rn, alerts + hit, due, fit, CASE WHEN due = 1 THEN hour ELSE last END, CASE WHEN fit = 1 THEN hour WHEN hit = 1 THEN coalesce(first, hour) ELSE first END, CASE WHEN fit = 1 THEN hour ELSE done END FROM (
+    SELECT d.key, d.hour, d.rn, d.hit, p.alerts, p.last, p.first, p.done, (d.hit = 1 AND (p.last IS NULL OR date_diff('hour', p.last, d.hour) >= 168))::INT AS due,
+    (d.hit = 1 AND p.first IS NOT NULL AND (p.done IS NULL OR date_diff('hour', p.done, d.hour) >= 2160) AND date_diff('hour', p.first, d.hour) >= 1440)::INT AS fit FROM dwb p JOIN dwa d ON d.key = p.key AND d.rn = p.rn + 1)""",
+)
+
+
+@plan("drift_watcher_all", 409, "key:s hour:s alerts:i retune:i retrain:i", f"SELECT key, {_h}, max(alerts) AS alerts, max(retune) AS retune, max(retrain) AS retrain FROM dwb GROUP BY key, hour")
 def _(t):
     d = shifted(t)
     a = dt.fold(d, dt.adwin(0.002, 30, 500), "key", "hour", "value", ("cut", "size")).select("key", "hour", (F.col("cut") > 0).cast("int").alias("by_adwin"))

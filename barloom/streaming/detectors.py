@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,63 +80,120 @@ def ddm(warn=2.0, drift=3.0, warmup=30) -> tuple[tuple, Step]:
     return start, step
 
 
-def adwin(delta=0.002, min_size=30, max_size=1000, financial=True) -> tuple[tuple, Step]:
+class Window:
+    """The last values of a series with prefix sums of values, squares and index-weighted values, so that mean, spread and slope of
+    both sides of any cut come from a few differences. A new value adds one entry; dropped values move the window's start."""
+
+    def __init__(self, most: int):
+        self.most, self.lo, self.hi = most, 0, 0
+        self.x = np.zeros(2 * most + 2)
+        #: sums of the values before place i: of x - origin, of its square, and of i * (x - origin)
+        self.sums = np.zeros((3, 2 * most + 3))
+        self.origin = 0.0
+
+    def __len__(self) -> int:
+        return self.hi - self.lo
+
+    def of(self, values) -> Window:
+        """A window of its own with these values."""
+        out = Window(self.most)
+        out._set(np.asarray(values, float))
+        return out
+
+    def values(self) -> list[float]:
+        return self.x[self.lo : self.hi].tolist()
+
+    def _set(self, values: np.ndarray) -> None:
+        n = len(values)
+        self.lo, self.hi, self.x[:n] = 0, n, values
+        # about their own level the values' squares keep their digits
+        self.origin = float(values.mean()) if n else 0.0
+        y = values - self.origin
+        for row, part in zip(self.sums, (y, y * y, np.arange(n) * y), strict=True):
+            row[0] = 0.0
+            np.cumsum(part, out=row[1 : n + 1])
+
+    def push(self, value: float) -> None:
+        if self.hi == len(self.x):
+            self._set(self.x[self.lo : self.hi].copy())
+        if self.lo == self.hi:
+            self.origin = value
+        i, y = self.hi, value - self.origin
+        self.x[i] = value
+        self.sums[:, i + 1] = self.sums[:, i] + (y, y * y, i * y)
+        self.hi += 1
+        self.lo = max(self.lo, self.hi - self.most)
+
+    def cut(self, size: int) -> None:
+        """Keep the last `size` values."""
+        self._set(self.x[self.hi - size : self.hi].copy())
+
+    def sides(self, left: np.ndarray):
+        """(mean, spread, slope) of the first `left` values, for several cuts at once, and the same of the rest."""
+        edge, cut = self.lo, self.lo + left
+        for a, b in ((edge, cut), (cut, self.hi)):
+            n = b - a
+            s, q, w = (row[b] - row[a] for row in self.sums)
+            mean = s / n
+            spread = np.sqrt(np.maximum(0.0, q / n - mean * mean))
+            # the weights count from the side's own start
+            around = w - a * s - (n - 1) / 2 * s
+            yield mean + self.origin, spread, around / np.maximum(n * (n * n - 1.0) / 12, 1e-300) * (n > 1)
+
+
+def adwin(delta=0.002, min_size=30, max_size=1000, financial=True) -> tuple[Window, Step]:
     """Adaptive window: the first cut whose half means differ by more than the bound; the window keeps the newer side.
 
     Both sides hold `min_size` values, the newer one more than that. With `financial` the cut must also come with another
-    volatility or trend. The window holds at most `max_size` values. Output: (cut, window size); cut -1 when there is none.
+    volatility or trend. The window holds at most `max_size` values. All cuts are judged at once, from prefix sums.
+    Output: (cut, window size); cut -1 when there is none.
     """
 
-    def moments(v):
-        m = sum(v) / len(v)
-        return m, math.sqrt(sum((a - m) ** 2 for a in v) / len(v))
-
-    def slope(v):
-        n, mx, my = len(v), (len(v) - 1) / 2, sum(v) / len(v)
-        den = sum((i - mx) ** 2 for i in range(n))
-        return sum((i - mx) * (a - my) for i, a in enumerate(v)) / den if den else 0.0
-
-    def confirmed(a, b):
-        if not financial:
-            return True
-        s0, s1 = moments(a)[1], moments(b)[1]
-        return max(s0, s1) / (min(s0, s1) + 1e-8) > 2 or abs(slope(a) - slope(b)) > 0.1
-
-    def step(window, x):
-        w = (*window, x)[-max_size:]
-        n = len(w)
-        total, left = sum(w), sum(w[:min_size])
-        for i in range(min_size, n - min_size):
-            if i > min_size:
-                left += w[i - 1]
-            j = n - i
-            bound = math.sqrt(2 * (1 / i + 1 / j) * math.log(2 * n / delta))
-            if abs(left / i - (total - left) / j) > bound and confirmed(w[:i], w[i:]):
-                return w[i:], (float(i), float(j))
-        return w, (-1.0, float(n))
-
-    return (), step
-
-
-def adwin_half(delta=0.002, max_size=500) -> tuple[tuple, Step]:
+    def step(window: Window, x: float):
+        if not len(window):
+            window = Window(max_size)
+        window.push(x)
+        n = len(window)
+        left = np.arange(min_size, n - min_size)
+        if len(left):
+            (m0, s0, t0), (m1, s1, t1) = window.sides(left)
+            bound = np.sqrt(2 * (1 / left + 1 / (n - left)) * math.log(2 * n / delta))
+            found = np.abs(m0 - m1) > bound
+            if financial and found.any():
+                found &= (np.maximum(s0, s1) / (np.minimum(s0, s1) + 1e-8) > 2) | (np.abs(t0 - t1) > 0.1)
+            if found.any():
+                i = int(left[found.argmax()])
+                window.cut(n - i)
+                return window, (float(i), float(n - i))
+        return window, (-1.0, float(n))
+
+    return Window(max_size), step
+
+
+def adwin_half(delta=0.002, max_size=500) -> tuple[Window, Step]:
     """Simplified variant: compares the two halves of the window with a variance bound. Output: (detected, strength)."""
 
-    def step(window, x):
-        w = (*window, x)[-max_size:]
-        n = len(w)
+    def step(window: Window, x: float):
+        if not len(window):
+            window = Window(max_size)
+        window.push(x)
+        n = len(window)
         if n > 2:
-            m = sum(w) / n
-            var = sum((a - m) ** 2 for a in w) / n
+            h = n // 2
+            (m0, s0, _), (m1, s1, _) = window.sides(np.array([h]))
+            mean = (h * m0[0] + (n - h) * m1[0]) / n
+            # the variance of all from those of both halves
+            var = (h * (s0[0] ** 2 + (m0[0] - mean) ** 2) + (n - h) * (s1[0] ** 2 + (m1[0] - mean) ** 2)) / n
             if var > 0:
                 log = math.log(2 / delta)
                 eps = math.sqrt(2 * var * log / n) + 2 * log / (3 * n)
-                h = n // 2
-                diff = abs(sum(w[:h]) / h - sum(w[h:]) / (n - h))
+                diff = float(abs(m0[0] - m1[0]))
                 if diff > eps:
-                    return w[h:], (1.0, min(1.0, diff / eps))
-        return w, (0.0, 0.0)
+                    window.cut(n - h)
+                    return window, (1.0, min(1.0, diff / eps))
+        return window, (0.0, 0.0)
 
-    return (), step
+    return Window(max_size), step
 
 
 def online_scaler(alpha=0.05) -> tuple[tuple, Step]:
@@ -190,13 +248,15 @@ def stream_fold(df: DataFrame, detector: tuple[tuple, Step], key: str, order: st
     start, step = detector
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = tuple(state.get[0]) if state.exists else start
+        s = start
+        if state.exists:
+            s = start.of(state.get[0]) if isinstance(start, Window) else tuple(state.get[0])
         pdf = pd.concat(list(frames)).sort_values(order)
         out = []
         for v in pdf[x].to_numpy():
             s, o = step(s, float(v))
             out.append(o)
-        state.update((list(s),))
+        state.update((s.values() if isinstance(s, Window) else list(s),))
         yield pd.DataFrame({key: keys[0], order: pdf[order].to_numpy(), names[0]: [o[0] for o in out], names[1]: [o[1] for o in out]})
 
     types = dict(df.dtypes)
