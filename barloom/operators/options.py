@@ -68,10 +68,24 @@ def volatility_surface(df: DataFrame) -> DataFrame:
     return g.withColumns({"volatility_skew": F.col("__p") - F.col("__c"), "iv_range": F.col("max_iv") - F.col("min_iv")}).drop("__p", "__c")
 
 
+def round_tenth(x: Column) -> Column:
+    """The nearest tenth of the number's own binary value, halves to the even one: 0.95, which is a little less, gives 0.9.
+
+    Twenty times x is kept exactly, as a sum and what its rounding left out.
+    """
+    a, b = x * 16, x * 4
+    s = a + b
+    around = s - a
+    left = (a - (s - around)) + (b - around)
+    n = F.floor(s / 2)
+    off = s - 2 * n - 1
+    up = (off > 0) | ((off == 0) & ((left > 0) | ((left == 0) & (n % 2 != 0))))
+    return (n + F.when(up, 1).otherwise(0)) / 10
+
+
 def smile_and_term(df: DataFrame) -> DataFrame:
     """Mean IV by moneyness bucket and by month to expiry, both from one grouping-sets pass."""
-    # the small offset sends exact half buckets up, whichever way their ratio was rounded
-    d = df.withColumns({"smile": F.floor(moneyness() * 10 + 0.5 + 1e-9) / 10, "months": F.floor(F.col("tte") * 12 + 0.5 + 1e-9).cast("int")})
+    d = df.withColumns({"smile": round_tenth(moneyness()), "months": F.bround(F.col("tte") * 12).cast("int")})
     g = d.groupingSets([[F.col("symbol"), F.col("quote_date"), F.col("smile")], [F.col("symbol"), F.col("quote_date"), F.col("months")]], "symbol", "quote_date", "smile", "months")
     return g.agg(F.avg("iv").alias("iv"), F.count("*").alias("n"))
 
@@ -171,6 +185,21 @@ def option_implied_move(spot="spot", iv="iv", tte="tte") -> Column:
     return col(spot) * col(iv) * F.sqrt(col(tte))
 
 
+def implied_move_statistics(df: DataFrame, base_days: float | None = 30, spot="spot", iv="iv", tte="tte") -> DataFrame:
+    """Moves that the options imply over the time to expiry: adjusted_iv, one_sigma_move, two_sigma_move, expected_move (0.8 of one
+    sigma), both as shares of spot, and the 68 % and 95 % bands around no change.
+
+    The volatility is first taken from a horizon of `base_days` to the time to expiry; with None it is used as it is, so that
+    time counts once.
+    """
+    base = None if base_days is None else base_days / 365
+    df = df.withColumn("adjusted_iv", F.col(iv) if base is None else F.col(iv) * F.sqrt(F.col(tte) / base))
+    df = df.withColumn("one_sigma_move", option_implied_move(spot, "adjusted_iv", tte))
+    one, two = F.col("one_sigma_move"), F.col("one_sigma_move") * 2
+    found = {"two_sigma_move": two, "expected_move": one * 0.8, "one_sigma_pct": one / F.col(spot), "two_sigma_pct": two / F.col(spot)}
+    return df.withColumns({**found, "low_68": -one, "high_68": one, "low_95": -two, "high_95": two})
+
+
 def iv_extremeness(df: DataFrame, iv: str = "iv", n: int = 252, mp: int = 30, r: Roll = SYM) -> DataFrame:
     """Percentile of score and population z of today's IV against its trailing history; regime class."""
     d = df.withColumns({"iv_percentile": r.pct_rank(iv, n, mp, ties="max") * 100, "iv_z": r.z(iv, n, mp, ddof=0)})

@@ -31,10 +31,10 @@ CTES = {
     "'m' || (rn % 3) AS model, volume FROM tape0 WHERE nxt IS NOT NULL",
     "qtape": "SELECT *, " + ", ".join(f"0.02::DOUBLE * score + sigma * {v}::DOUBLE AS {k}" for k, v in
     {"q05": -1.645, "q10": -1.2816, "q25": -0.6745, "q50": 0.0, "q75": 0.6745, "q90": 1.2816, "q95": 1.645}.items()) + " FROM tape",
-    "chain": """SELECT symbol, quote_date, expiry, strike, type, sum(l_quantity) AS volume, sum(3 * l_quantity + l_linenumber) AS oi, 0.1037::DOUBLE + 2 * avg(l_discount) AS iv, 100 * avg(l_tax) AS bid,
-  101 * avg(l_tax) + 1 + avg(l_discount) AS ask, 950 + 10.0::DOUBLE * month(quote_date) AS spot, date_diff('day', quote_date, expiry) / 365.0::DOUBLE AS tte FROM (
+    "chain": """SELECT * EXCLUDE (n, d, x), floor((1037 * n + 200 * d) * 1048576 / (10000 * n)::DOUBLE) / 1048576 AS iv, floor(x * 1048576 / n::DOUBLE) / 1048576 AS bid, floor((101 * x + 100 * n + d) * 1048576 / (100 * n)::DOUBLE) / 1048576 AS ask FROM (
+  SELECT symbol, quote_date, expiry, strike, type, sum(l_quantity) AS volume, sum(3 * l_quantity + l_linenumber) AS oi, count(*) AS n, sum(round(100 * l_discount)::BIGINT)::BIGINT AS d, sum(round(100 * l_tax)::BIGINT)::BIGINT AS x, 950 + 10.0::DOUBLE * month(quote_date) AS spot, date_diff('day', quote_date, expiry) / 365.0::DOUBLE AS tte FROM (
   SELECT *, quote_date + 30 * (1 + p_size % 4)::INT AS expiry, floor((p_retailprice - 900) * 3 / 10) * 10 + 850.0 AS strike, CASE WHEN l_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS type FROM (
-  SELECT p_brand AS symbol, p_size, p_retailprice, l.*, date_trunc('month', CAST(l_shipdate AS DATE))::DATE AS quote_date FROM lineitem l JOIN part ON p_partkey = l_partkey)) GROUP BY 1, 2, 3, 4, 5""",
+  SELECT p_brand AS symbol, p_size, p_retailprice, l.*, date_trunc('month', CAST(l_shipdate AS DATE))::DATE AS quote_date FROM lineitem l JOIN part ON p_partkey = l_partkey)) GROUP BY 1, 2, 3, 4, 5)""",
     "insider": """SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS filing_date, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'G' END AS code, l_quantity AS shares, l_extendedprice AS value,
   l_orderkey AS name, l_linenumber AS ln FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "minute_bars": "SELECT user_id AS symbol, date_trunc('minute', ts) AS minute, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2",

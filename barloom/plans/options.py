@@ -50,7 +50,9 @@ def _(t):
     return op.volatility_surface(t.chain())
 
 
-q.cte("smi", "SELECT *, floor(strike / spot * 10 + 0.5 + 1e-9) / 10 AS smile, floor(tte * 12 + 0.5 + 1e-9)::INT AS months FROM chain")
+# the ratio's own binary value decides: twenty times it as a sum and what rounding the sum left out
+q.cte("smi0", "SELECT *, a + b AS s, (a - ((a + b) - ((a + b) - a))) + (b - ((a + b) - a)) AS e, floor((a + b) / 2) AS n FROM (SELECT *, strike / spot * 16 AS a, strike / spot * 4 AS b FROM chain)")
+q.cte("smi", "SELECT *, (n + (s - 2 * n - 1 > 0 OR s - 2 * n - 1 = 0 AND (e > 0 OR e = 0 AND n::BIGINT % 2 = 1))::INT) / 10 AS smile, round_even(tte * 12, 0)::INT AS months FROM smi0")
 
 
 @plan("smile_and_term", 86, f"{SK} smile months:i iv n:i", "SELECT symbol, quote_date, smile, months, avg(iv) AS iv, count(*) AS n FROM smi GROUP BY GROUPING SETS ((symbol, quote_date, smile), (symbol, quote_date, months))")
@@ -170,9 +172,17 @@ def _(t):
     return op.implied_moves(op.atm_straddle(t.chain()))
 
 
-@plan("option_implied_move", 369, f"{SK} expiry:d strike type:s implied_move", "SELECT *, spot * iv * sqrt(tte) AS implied_move FROM chain")
+@plan(
+    "option_implied_move",
+    369,
+    f"{SK} expiry:d strike type:s implied_move adjusted_iv one_sigma_move two_sigma_move expected_move one_sigma_pct two_sigma_pct low_68 high_68 low_95 high_95",
+    """SELECT *, two_sigma_move / spot AS two_sigma_pct, -one_sigma_move AS low_68, one_sigma_move AS high_68, -two_sigma_move AS low_95, two_sigma_move AS high_95 FROM (
+    SELECT *, one_sigma_move * 2 AS two_sigma_move, one_sigma_move * 0.8::DOUBLE AS expected_move, one_sigma_move / spot AS one_sigma_pct FROM (
+    SELECT *, spot * adjusted_iv * sqrt(tte) AS one_sigma_move FROM (
+    SELECT *, spot * iv * sqrt(tte) AS implied_move, iv * sqrt(tte / (30::DOUBLE / 365)) AS adjusted_iv FROM chain)))""",
+)
 def _(t):
-    return t.chain().withColumn("implied_move", op.option_implied_move())
+    return op.implied_move_statistics(t.chain().withColumn("implied_move", op.option_implied_move()))
 
 
 _w = dict(order="quote_date")

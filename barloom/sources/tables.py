@@ -161,9 +161,13 @@ class Tables:
             }
         )
         g = j.groupBy("symbol", "quote_date", "expiry", "strike", "type").agg(
-            F.sum("l_quantity").alias("volume"), F.sum(3 * F.col("l_quantity") + F.col("l_linenumber")).alias("oi"), (0.1037 + 2 * F.avg("l_discount")).alias("iv"),
-            (100 * F.avg("l_tax")).alias("bid"), (101 * F.avg("l_tax") + 1 + F.avg("l_discount")).alias("ask"),
+            F.sum("l_quantity").alias("volume"), F.sum(3 * F.col("l_quantity") + F.col("l_linenumber")).alias("oi"), F.count("*").alias("n"),
+            F.sum(F.round(100 * F.col("l_discount")).cast("long")).alias("d"), F.sum(F.round(100 * F.col("l_tax")).cast("long")).alias("x"),
         )
+        # whole percents summed exactly, and quotes on a binary grid: their sums are exact in any order
+        grid = lambda a, b: F.floor(a * 1048576 / b) / 1048576.0
+        n, d, x = F.col("n"), F.col("d"), F.col("x")
+        g = g.withColumns({"iv": grid(1037 * n + 200 * d, 10000 * n), "bid": grid(x, n), "ask": grid(101 * x + 100 * n + d, 100 * n)}).drop("n", "d", "x")
         return g.withColumns({"spot": 950 + 10.0 * F.month("quote_date"), "tte": F.datediff("expiry", "quote_date") / 365.0})
 
     def insider(self) -> DataFrame:
