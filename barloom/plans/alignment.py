@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import alignment as al
 from barloom.plans import duck as q
 from barloom.plans.registry import plan
-from barloom.sources import io
+from barloom.sources import caches, io
 
 
 @plan("merged_scan", (2, 24), "symbol date close volume", "SELECT symbol, date, close, volume FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
@@ -369,3 +371,27 @@ def _(t):
     return t.tape().groupBy("horizon").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("y_true").alias("mean_return"), F.avg((F.col("score") * F.col("y_true") > 0).cast("int")).alias("hit_rate"))
 
 
+
+
+q.cte("cached", "SELECT symbol, 21 AS horizon, 'price_g1' AS family, CASE WHEN date < DATE '1997-01-01' THEN 'train' ELSE 'valid' END AS split, date, close, volume FROM bars")
+
+
+@plan("export_offline", 10, "symbol horizon:i family:s split:s date close volume", "SELECT upper(symbol) AS symbol, horizon, family, split, date, close, volume FROM cached WHERE split = 'valid'")
+def _(t):
+    """All bars written as caches, one file per symbol and split, and the validation caches read back as one long table."""
+    path = f"{caches.shared_folder(t.spark)}/caches-{uuid.uuid4().hex}"
+    split = F.when(F.col("date") < F.lit("1997-01-01").cast("date"), "train").otherwise("valid")
+    named = {"horizon": F.lit(21), "family": F.lit("price_g1"), "split": split}
+    caches.write_caches(t.bars().select("symbol", "date", "close", "volume").withColumns(named), path)
+    return caches.read_caches(t.spark, path).where("split = 'valid'")
+
+
+@plan("snapshot_write", 9, "symbol date close volume horizon:i", "SELECT symbol, date, close, volume, 21 AS horizon FROM bars")
+def _(t):
+    """A snapshot by date with its metadata, written once; what a second writer offers is left aside."""
+    path = f"{caches.shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    by_month = t.bars().select("symbol", F.trunc("date", "month").alias("date"), F.col("date").alias("day"), "close", "volume")
+    io.write_snapshot(by_month, path, {"horizon": "21"})
+    io.write_snapshot(by_month.limit(0), path, {"horizon": "5"})
+    meta = t.spark.read.json(f"{path}/meta").where("key = 'horizon'").select(F.col("value").cast("int").alias("horizon"))
+    return t.spark.read.parquet(f"{path}/data").select("symbol", F.col("day").alias("date"), "close", "volume").join(F.broadcast(meta))
