@@ -7,7 +7,6 @@ import math
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -431,13 +430,6 @@ def conformal_interval(df: DataFrame, q: DataFrame, f: str, keys) -> DataFrame:
     return d.withColumns({"lower": F.col(f) - F.col("q"), "upper": F.col(f) + F.col("q")})
 
 
-def isotonic(df: DataFrame, p="p", y="y") -> DataFrame:
-    """Isotonic calibration fitted on the rows given."""
-    v = VectorAssembler(inputCols=[p], outputCol="__f").transform(df.withColumn("__y", F.col(y).cast("double")))
-    m = IsotonicRegression(featuresCol="__f", labelCol="__y", predictionCol="calibrated").fit(v)
-    return m.transform(v).drop("__f", "__y")
-
-
 def platt(df: DataFrame, p="p", y="y", eps=1e-6) -> DataFrame:
     """Logistic regression on the logit of the probability."""
     q = clip(p, eps, 1 - eps)

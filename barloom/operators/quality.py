@@ -247,8 +247,22 @@ def completeness(expected_families: list[str], windows: DataFrame, present: Data
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-insensitive content hash: wrap-around sum of row hashes, with the row count."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("content_hash"))
+    """Hash of a table as a multiset of rows, the same in any engine: the number of rows, and the sum of 60-bit parts of the md5 of
+    each row, modulo 2 ** 61 - 1. Partial sums merge in any order; repeated rows count.
+
+    A row is the text of its columns, in the order given, each as its length, a colon and the value, a null as a dash; numbers with
+    a fraction count as the sixteen hex digits of the nearest multiple of 2 ** -20, dates and times as their ISO text.
+    """
+    parts = []
+    for c in columns:
+        kind = df.schema[c].dataType.typeName()
+        x = F.col(c)
+        if kind in ("double", "float"):
+            x = F.when(F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > 2.0**42), x.cast("string")).otherwise(F.lower(F.lpad(F.hex(F.floor(x.cast("double") * 1048576 + 0.5)), 16, "0")))
+        parts.append(F.coalesce(F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")), F.lit("-")))
+    part = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("decimal(38,0)")
+    summed = F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")) % F.lit(2**61 - 1).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), summed.cast("long").cast("string").alias("content_hash"))
 
 
 def fold_boundaries_ok(folds: DataFrame, embargo_days: int, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, wilson_interval
 from barloom.operators import evaluation as op
+from barloom.operators.isotonic import isotonic
 from barloom.plans import duck as q
 from barloom.plans.market import select_with
 from barloom.plans.registry import plan
@@ -437,9 +438,16 @@ def _(t):
     return op.conformal_interval(d, cq, "score", ["symbol", "horizon"])
 
 
-@plan("isotonic_calibration", 318, "symbol date p calibrated", why_no_sql="pool-adjacent-violators fit; tested by monotonicity")
+q.cte("iso0", "SELECT floor(p * 1000) / 1000 AS bin, count(*) AS w, sum(y)::BIGINT AS s FROM tape GROUP BY 1")
+q.cte("iso1", "SELECT bin, row_number() OVER o AS i, sum(w) OVER o AS w, sum(s) OVER o AS s FROM iso0 WINDOW o AS (ORDER BY bin)")
+# the value at i is the most over starts j <= i of the least over ends k >= i of the mean of j..k
+q.cte("iso2", "SELECT a.i AS j, b.i AS k, (b.s - coalesce(c.s, 0))::DOUBLE / (b.w - coalesce(c.w, 0)) AS m FROM iso1 a JOIN iso1 b ON b.i >= a.i LEFT JOIN iso1 c ON c.i = a.i - 1")
+q.cte("iso3", "SELECT k AS i, max(least_mean) AS calibrated FROM (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS least_mean FROM iso2) GROUP BY k")
+
+
+@plan("isotonic_calibration", 318, "symbol date p calibrated", "SELECT symbol, date, p, calibrated FROM tape JOIN iso1 ON bin = floor(p * 1000) / 1000 JOIN iso3 USING (i)")
 def _(t):
-    return op.isotonic(t.tape())
+    return isotonic(t.tape().withColumn("bin", F.floor(F.col("p") * 1000) / 1000), "bin", "y")
 
 
 @plan("platt_calibration", 319, "symbol date p calibrated", why_no_sql="iterative fit; tested by invariants")

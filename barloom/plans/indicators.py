@@ -179,7 +179,19 @@ def _(t):
     return op.adx(t.bars())
 
 
-@plan("parabolic_sar", 132, "symbol date psar", why_no_sql="path-dependent fold; tested against a plain loop on a fixture")
+q.cte("sar0", "SELECT symbol, date, high, low, row_number() OVER w AS rn, least(lag(low, 1, 'inf'::DOUBLE) OVER w, lag(low, 2, 'inf'::DOUBLE) OVER w) AS low2, greatest(lag(high, 1, '-inf'::DOUBLE) OVER w, lag(high, 2, '-inf'::DOUBLE) OVER w) AS high2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)")
+q.cte(
+    "sar",
+    """SELECT symbol, rn, true AS up, 0.02::DOUBLE AS af, high::DOUBLE AS ep, low::DOUBLE AS stop FROM sar0 WHERE rn = 1
+    UNION ALL SELECT symbol, rn, CASE WHEN turn THEN NOT up ELSE up END, CASE WHEN turn THEN 0.02 WHEN further THEN least(af + 0.02::DOUBLE, 0.2) ELSE af END,
+    CASE WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN further THEN CASE WHEN up THEN high ELSE low END ELSE ep END, CASE WHEN turn THEN ep ELSE stop END FROM (
+    SELECT *, CASE WHEN up THEN low < stop ELSE high > stop END AS turn, CASE WHEN up THEN high > ep ELSE low < ep END AS further FROM (
+    SELECT d.symbol, d.rn, d.high, d.low, p.up, p.af, p.ep, CASE WHEN p.up THEN least(p.stop + p.af * (p.ep - p.stop), d.low2) ELSE greatest(p.stop + p.af * (p.ep - p.stop), d.high2) END AS stop
+    FROM sar p JOIN sar0 d ON d.symbol = p.symbol AND d.rn = p.rn + 1))""",
+)
+
+
+@plan("parabolic_sar", 132, "symbol date psar", "SELECT symbol, date, stop AS psar FROM sar JOIN sar0 USING (symbol, rn)")
 def _(t):
     return op.parabolic_sar(t.bars())
 
