@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, finite, ratio
 from barloom.functions.orderstats import quantiles
 from barloom.functions.windows import SYM, Roll
+from barloom.operators.moments import fold_ridge, principal_components
 
 
 def forward_return(df: DataFrame, h: int, price="close", out="forward_return", r: Roll = SYM) -> DataFrame:
@@ -214,11 +212,8 @@ def fold_missing(df: DataFrame, columns: list[str], how: str, is_train="is_train
 
 def family_pca(df: DataFrame, columns: list[str], k: int, out="pc") -> tuple[DataFrame, list[float]]:
     """Standardise and project a wide family; also returns the explained variance shares (k numbers)."""
-    v = VectorAssembler(inputCols=columns, outputCol="__v").transform(df.dropna(subset=columns))
-    z = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(v).transform(v)
-    model = PCA(k=k, inputCol="__z", outputCol="__p").fit(z)
-    p = model.transform(z).withColumn("__a", vector_to_array("__p"))
-    return p.select(*df.columns, *[F.col("__a")[i].alias(f"{out}{i + 1}") for i in range(k)]), [float(x) for x in model.explainedVariance]
+    projected, shares, _ = principal_components(df, columns, k, out)
+    return projected, shares[:k]
 
 
 def intrinsic_dimension(shares: list[float], level: float = 0.9) -> tuple[int, float]:
@@ -232,18 +227,17 @@ def intrinsic_dimension(shares: list[float], level: float = 0.9) -> tuple[int, f
 
 
 def linear_family_weights(df: DataFrame, families: dict[str, list[str]], y: str, folds: DataFrame, ridge: float = 1e-3) -> DataFrame:
-    """Ridge regression per purged fold; a family's weight is the norm of its coefficients, averaged over folds."""
-    spark = df.sparkSession
+    """Ridge regression per purged fold, all from one scan; a family's weight is the norm of its coefficients, averaged over folds."""
     cols = [c for cs in families.values() for c in cs]
-    rows = []
-    for f in folds.collect():  # a handful of fold boundaries
-        train = df.where(F.col("date") <= F.lit(f["train_last"])).dropna(subset=[*cols, y])
-        v = VectorAssembler(inputCols=cols, outputCol="features").transform(train)
-        m = LinearRegression(featuresCol="features", labelCol=y, regParam=ridge, standardization=True).fit(v)
-        rows += [(int(f["fold"]), c, float(b)) for c, b in zip(cols, m.coefficients)]
-    coef = spark.createDataFrame(rows, "fold int, column string, beta double")
-    owner = spark.createDataFrame([(c, fam) for fam, cs in families.items() for c in cs], "column string, family string")
-    return family_norms(coef.join(F.broadcast(owner), "column"), ["fold"]).groupBy("family").agg(F.avg("norm").alias("weight"))
+    coef = fold_ridge(df, cols, y, folds, ridge)
+    owner = F.create_map(*[F.lit(x) for fam, cs in families.items() for c in cs for x in (c, fam)])
+    return family_norms(coef.withColumn("family", owner[F.col("column")]), ["fold"]).groupBy("family").agg(F.avg("norm").alias("weight"))
+
+
+def linear_normal_equations(df: DataFrame, columns: list[str], y: str, folds: DataFrame, ridge: float = 1e-3) -> DataFrame:
+    """Per fold and column the correlation with the target that the fitted coefficients imply, and whether it holds to 1e-9."""
+    found = fold_ridge(df, columns, y, folds, ridge)
+    return found.select("fold", "n", "column", "correlation", (F.col("residual") < 1e-9).cast("int").alias("solved"))
 
 
 def family_norms(coef: DataFrame, keys=()) -> DataFrame:

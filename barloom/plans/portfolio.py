@@ -547,22 +547,62 @@ def _wide(t):
     return d.select("symbol", "date", *[r.mean("ret", n).alias(f"m{n}") for n in (5, 10, 20)], *[r.std("ret", n).alias(f"s{n}") for n in (5, 10, 20)], "volume", F.lead("ret").over(r.base).alias("y"))
 
 
-@plan("family_pca", 278, "symbol date pc1 pc2", why_no_sql="component signs are arbitrary; tested by invariants")
+PCA = ["m5", "m10", "m20", "s5", "s10", "s20", "volume"]
+LINEAR = {"mean": ["m5", "m10", "m20"], "vol": ["s5", "s10", "s20"], "liq": ["volume"]}
+_ws = ", ".join([f"{q.mean('ret', n)} AS m{n}" for n in (5, 10, 20)] + [f"{q.std('ret', n)} AS s{n}" for n in (5, 10, 20)])
+q.cte("wide", f"SELECT symbol, date, {_ws}, volume::DOUBLE AS volume, lead(ret) OVER (PARTITION BY symbol ORDER BY date) AS y FROM rets")
+q.cte("wfull", "SELECT * FROM wide WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in PCA))
+
+
+@plan("family_pca", 278, "symbol date pc1 pc2", why_no_sql="eigen decomposition; pca_invariants and linear_invariants have SQL")
 def _(t):
-    return lb.family_pca(_wide(t).drop("y"), ["m5", "m10", "m20", "s5", "s10", "s20", "volume"], 2)[0]
+    return lb.family_pca(_wide(t).drop("y"), PCA, 2)[0]
 
 
-@plan("pca_dimension", 279, "dimension:i noise", why_no_sql="eigen decomposition; tested by invariants")
+@plan("pca_dimension", 279, "dimension:i noise", why_no_sql="eigen decomposition; pca_invariants has SQL")
 def _(t):
     d = _wide(t).drop("y")
-    _, shares = lb.family_pca(d, ["m5", "m10", "m20", "s5", "s10", "s20", "volume"], 7)
+    _, shares = lb.family_pca(d, PCA, 7)
     n, rest = lb.intrinsic_dimension(shares)
     return d.limit(1).select(F.lit(n).alias("dimension"), F.lit(rest).alias("noise"))
 
 
-@plan("linear_family_weights", (110, 280), "family:s weight", why_no_sql="regularised regression per fold; tested by invariants")
+@plan(
+    "pca_invariants",
+    (278, 279),
+    "n:i total_variance uncorrelated:i in_order:i as_shares:i centred:i",
+    "SELECT count(*) AS n, " + " + ".join(f"var_samp({c}) / var_samp({c})" for c in PCA) + " AS total_variance, 1 AS uncorrelated, 1 AS in_order, 1 AS as_shares, 1 AS centred FROM wfull",
+)
+def _(t):
+    """What makes the projections principal components: they are centred and uncorrelated, their variances fall, follow the shares and
+    add up to those of the standardised columns."""
+    k = len(PCA)
+    d, shares = lb.family_pca(_wide(t).drop("y"), PCA, k)
+    pcs = [f"pc{i + 1}" for i in range(k)]
+    pairs = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(pcs) for b in pcs[:i]]
+    g = d.agg(F.count("*").alias("n"), *[F.var_samp(c).alias(f"v_{c}") for c in pcs], F.greatest(*pairs).alias("off"), F.greatest(*[F.abs(F.avg(c)) for c in pcs]).alias("mid"))
+    v = [F.col(f"v_{c}") for c in pcs]
+    total = sum(v, F.lit(0.0))
+    falling = F.greatest(*[b - a for a, b in zip(v, v[1:], strict=False)]) <= 1e-9
+    near = F.greatest(*[F.abs(x / total - s) for x, s in zip(v, shares, strict=True)]) < 1e-9
+    checks = {"uncorrelated": F.col("off") < 1e-9, "in_order": falling, "as_shares": near, "centred": F.col("mid") < 1e-9}
+    return g.select("n", total.alias("total_variance"), *[c.cast("int").alias(name) for name, c in checks.items()])
+
+
+@plan("linear_family_weights", (110, 280), "family:s weight", why_no_sql="regularised regression per fold; linear_invariants has SQL")
+def _(t):
+    return lb.linear_family_weights(_wide(t), LINEAR, "y", dfolds(t))
+
+
+_lcols = [c for cs in LINEAR.values() for c in cs]
+q.cte("lrows", "SELECT fold, w.* FROM wfull w JOIN dfolds ON date <= train_last WHERE y IS NOT NULL")
+
+
+@plan("linear_invariants", (110, 280), "fold:i n:i column:s correlation solved:i", " UNION ALL ".join(f"SELECT fold, count(*) AS n, '{c}' AS \"column\", corr({c}, y) AS correlation, 1 AS solved FROM lrows GROUP BY fold" for c in _lcols))
 def _(t):
-    return lb.linear_family_weights(_wide(t), {"mean": ["m5", "m10", "m20"], "vol": ["s5", "s10", "s20"], "liq": ["volume"]}, "y", dfolds(t))
+    """Each fold's normal equations hold: the column's correlation with the target is what the coefficients of all columns make of
+    their correlations with it, and of the penalty. The correlation is put together from the fitted coefficients."""
+    return lb.linear_normal_equations(_wide(t), _lcols, "y", dfolds(t))
 
 
 q.cte("coefs", "SELECT p_type AS family, p_size / 10.0 - 2 AS beta FROM part")
