@@ -14,22 +14,23 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import col
 
 
-#: distinct values of a bucket, and the most split points that a row is compared with
-PER_BUCKET, MOST_BUCKETS = 1_000_000, 4096
+#: split points of a group: one value from each hash slot, looked up in two steps of STRIDE
+SLOTS, STRIDE = 128, 16
 
 
 def ranked_values(df: DataFrame, keys, x: str, buckets: int = 64) -> DataFrame:
     """One row per (keys, value): cnt, below (rows with a smaller value), total, dense (1-based), distinct."""
     keys = list(keys)
     d = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("cnt"))
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("cnt").alias("total"))
+    # the value of the least hash in each slot: a sample of the group's own values that any order of tasks finds
+    slots = d.groupBy(*keys, F.pmod(F.xxhash64(x), F.lit(SLOTS)).alias("__slot")).agg(F.count("*").alias("__d"), F.sum("cnt").alias("__t"), F.min_by(x, F.xxhash64(F.col(x), F.lit(1))).alias("__v"))
+    sizes = slots.groupBy(*keys).agg(F.sum("__d").alias("distinct"), F.sum("__t").alias("total"), F.sort_array(F.collect_list("__v")).alias("__cut"))
+    sizes = sizes.withColumn("__cut", F.when(F.col("distinct") > 4 * buckets, F.col("__cut")))
+    sizes = sizes.withColumn("__coarse", F.filter("__cut", lambda _, i: i % STRIDE == STRIDE - 1))
     d = d.join(sizes, keys) if keys else d.join(F.broadcast(sizes))  # without keys the sizes are one row
-    # buckets follow the distinct values, so that one holds about PER_BUCKET of them
-    wanted = F.greatest(F.lit(buckets), F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("distinct") / PER_BUCKET)))
-    step = F.greatest(F.lit(1), F.floor(F.col("distinct") / wanted)).cast("bigint")
-    splits = d.where((F.col("distinct") > 4 * buckets) & (F.pmod(F.xxhash64(x), step) == 0)).groupBy(*keys).agg(F.sort_array(F.collect_list(x)).alias("__cut"))
-    d = d.join(splits, keys, "left") if keys else d.join(F.broadcast(splits), F.lit(True), "left")
-    d = d.withColumn("__b", F.when(F.col("__cut").isNull(), 0).otherwise(F.size(F.filter("__cut", lambda s: s < F.col(x))))).drop("__cut")
+    coarse = F.size(F.filter("__coarse", lambda v: v < F.col(x)))
+    fine = F.size(F.filter(F.slice("__cut", coarse * STRIDE + 1, F.lit(STRIDE)), lambda v: v < F.col(x)))
+    d = d.withColumn("__b", F.when(F.col("__cut").isNull(), 0).otherwise(coarse * STRIDE + fine)).drop("__cut", "__coarse")
     order = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     base = d.groupBy(*keys, "__b").agg(F.sum("cnt").alias("__bc"), F.count("*").alias("__bd"))
     base = base.select(*keys, "__b", F.coalesce(F.sum("__bc").over(order), F.lit(0)).alias("__base"), F.coalesce(F.sum("__bd").over(order), F.lit(0)).alias("__dbase"))
@@ -58,6 +59,20 @@ def with_ranks(df: DataFrame, keys, x: str, out: dict[str, str], descending: boo
     return df.join(ranks, [*keys, x], "left")
 
 
+def rank_table(df: DataFrame, row_keys, by: str, scopes: list[str], metrics: list[str]) -> DataFrame:
+    """Percentile ranks (average of equals) of several metrics within several groupings of each `by`, from one ranking: for every row,
+    told by `row_keys`, `pct_<scope>_<metric>` and `total_<scope>_<metric>`. A row without the group or the value has neither."""
+    cell = lambda s, m: F.struct(F.lit(s).alias("__scope"), F.col(s).cast("string").alias("__group"), F.lit(m).alias("__metric"), F.col(m).cast("double").alias("__x"))
+    cells = F.filter(F.array(*[cell(s, m) for s in scopes for m in metrics]), lambda c: c["__group"].isNotNull() & c["__x"].isNotNull())
+    long = df.select(*row_keys, F.explode(cells).alias("__c")).select(*row_keys, "__c.*")
+    keys = [by, "__scope", "__group", "__metric"]
+    r = ranked_values(long, keys, "__x")
+    r = r.select(*keys, "__x", ((F.col("below") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("__pct"), "total")
+    at = lambda s, m, c: F.max(F.when((F.col("__scope") == s) & (F.col("__metric") == m), F.col(c)))
+    found = [f for s in scopes for m in metrics for f in (at(s, m, "__pct").alias(f"pct_{s}_{m}"), at(s, m, "total").alias(f"total_{s}_{m}"))]
+    return long.join(r, [*keys, "__x"]).groupBy(*row_keys).agg(*found)
+
+
 def quantiles(df: DataFrame, keys, x: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per group, one column per named probability."""
     keys = list(keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, col, finite, flag, norm_cdf, row_mean
-from barloom.functions.orderstats import group_zscore, quantiles, with_ranks
+from barloom.functions.orderstats import group_zscore, quantiles, rank_table, with_ranks
 from barloom.functions.windows import SYM, Roll
 
 
@@ -17,13 +17,12 @@ def session_index(df: DataFrame, date="date") -> DataFrame:
 
 def family_snapshot(panel: DataFrame, families: dict[str, list[str]], shift: int = 1) -> DataFrame:
     """Row mean of each family's columns, moved `shift` sessions ahead on the calendar shared by all symbols."""
-    cal = session_index(panel)
     snap = panel.select("symbol", "date", *[row_mean([finite(c) for c in cols]).alias(f"snap_{f}") for f, cols in families.items()])
     if not shift:
         return snap.withColumn("effective_date", F.col("date"))
-    # bounded by the calendar, so the two copies of it are broadcast by size
-    move = cal.join(cal.select(F.col("date").alias("__to"), (F.col("session") - shift).alias("session")), "session").select("date", "__to")
-    return snap.join(move, "date").withColumnRenamed("date", "effective_date").withColumnRenamed("__to", "date")
+    # bounded by the calendar
+    move = panel.select("date").distinct().select("date", F.lead("date", shift).over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("__to"))
+    return snap.join(move.where(F.col("__to").isNotNull()), "date").withColumnRenamed("date", "effective_date").withColumnRenamed("__to", "date")
 
 
 def asof_snapshot(panel: DataFrame, families: dict[str, list[str]], asof: str, shift: int = 1) -> DataFrame:
@@ -37,7 +36,8 @@ def asof_snapshot(panel: DataFrame, families: dict[str, list[str]], asof: str, s
     known = known.withColumns({"__back": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy("symbol"))})
     pick = known.where(F.col("__back") == F.least(F.lit(shift + 1), F.col("__n")))
     return pick.select(
-        "symbol", F.lit(asof).cast("date").alias("date"), F.col("date").alias("effective_date"),
+        # the date asked for, as no constant: joins on it keep their key
+        "symbol", F.date_add("date", F.datediff(F.lit(asof).cast("date"), F.col("date"))).alias("date"), F.col("date").alias("effective_date"),
         *[row_mean([finite(c) for c in cols]).alias(f"snap_{f}") for f, cols in families.items()],
     )
 
@@ -66,23 +66,21 @@ def percentile_rank(df: DataFrame, keys, x: str, out: str, higher_is_better: boo
 
 
 def peer_percentiles(df: DataFrame, metrics: list[str], min_sector: int = 3, min_industry: int = 3, neutral: float = 0.5, fallback: bool = True) -> DataFrame:
-    """Sector and industry percentiles with minimum-peer gates; industry falls back to sector, then to `neutral`."""
-    base = df
+    """Sector and industry percentiles with minimum-peer gates; industry falls back to sector, then to `neutral`. One row per symbol
+    and date; all metrics and both groupings share one ranking."""
+    scopes = {"sector": min_sector, "industry": min_industry}
+    df = df.join(rank_table(df, ["symbol", "date"], "date", list(scopes), metrics), ["symbol", "date"], "left")
     for m in metrics:
-        for scope, gate in (("sector", min_sector), ("industry", min_industry)):
-            keys = ["date", scope]
-            df = with_ranks(df, keys, m, {f"__p_{scope}": "pct", f"__n_{scope}": "total"}, source=base)
-            p = F.when(F.col(f"__n_{scope}") >= gate, F.col(f"__p_{scope}")) if gate else F.col(f"__p_{scope}")
-            df = df.withColumn(f"__p_{scope}", p)
+        p = {k: F.when(F.col(f"total_{k}_{m}") >= gate, F.col(f"pct_{k}_{m}")) if gate else F.col(f"pct_{k}_{m}") for k, gate in scopes.items()}
         for name, cheap in (("pct", False), ("cheap_pct", True)):
-            s, i = ((1 - F.col(f"__p_{k}") if cheap else F.col(f"__p_{k}")) for k in ("sector", "industry"))
+            s, i = (1 - p[k] if cheap else p[k] for k in ("sector", "industry"))
             df = df.withColumns(
                 {
                     f"sector_{m}_{name}": clip(F.coalesce(s, F.lit(neutral)), 0, 1),
                     f"industry_{m}_{name}": clip(F.coalesce(i, s, F.lit(neutral)) if fallback else F.coalesce(i, F.lit(neutral)), 0, 1),
                 }
             )
-        df = df.drop("__p_sector", "__p_industry", "__n_sector", "__n_industry")
+        df = df.drop(*[f"{n}_{k}_{m}" for n in ("pct", "total") for k in scopes])
     return df
 
 
