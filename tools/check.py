@@ -20,7 +20,7 @@ from barloom.plans.registry import parse_columns  # noqa: E402
 from barloom.session import local_session  # noqa: E402
 
 #: how far floating values of both engines may differ, relative; smaller ones are what is left of sums that cancel
-REL, LEAST = 1e-6, 1e-9
+REL, LEAST = 1e-8, 1e-9
 #: what the last digits of amounts of about one leave
 LAST = 1e-14
 #: the same for a column that is a difference of large amounts: a share of another column of the row (strike, and spot near it)
