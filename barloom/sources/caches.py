@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
     spark.conf.set("spark.checkpoint.dir", folder)
