@@ -29,12 +29,14 @@ def record(url: Column, page: Column, payload: Column) -> Column:
 
 
 def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The pages as records with their place: page_id, archive, offset, record, and the columns of `pages`.
+    """The pages as records with their place: page_id, archive, offset, record, and the other columns of `pages`. Columns of `pages`
+    that have the names archive, offset or record, or those used on the way (_a, _i, _c, _k, _content), are left out.
 
     Archives take PER_ARCHIVE ids in a row. Pages without an id are spread over archives of their own by content. Offsets come
     from the lengths alone, a slim table, and are then joined to the pages; rows that repeat are records of their own, told
     apart by url and content, and equal rows are interchangeable.
     """
+    pages = pages.drop(*[c for c in ("archive", "offset", "record", "_a", "_i", "_c", "_k", "_content") if c not in (id_col, url_col, html_col)])
     text = record(F.col(url_col), F.col(id_col), F.col(html_col))
     loose = F.concat(F.lit("loose-"), F.hex(F.xxhash64(url_col, html_col)).substr(1, 3))
     name = F.coalesce(F.concat(F.lit("pages-"), F.lpad(F.floor(F.col(id_col) / PER_ARCHIVE).cast("string"), 9, "0")), loose)

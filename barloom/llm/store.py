@@ -14,9 +14,12 @@ WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`. Where it is unset (tests, one machine) a temporary one is set."""
+    """The folder named by `spark.checkpoint.dir`. Where it is unset a temporary one is set on a single machine, as in tests; on
+    several machines there is none that all of them see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
