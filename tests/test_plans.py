@@ -34,5 +34,5 @@ def test_floats_pass_unchanged(spark):
 
 
 def test_tolerance_is_relative():
-    assert same(1e-4, 1e-4 * (1 + 9e-7)) and not same(1e-4, 1e-4 * (1 + 2e-6)) and not same(5e-6, 0.0)
+    assert same(1e-4, 1e-4 * (1 + 9e-9)) and not same(1e-4, 1e-4 * (1 + 2e-8)) and not same(5e-6, 0.0)
     assert same(1e-10, 0.0) and same(math.inf, math.inf) and not same(math.inf, 1.0) and same(None, None) and not same(None, 0.0)
