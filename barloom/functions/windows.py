@@ -12,7 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import array_quantile, col, ratio
+from barloom.functions.columns import col, ratio
+from barloom.functions.ordered import Level, Rank, answers
+
+#: how far the weights of an exponential mean fall over a block, and after how many blocks no double is left of any value
+FALL, BLOCKS_BACK = 1e130, 5
 
 
 def let(value: Column, use) -> Column:
@@ -71,16 +75,6 @@ class Roll:
     def count(self, x, n=None, shift=0):
         return F.count(col(x)).over(self.frame(n, shift))
 
-    def quantile(self, x, p: float, n=None, mp=None, shift=0):
-        """Linear-interpolated quantile over a bounded frame (several levels share one sorted copy of the frame)."""
-        x, w = col(x), self.frame(n, shift)
-        if n is None:
-            return self._need(F.percentile(x, F.lit(p)).over(w), x, n, mp, w)
-        return self._need(let(F.sort_array(F.collect_list(x).over(w)), lambda a: array_quantile(a, p)), x, n, mp, w)
-
-    def median(self, x, n=None, mp=None, shift=0):
-        return self.quantile(x, 0.5, n, mp, shift)
-
     def prod(self, x, n=None, mp=None, shift=0):
         return self.apply(F.product, x, n, mp, shift)
 
@@ -161,17 +155,9 @@ class Roll:
         y, w = col(y), self.frame(n, shift)
         return self._need(F.regr_slope(y, F.col("__rn").cast("double")).over(w), y, n, mp, w)
 
-    def pct_rank(self, x, n, mp=None, ties="average"):
-        """Rank of the current value within its frame, in (0, 1]."""
-        x, w = col(x), self.frame(n)
-
-        def rank(v):
-            below = F.size(F.filter(v.l, lambda e: e < v.x))
-            upto = F.size(F.filter(v.l, lambda e: e <= v.x))
-            r = upto if ties == "max" else (below + upto + 1) / 2 if ties == "average" else below + 1
-            return F.when(v.x.isNotNull(), r / F.size(v.l))
-
-        return self._need(let(F.struct(F.collect_list(x).over(w).alias("l"), x.alias("x")), rank), x, n, mp, w)
+    def ordered(self, df: DataFrame, outputs: dict[str, Rank | Level]) -> DataFrame:
+        """Add rolling ranks and quantiles: `outputs` maps a new column to a `Rank` or a `Level`."""
+        return answers([col(k) for k in self.keys], self.row(), df, outputs)
 
     def days_since(self, event, sentinel: float | None = None):
         """Rows since the last row where `event` holds (0 on the event row)."""
@@ -192,28 +178,33 @@ class Roll:
     def ewm(self, df: DataFrame, outputs: dict[str, tuple], adjust: bool = False) -> DataFrame:
         """Exponentially weighted means as native windows: `outputs` maps a new column to (source column, alpha).
 
-        The recurrence y = (1-a) y' + a x is unrolled into blocks of rows. Within a block the weighted prefix sum is a
-        running window; earlier blocks enter through lags of their totals, and three blocks back the weight is below
-        1e-18, so nothing further can change a double. Sources must be free of NULLs after their first value.
+        The recurrence y = (1-a) y' + a x is cut into blocks of rows over which the weight falls by FALL. Inside a block the
+        weights are taken from its end, so that the running sum is never above the values themselves; a block's total is the
+        affine map that it applies to what came before, and BLOCKS_BACK of them in a row take the greatest double below the
+        least one, so that no earlier row can show. Sources must be free of NULLs after their first value.
         """
         plain = [c for c in df.columns]
         for name, (source, alpha) in outputs.items():
             q = 1.0 - alpha
-            width = max(2, math.ceil(14.0 / -math.log(q)))
+            if q <= 0:  # nothing of the past
+                df = df.withColumn(name, col(source).cast("double"))
+                plain.append(name)
+                continue
+            width = max(2, math.ceil(math.log(FALL) / -math.log(q)))
             x = col(source)
             live = self.base.rowsBetween(Window.unboundedPreceding, 0)
             df = df.withColumn("__i", F.count(x).over(live) - 1)
-            df = df.withColumn("__b", F.floor(F.col("__i") / width)).withColumn("__k", (F.col("__i") - F.col("__b") * width).cast("double"))
+            df = df.withColumn("__b", F.floor(F.col("__i") / width)).withColumn("__left", (width - 1 - F.col("__i") + F.col("__b") * width).cast("double"))
             weight = F.lit(1.0) if adjust else F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            term = x * weight * F.pow(F.lit(q), -F.col("__k"))
+            term = x * weight * F.pow(F.lit(q), F.col("__left"))
             in_block = Window.partitionBy(*self.keys, "__b").orderBy(*self.order)
             df = df.withColumn("__t", F.when(x.isNotNull(), term))
             df = df.withColumn("__p", F.sum("__t").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
             df = df.withColumn("__s", F.sum("__t").over(Window.partitionBy(*self.keys, "__b")))
-            total = F.col("__p")
-            for back in (1, 2, 3):
-                total = total + F.coalesce(F.lag("__s", back * width).over(self.base), F.lit(0.0)) * F.lit(q ** (back * width))
-            value = total * F.pow(F.lit(q), F.col("__k"))
+            before = F.lit(0.0)
+            for back in range(BLOCKS_BACK, 0, -1):
+                before = before * F.lit(q**width) + F.coalesce(F.lag("__s", back * width).over(self.base), F.lit(0.0))
+            value = F.col("__p") * F.pow(F.lit(q), -F.col("__left")) + before * F.pow(F.lit(q), width - F.col("__left"))
             if adjust:
                 value = value * F.lit(alpha) / (F.lit(1.0) - F.pow(F.lit(q), F.col("__i") + 1))
             df = df.withColumn(name, F.when(F.col("__i") >= 0, value)).select(*plain, name)

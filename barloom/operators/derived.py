@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import array_quantile, clip, col, finite, flag, row_mean, row_std
+from barloom.functions.ordered import Level
 from barloom.functions.windows import SYM, Roll, let
 
 
@@ -156,15 +157,16 @@ def trust_features(df: DataFrame, y="y_true", q10="q10", q50="q50", q90="q90", r
     """
     w, err = F.col(q90) - F.col(q10), F.col(y) - F.col(q50)
     d = df.withColumns({"__w": w, "__e": err, "__in": flag(F.col(y).between(F.col(q10), F.col(q90)))})
-    d = d.withColumns({"__med": r.median("__w", 20, 5), "__vol": r.std0(y, 20, 5, shift=shift), "__cov": r.mean("__in", 50, 10, shift=shift)})
+    d = d.withColumns({"__vol": r.std0(y, 20, 5, shift=shift), "__cov": r.mean("__in", 50, 10, shift=shift)})
+    d = r.ordered(d, {"__med": Level("__w", 0.5, 20, 5), "__calm": Level("__vol", 0.75, 60, 10)})
     d = d.withColumns(
         {
             "trust_score": clip(1 - F.abs(F.col("__cov") - 0.8) / 0.8, 0, 1), "spread_shock": F.col("__w") / (F.col("__med") + 1e-9) - 1, "quantile_drift": r.diff(q50),
             "width_sigma": F.col("__w") / (F.col("__vol") + 1e-9), "upper_error_rate": r.mean(flag(F.col(y) > F.col(q90)), 50, 10, shift=shift), "lower_error_rate": r.mean(flag(F.col(y) < F.col(q10)), 50, 10, shift=shift),
-            "trend_regime": F.signum(r.mean(y, 20, 5, shift=shift)), "vol_regime": flag(F.col("__vol") > r.quantile("__vol", 0.75, 60, 10) + 1e-9),
+            "trend_regime": F.signum(r.mean(y, 20, 5, shift=shift)), "vol_regime": flag(F.col("__vol") > F.col("__calm") + 1e-9),
         }
     )
-    return d.withColumn("error_asymmetry", F.col("upper_error_rate") - F.col("lower_error_rate")).drop("__w", "__e", "__in", "__med", "__vol", "__cov")
+    return d.withColumn("error_asymmetry", F.col("upper_error_rate") - F.col("lower_error_rate")).drop("__w", "__e", "__in", "__med", "__vol", "__cov", "__calm")
 
 
 def drift_family(df: DataFrame, columns: list[str], n=60, recent=10, mp=20, r: Roll = SYM) -> DataFrame:

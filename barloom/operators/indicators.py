@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, col, ratio, safe_log
+from barloom.functions.ordered import Level
 from barloom.functions.windows import SYM, Roll
 
 
@@ -255,14 +256,14 @@ def statistical_features(df: DataFrame, r: Roll = SYM) -> DataFrame:
     """Volatility, shape, price percentiles and autocorrelation of returns."""
     df = df.withColumn("ret", r.pct("close"))
     df = df.withColumns({"__l1": r.lag("ret", 1), "__l5": r.lag("ret", 5)})
+    levels = {f"percentile_{p}_{n}d": Level("close", p / 100, n) for n in (20, 50) for p in (10, 25, 75, 90)}
+    df = r.ordered(df, levels)
     out = {}
     for n in (5, 10, 20, 50):
         out[f"volatility_{n}d"] = r.std("ret", n)
         out[f"volatility_annualized_{n}d"] = r.std("ret", n) * 252**0.5
     for n in (20, 50):
         out[f"skewness_{n}d"], out[f"kurtosis_{n}d"] = r.skew("ret", n), r.kurt("ret", n)
-        for p in (10, 25, 75, 90):
-            out[f"percentile_{p}_{n}d"] = r.quantile("close", p / 100, n)
     # the lagged partner must also lie inside the 50-row window, so 50-k pairs enter
     full = r.count("ret", 50) >= 50
     for k in (1, 5):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, col, flag, ratio, sigmoid
+from barloom.functions.ordered import Level, Rank
 from barloom.functions.windows import SYM, Roll
 
 ANNUAL = math.sqrt(252)
@@ -209,16 +210,17 @@ def volatility_ladder(df: DataFrame, r: Roll = SYM, alpha=0.05, beta=0.90) -> Da
         }
     )
     z = F.col("short_vol_z_252")
+    df = r.ordered(df, {"__hi": Level("last_shock", 0.95, 252, 60), "__lo": Level("last_shock", 0.1, 20, 5)})
     return df.withColumns(
         {
             "vol_of_vol_ratio": F.col("vol_of_vol_20") / (lo + 1e-6),
             "shock_asymmetry_20": r.mean("__asym", 20, 5),
             "vol_low_regime": flag(z < -0.5),
             "vol_high_regime": flag(z > 0.5),
-            "vol_spike_flag": flag((z > 2) & (F.col("last_shock") > r.quantile("last_shock", 0.95, 252, 60))),
-            "vol_crush_flag": flag((z < -2) & (F.col("last_shock") < r.quantile("last_shock", 0.1, 20, 5))),
+            "vol_spike_flag": flag((z > 2) & (F.col("last_shock") > F.col("__hi"))),
+            "vol_crush_flag": flag((z < -2) & (F.col("last_shock") < F.col("__lo"))),
         }
-    ).drop("__r", "__vs", "__vm", "__vl", "__asym")
+    ).drop("__r", "__vs", "__vm", "__vl", "__asym", "__hi", "__lo")
 
 
 def vol_difference_and_skew(df: DataFrame, short=20, long=60, r: Roll = SYM) -> DataFrame:
@@ -314,13 +316,14 @@ def temporal_patterns(df: DataFrame, r: Roll = SYM) -> DataFrame:
             "__sa": F.abs(season * ret),
         }
     )
+    df = r.ordered(df, {"__vmed": Level("vol_long", 0.5, 252, 60)})
     df = df.withColumns(
         {
             "trend_short_strength": nz(r.diff("__ms", 5) / p),
             "trend_long_strength": nz(F.col("__dl") / p),
             "trend_consistency": nz(r.mean(flag(ret > 0), 20, 10), 0.5),
             "trend_signal_to_noise": nz(F.abs("__dl") / (r.std("__r", 20, 10) * p + 1e-8)),
-            "vol_regime_zscore": nz(soft_z(r, "vol_long", 252, 60, 1e-8, r.median("vol_long", 252, 60))),
+            "vol_regime_zscore": nz(soft_z(r, "vol_long", 252, 60, 1e-8, F.col("__vmed"))),
             "vol_trend": nz(r.diff("vol_long", 10)),
             "weekday_effect": nz(F.when(F.col("__rn") > 126, F.avg("__r").over(w126))),
             "month_phase": clip((F.dayofmonth("date") - 15) / 15.0, -1, 1),
@@ -389,6 +392,7 @@ def forecast_inputs(df: DataFrame, r: Roll = SYM) -> DataFrame:
     df = df.withColumns({f"realized_vol_{n}": r.std("r1", n, max(3, n // 2)) for n in (5, 10, 20)})
     df = df.withColumns({f"close_vs_sma{n}": c / r.mean("close", n, n // 2) - 1 for n in (10, 20, 50)})
     rv = F.col("realized_vol_20")
+    df = r.ordered(df, {"__lo": Level("realized_vol_20", 0.2, 252, 60), "__hi": Level("realized_vol_20", 0.8, 252, 60)})
     return df.withColumns(
         {
             "intraday_range": r.mean("high_low_range_pct", 10, 5),
@@ -397,11 +401,11 @@ def forecast_inputs(df: DataFrame, r: Roll = SYM) -> DataFrame:
             "rolling_kurt_20": r.kurt("r1", 20, 10),
             "volume_zscore": (F.col("volume") - r.mean("volume", 20, 10)) / (r.std("volume", 20, 10) + 1e-8),
             "volume_change_pct": r.pct("volume"),
-            "low_vol_flag": flag(rv < r.quantile("realized_vol_20", 0.2, 252, 60)),
-            "high_vol_flag": flag(rv > r.quantile("realized_vol_20", 0.8, 252, 60)),
+            "low_vol_flag": flag(rv < F.col("__lo")),
+            "high_vol_flag": flag(rv > F.col("__hi")),
             "breakout_flag": flag(F.col("close_vs_sma20") > 0.02),
         }
-    )
+    ).drop("__lo", "__hi")
 
 
 def residual_diagnostics(df: DataFrame, actual: str, forecast: str, r: Roll = SYM, n=20, mp=10) -> DataFrame:
@@ -478,12 +482,11 @@ def options_anchor(daily: DataFrame, r: Roll = SYM, half_life: float = 5.0) -> D
     df = df.withColumns({c: r.ffill(c) for c in ("atm_iv", "iv_skew", "put_call")})
     # the smoothing starts at the first snapshot; before it there is nothing to smooth
     df = r.ewm(df, {"put_call_ewm": ("put_call", 2 / 11)})
+    df = r.ordered(df, {"iv_percentile_30d": Rank("atm_iv", 30, 10), "iv_percentile_1y": Rank("atm_iv", 252, 60)})
     z = lambda x, n, mp: F.when(r.std(x, n, mp) > 1e-9, (F.col(x) - r.mean(x, n, mp)) / r.std(x, n, mp))
     return df.withColumns(
         {
             "iv_anchor_z20": z("atm_iv", 20, 5),
-            "iv_percentile_30d": r.pct_rank("atm_iv", 30, 10),
-            "iv_percentile_1y": r.pct_rank("atm_iv", 252, 60),
             "skew_z30": z("iv_skew", 30, 10),
             "staleness_decay": F.pow(F.lit(2.0), -F.col("days_since_update") / half_life),
         }

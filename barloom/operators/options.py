@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, col, flag, norm_cdf, norm_pdf, ratio
+from barloom.functions.ordered import Rank
 from barloom.functions.orderstats import quantiles
 from barloom.functions.windows import SYM, Roll
 
@@ -202,7 +203,8 @@ def implied_move_statistics(df: DataFrame, base_days: float | None = 30, spot="s
 
 def iv_extremeness(df: DataFrame, iv: str = "iv", n: int = 252, mp: int = 30, r: Roll = SYM) -> DataFrame:
     """Percentile of score and population z of today's IV against its trailing history; regime class."""
-    d = df.withColumns({"iv_percentile": r.pct_rank(iv, n, mp, ties="max") * 100, "iv_z": r.z(iv, n, mp, ddof=0)})
+    d = r.ordered(df, {"__pct": Rank(iv, n, mp, ties="max")})
+    d = d.withColumns({"iv_percentile": F.col("__pct") * 100, "iv_z": r.z(iv, n, mp, ddof=0)}).drop("__pct")
     p = F.col("iv_percentile")
     reg = F.when(p.isNull(), "unknown").when(p >= 90, "extreme_high").when(p >= 75, "high").when(p <= 10, "extreme_low").when(p <= 25, "low").otherwise("normal")
     return d.withColumn("iv_regime", reg)

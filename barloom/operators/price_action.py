@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, col, flag, ratio
+from barloom.functions.ordered import Rank
 from barloom.functions.windows import SYM, Roll
 from barloom.operators.indicators import true_range
 
@@ -157,6 +158,7 @@ def price_anomalies(df: DataFrame, r: Roll = SYM) -> DataFrame:
 def volume_anomalies(df: DataFrame, r: Roll = SYM) -> DataFrame:
     df = r.numbered(df).withColumns({"__pr": r.pct("close"), "__vr": r.pct("volume"), "__sp": ratio(F.col("high") - F.col("low"), "close") * 100})
     pr, vr = F.col("__pr"), F.col("__vr")
+    df = r.ordered(df, {"__pct": Rank("__sp", 20)})
     return df.withColumns(
         {
             "volume_z_20d": r.z("volume", 20),
@@ -164,9 +166,9 @@ def volume_anomalies(df: DataFrame, r: Roll = SYM) -> DataFrame:
             "volume_trend_10d": r.slope("volume", 10),
             "volume_price_divergence": F.when((vr > 0) & (pr < 0), vr * F.abs(pr)).when((vr < 0) & (pr > 0), -vr * F.abs(pr)).otherwise(0.0),
             "buy_volume_proxy": F.signum(F.col("close") - F.col("open")) * F.col("volume"),
-            "liquidity_stress_pct": r.pct_rank("__sp", 20) * 100,
+            "liquidity_stress_pct": F.col("__pct") * 100,
         }
-    ).drop("__rn", "__pr", "__vr", "__sp")
+    ).drop("__rn", "__pr", "__vr", "__sp", "__pct")
 
 
 def realized_volatility(df: DataFrame, r: Roll = SYM) -> DataFrame:
@@ -319,10 +321,11 @@ def euphoria_index(df: DataFrame, r: Roll = SYM) -> DataFrame:
     ma, loss = r.mean("close", 200), r.mean("__l", 14)
     rs = r.mean("__g", 14) / F.when(loss == 0, F.lit(1e-9)).otherwise(loss)
     df = df.withColumns({"__v": r.std("__ret", 20), "__rsi": 100 - 100 / (1 + rs)})
+    df = r.ordered(df, {"__pct": Rank("__v", 252)})
     price = clip(F.coalesce((F.col("close") - ma) / ma, F.lit(0.0)) * 500, 0, 100)
     rsi = F.coalesce(clip((F.col("__rsi") - 50) / 20 * 100, 0, 100), F.lit(0.0))
-    calm = (1 - F.coalesce(r.pct_rank("__v", 252), F.lit(0.5))) * 100
-    return df.withColumn("euphoria_index", 0.4 * price + 0.4 * rsi + 0.2 * calm).drop("__g", "__l", "__ret", "__v", "__rsi")
+    calm = (1 - F.coalesce("__pct", F.lit(0.5))) * 100
+    return df.withColumn("euphoria_index", 0.4 * price + 0.4 * rsi + 0.2 * calm).drop("__g", "__l", "__ret", "__v", "__rsi", "__pct")
 
 
 def tail_risk(df: DataFrame, macro: DataFrame, r: Roll = SYM) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import clip, flag, ratio
+from barloom.functions.ordered import Level, Rank
 from barloom.functions.orderstats import quantiles
 from barloom.functions.windows import SYM, Roll
 from barloom.operators.events import capped_days_since
@@ -52,7 +53,7 @@ def bull_bear_crisis(df: DataFrame, ret="ret", n=20, q=0.85, fit="full", r: Roll
         cut = quantiles(df, r.keys, "__v", {"__q": q, "__med": 0.5})
         df = df.join(cut, r.keys, "left")
     else:
-        df = df.withColumns({"__q": r.quantile("__v", q), "__med": r.quantile("__v", 0.5)})
+        df = r.ordered(df, {"__q": Level("__v", q), "__med": Level("__v", 0.5)})
     v = F.coalesce("__v", "__med")
     return df.withColumn("regime", F.when(v > F.col("__q"), 2).when(F.coalesce(F.col("__m"), F.lit(0.0)) < 0, 1).otherwise(0)).drop("__m", "__v", "__q", "__med")
 
@@ -125,7 +126,8 @@ def hysteresis(df: DataFrame, label: str, confirmations: int = 3, keys=("symbol"
 
 def vix_percentile_regime(df: DataFrame, vix="vix", n=252, mp=63, r: Roll = SYM) -> DataFrame:
     df = df.withColumn("__f", r.ffill(vix))
-    df = df.withColumn("vix_percentile", r.pct_rank("__f", n, mp) * 100)
+    df = r.ordered(df, {"vix_percentile": Rank("__f", n, mp)})
+    df = df.withColumn("vix_percentile", F.col("vix_percentile") * 100)
     p = F.col("vix_percentile")
     df = df.withColumn("vix_regime", F.when(p <= 25, "low_vol").when(p <= 50, "normal").when(p <= 75, "elevated").when(p.isNotNull(), "crisis"))
     change = F.col("vix_regime").isNull() | r.lag("vix_regime").isNull() | (F.col("vix_regime") != r.lag("vix_regime"))
@@ -161,7 +163,7 @@ def cyclical_time(df: DataFrame, date="date") -> DataFrame:
 
 def event_distance(df: DataFrame, vix="vix", r: Roll = SYM) -> DataFrame:
     df = df.withColumns({"__r": r.pct("close"), "__f": r.ffill(vix)})
-    df = df.withColumn("__q", r.quantile("__f", 0.9, 252))
+    df = r.ordered(df, {"__q": Level("__f", 0.9, 252)})
     df = capped_days_since(df, F.col("__r") < -0.05, "days_since_drawdown", r=r)
     df = capped_days_since(df, F.col("__f") > F.col("__q"), "days_since_vol_spike", r=r)
     return df.withColumn("recent_volatility_flag", flag(F.col("days_since_drawdown") <= 30)).drop("__r", "__f", "__q")
@@ -193,7 +195,7 @@ def kmeans_regimes(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42
 
 def normalise_by_role(df: DataFrame, roles: dict[str, str], fit: str = "expanding", n=252, mp=20, r: Roll = SYM) -> DataFrame:
     """Predictive -> rolling z (±8); risk -> rolling 5-95% scale or (x+1)/2 for correlations; regime -> min-max."""
-    out, pre = {}, {}
+    out, pre, levels = {}, {}, {}
     nz = lambda x: F.coalesce(x, F.lit(0.0))
     for c, role in roles.items():
         if role == "predictive":
@@ -202,13 +204,14 @@ def normalise_by_role(df: DataFrame, roles: dict[str, str], fit: str = "expandin
             out[c] = nz((clip(c, -1, 1) + 1) / 2)
         elif role == "risk":
             pre[f"__t_{c}"] = F.when(F.col(c) >= 0, F.log1p(c)).otherwise(F.abs(c))
-            lo, hi = r.quantile(f"__t_{c}", 0.05, n, mp), r.quantile(f"__t_{c}", 0.95, n, mp)
+            levels |= {f"__lo_{c}": Level(f"__t_{c}", 0.05, n, mp), f"__hi_{c}": Level(f"__t_{c}", 0.95, n, mp)}
+            lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
             out[c] = clip(nz((F.col(f"__t_{c}") - lo) / (F.abs(hi - lo) + 1e-6)), 0, 1)
         elif role == "regime":
             w = Window.partitionBy(*r.keys) if fit == "full" else r.frame(None)
             mn, mx = F.min(c).over(w), F.max(c).over(w)
             out[c] = clip(nz(F.when(mx - mn >= 1e-6, (F.col(c) - mn) / (mx - mn))), 0, 1)
-    return df.withColumns(pre).withColumns(out).drop(*pre) if pre else df.withColumns(out)
+    return r.ordered(df.withColumns(pre), levels).withColumns(out).drop(*pre, *levels) if pre else df.withColumns(out)
 
 
 # fixed values: half-lives in days of the decay profiles
