@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import array_quantile, clip, col, finite, flag, row_mean, row_std
 from barloom.functions.ordered import Level
 from barloom.functions.windows import SYM, Roll, let
+from barloom.operators.pairs import moments
 
 
 def row_summary(df: DataFrame, columns: list[str], r: Roll = SYM) -> DataFrame:
@@ -234,11 +235,9 @@ def series_correlations(df: DataFrame, series="symbol", x="ret", names: DataFram
     """Correlation of every pair of series over common dates, of those in the table `names` or of all; the pairs are the result."""
     if names is not None:
         df = df.join(names.select(series), series, "left_semi")
-    d = df.where(F.col(x).isNotNull()).select("date", F.col(series).alias("a"), F.col(x).alias("xa"))
-    e = d.select("date", F.col("a").alias("b"), F.col("xa").alias("xb"))
-    j = d.join(e, "date").where(F.col("a") < F.col("b"))
-    g = j.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_pop("xa", "xb").alias("c"), F.stddev_pop("xa").alias("sa"), F.stddev_pop("xb").alias("sb"))
-    g = g.withColumn("corr", F.when((F.col("sa") > 1e-12) & (F.col("sb") > 1e-12), F.col("c") / (F.col("sa") * F.col("sb")))).drop("c", "sa", "sb")
+    g = moments(df, series, x).where(F.col("a") < F.col("b"))
+    sa, sb = F.sqrt(F.col("m2_a") / F.col("n")), F.sqrt(F.col("m2_b") / F.col("n"))
+    g = g.select("a", "b", "n", F.when((sa > 1e-12) & (sb > 1e-12), F.col("c") / F.col("n") / (sa * sb)).alias("corr"))
     return g.withColumn("strong", flag(F.abs("corr") >= strong))
 
 

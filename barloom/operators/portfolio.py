@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clip, col, finite, flag
 from barloom.functions.orderstats import quantiles
 from barloom.functions.windows import SYM, Roll
+from barloom.operators.pairs import products
 
 
 def with_totals(df: DataFrame, keys, **sums: Column) -> DataFrame:
@@ -99,7 +100,8 @@ def vol_target_covariance(weights: DataFrame, cov: DataFrame, target: float, max
 
 def ewma_covariance(returns: DataFrame, universe: DataFrame | None = None, lam: float = 0.94) -> DataFrame:
     """EWMA covariance as (symbol_i, symbol_j, cov), weights (1-λ)λ^age by date order; of the symbols in the table `universe`, or
-    of all. Pairs are the result itself; sums are partial-aggregated per pair.
+    of all. Pairs are the result itself; their sums come from products of blocks. Infinite
+    returns take no part.
     """
     if universe is not None:
         returns = returns.join(universe.select("symbol"), "symbol", "left_semi")
@@ -107,10 +109,8 @@ def ewma_covariance(returns: DataFrame, universe: DataFrame | None = None, lam:
     cal = d.select("date").distinct()
     cal = cal.withColumn("__age", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))) - 1)  # one row per session
     d = d.join(cal, "date")
-    right = d.select("date", F.col("symbol").alias("symbol_j"), F.col("ret").alias("__rj"))
-    pair = d.withColumnRenamed("symbol", "symbol_i").join(right, "date").where(F.col("symbol_i") <= F.col("symbol_j"))
-    w = (1 - lam) * F.pow(F.lit(lam), "__age")
-    return pair.groupBy("symbol_i", "symbol_j").agg(F.sum(w * F.col("ret") * F.col("__rj")).alias("cov"))
+    d = d.withColumn("__w", F.col("ret") * F.sqrt((1 - lam) * F.pow(F.lit(lam), "__age")))
+    return products(d, "symbol", "__w").select(F.col("a").alias("symbol_i"), F.col("b").alias("symbol_j"), F.col("product").alias("cov"))
 
 
 def shrink_covariance(cov: DataFrame, alpha: float) -> DataFrame:
