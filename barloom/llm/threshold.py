@@ -1,10 +1,11 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
-Vectors are dealt into blocks. A block keeps, for every dimension, its rows in the order of that component. For a query the
-lists are read in step, from the top where the query's component is positive and from the bottom where it is negative; every
-row met is scored in full. What the lists still hold cannot score more than the query with the components last read, so
-reading ends once that bound is below the k-th score so far. Blocks of queries meet blocks of rows; the best of all blocks are
-merged. The k-th score of the block that a query belongs to is found first and goes with it, so that other blocks stop early.
+Vectors are dealt into blocks. A block keeps, for every dimension, its rows in the order of that component. Many queries read
+the lists in step, from the top where a component is positive and from the bottom where it is negative; rows met for the first
+time are scored in full, for all queries that still read, by one matrix product. What the lists still hold cannot score more than
+a query with the components last read, so it ends once that bound is below its k-th score so far. Blocks of queries meet blocks
+of rows; the best of all blocks are merged. The k-th score of the block that a query belongs to is found first and goes with it,
+so that other blocks stop early.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from barloom.llm.vectors import dealt, dense, same_width, usable
 
 #: rows and queries of a block
 ROWS, QUERIES = 4096, 2048
+#: queries that read the lists together
+TOGETHER = 256
 #: the least value: no bound known
 _NONE = -(2**62)
 
@@ -30,50 +33,58 @@ class SortedLists:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[by_id], rows[by_id]
         self.order = np.argsort(self.rows, axis=0, kind="stable")
-        # doubles hold these products exactly, and multiply faster
-        peak = float(np.abs(self.rows).max()) if self.rows.size else 0.0
-        self._fast = self.rows.astype(np.float64) if peak < 2**31 else None
-        self._peak = peak
-
-    def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self._fast is not None and self._peak * float(np.abs(query).max()) * len(query) < 2**53:
-            return (self._fast[at] @ query.astype(np.float64)).astype(np.int64)
-        return self.rows[at] @ query
-
-    def top(self, query_id: int, query: np.ndarray, k: int, floor: int = _NONE) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row numbers, scores, depth read) of the k best but the query's own row, equals by smaller id; rows below `floor`
-        may be left out."""
+        self.peak = int(np.abs(self.rows).max()) if self.rows.size else 0
+
+    def tops(self, query_ids: np.ndarray, points: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(query's place, row number, score) of the k best rows of each query but its own, equals by smaller id, and the depth to
+        which each query read; rows below a query's floor may be left out."""
+        floors = np.full(len(points), _NONE) if floors is None else floors
+        parts = [self._read(query_ids[lo : lo + TOGETHER], points[lo : lo + TOGETHER], k, floors[lo : lo + TOGETHER]) for lo in range(0, len(points), TOGETHER)]
+        if not parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        places = [q + i * TOGETHER for i, (q, *_) in enumerate(parts)]
+        return np.concatenate(places), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+
+    def _read(self, query_ids: np.ndarray, points: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        met = np.zeros(n, bool)
-        met[self.ids == query_id] = True
-        own = met.copy()
-        best, best_score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(used):  # every row scores 0, in the order of ids
-            first = np.flatnonzero(~own)[:k]
-            return first, np.zeros(len(first), np.int64), 0
-        weight, down = query[used], query[used] > 0
+        # doubles hold these products exactly, and multiply faster
+        exact = self.peak * int(np.abs(points).max(initial=0)) * points.shape[1] < 2**53
+        kind = np.float64 if exact else np.int64
+        sheet, points, kth = self.rows.astype(kind), points.astype(kind), floors.astype(kind)
+        nothing = -np.inf if exact else np.iinfo(np.int64).min
+        met, depths, reading = np.zeros(n, bool), np.full(len(points), n), np.arange(len(points))
+        which, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
         depth, step = 0, 8
-        while depth < n:
-            to = min(n, depth + step)
-            levels = np.arange(depth, to)
-            places = np.where(down[None, :], n - 1 - levels[:, None], levels[:, None])
-            seen = np.unique(self.order[places, used[None, :]])
+        while depth < n and len(reading):
+            to, asked = min(n, depth + step), points[reading]
+            down, up = (asked > 0).any(axis=0), (asked < 0).any(axis=0)
+            if not (down.any() or up.any()):  # every row scores 0
+                to, down = n, ~down
+            seen = np.unique(np.concatenate([self.order[n - to : n - depth, down].ravel(), self.order[depth:to, up].ravel()]))
             new = seen[~met[seen]]
             met[new] = True
             if len(new):
-                best = np.concatenate([best, new])
-                best_score = np.concatenate([best_score, self.scores(new, query)])
-                if len(best) > k:
-                    kept = np.lexsort((best, -best_score))[:k]
-                    best, best_score = best[kept], best_score[kept]
+                own = asked @ sheet[new].T
+                own[self.ids[new][None, :] == query_ids[reading][:, None]] = nothing
+                bar = kth[reading]
+                if len(new) >= k:
+                    bar = np.maximum(bar, np.partition(own, len(new) - k, axis=1)[:, len(new) - k])
+                a, c = np.nonzero((own >= bar[:, None]) & (own > nothing))
+                which, at, score = np.concatenate([which, reading[a]]), np.concatenate([at, new[c]]), np.concatenate([score, own[a, c]])
+                order = np.lexsort((at, -score, which))
+                which, at, score = which[order], at[order], score[order]
+                rank = np.arange(len(which)) - np.searchsorted(which, which)
+                last = rank == k - 1
+                kth[which[last]] = np.maximum(kth[which[last]], score[last])
+                which, at, score = (x[rank < k] for x in (which, at, score))
             depth, step = to, step * 2
-            bound = int((self.rows[self.order[places[-1], used], used] * weight).sum())
+            high, low = (self.rows[self.order[i], np.arange(self.rows.shape[1])].astype(kind) for i in (n - depth, depth - 1))
+            bound = np.maximum(asked, 0) @ high + np.minimum(asked, 0) @ low
             # an unmet row may score the bound itself and have a smaller id
-            if bound < floor or (len(best) == k and bound < best_score.min()):
-                break
-        kept = np.lexsort((best, -best_score))[:k]
-        return best[kept], best_score[kept], depth
+            done = bound < kth[reading]
+            depths[reading[done]] = depth
+            reading = reading[~done]
+        return which, at, score.astype(np.int64), depths
 
 
 def quantised(table: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -95,16 +106,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     schema = "query_id long, id long, score long, depth int"
 
     def search(group: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
+        names, found, score, depths = (np.zeros(0, np.int64) for _ in range(4))
         if group.num_rows and asked.num_rows:
             block, points = same_width(dense(group["vec"], np.int64), dense(asked["vec"], np.int64))
             lists = SortedLists(group["id"].to_numpy(), block)
-            floors = asked["floor"].to_numpy() if "floor" in asked.column_names else np.full(len(points), _NONE)
-            for query_id, point, floor in zip(asked["query_id"].to_pylist(), points, floors.tolist(), strict=True):
-                best, score, depth = lists.top(query_id, point, k, floor)
-                out.append((np.full(len(best), query_id), lists.ids[best], score, np.full(len(best), depth)))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64()), "depth": pa.array(columns[3], pa.int32())})
+            ids = asked["query_id"].to_numpy()
+            which, at, score, depths = lists.tops(ids, points, k, asked["floor"].to_numpy() if "floor" in asked.column_names else None)
+            names, found, depths = ids[which], lists.ids[at], depths[which]
+        return pa.table({"query_id": pa.array(names, pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64()), "depth": pa.array(depths, pa.int32())})
 
     asked = queries.select(F.col("id").alias("query_id"), "vec")
     at_home = dealt(rows, "block", parts)

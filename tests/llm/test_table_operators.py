@@ -181,10 +181,31 @@ def test_lists_are_not_read_to_the_end():
     rows = np.zeros((3000, 4), np.int64)
     rows[:, 0] = rnd.permutation(3000)
     lists = threshold.SortedLists(np.arange(3000), rows)
-    at, score, depth = lists.top(-1, np.array([3, 0, 0, 0]), 5)
-    assert score.tolist() == [3 * v for v in range(2999, 2994, -1)] and depth < 100
+    which, at, score, depth = lists.tops(np.array([-1]), np.array([[3, 0, 0, 0]]), 5)
+    assert score.tolist() == [3 * v for v in range(2999, 2994, -1)] and depth[0] < 100 and not which.any()
     huge = threshold.SortedLists(np.arange(3), np.array([[2**40], [2**40 + 1], [-(2**40)]]))
-    assert huge.top(-1, np.array([2**20 + 1]), 2)[1].tolist() == [(2**40 + 1) * (2**20 + 1), 2**40 * (2**20 + 1)]
+    assert huge.tops(np.array([-1]), np.array([[2**20 + 1]]), 2)[2].tolist() == [(2**40 + 1) * (2**20 + 1), 2**40 * (2**20 + 1)]
+
+
+@pytest.mark.parametrize("spread,k", [(2, 4), (2, 60), (1000, 3), (2**31, 3)])
+def test_queries_that_read_together_find_what_each_would(monkeypatch, spread, k):
+    """Many ties, queries of zeros, repeated ids, floors, more asked for than there is, products beyond 2 ** 53."""
+    monkeypatch.setattr(threshold, "TOGETHER", 7)
+    rnd = np.random.default_rng(spread)
+    rows, ids = rnd.integers(-spread, spread + 1, (50, 5)), rnd.permutation(50) // 2
+    points = np.concatenate([rnd.integers(-spread // 32 - 1, spread // 32 + 2, (20, 5)), np.zeros((2, 5), np.int64)])
+    names = rnd.integers(0, 30, len(points))
+    lists = threshold.SortedLists(ids, rows)
+    floors = np.array([threshold._NONE if i % 2 else 0 for i in range(len(points))])
+    which, at, score, depth = lists.tops(names, points, k, floors)
+    assert depth.max() <= 50
+    for q, point in enumerate(points):
+        want = sorted(((-int(r @ point), int(i)) for r, i in zip(rows, ids) if i != names[q]))[:k]
+        got = list(zip((-score[which == q]).tolist(), lists.ids[at[which == q]].tolist()))
+        if q % 2:
+            assert got == want
+        else:  # what is below the floor may be missing
+            assert [w for w in want if w[0] <= 0] == [g for g in got if g[0] <= 0]
 
 
 def test_neighbours(spark):
