@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -431,11 +430,11 @@ def conformal_interval(df: DataFrame, q: DataFrame, f: str, keys) -> DataFrame:
 
 
 def platt(df: DataFrame, p="p", y="y", eps=1e-6) -> DataFrame:
-    """Logistic regression on the logit of the probability."""
+    """Logistic regression on the logit of the probability, by reweighted least squares to the last digits."""
     q = clip(p, eps, 1 - eps)
     v = VectorAssembler(inputCols=["__lg"], outputCol="__f").transform(df.withColumns({"__lg": F.ln(q / (1 - q)), "__y": F.col(y).cast("double")}))
-    m = LogisticRegression(featuresCol="__f", labelCol="__y", probabilityCol="__pr").fit(v)
-    return m.transform(v).withColumn("calibrated", vector_to_array("__pr")[1]).drop("__f", "__y", "__lg", "__pr", "rawPrediction", "prediction")
+    m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__f", labelCol="__y", predictionCol="calibrated", maxIter=50, tol=1e-13).fit(v)
+    return m.transform(v).drop("__f", "__y", "__lg")
 
 
 def trading_metrics(df: DataFrame, cost: float = 0.001, r: Roll = SYM, position="position", ret="ret_next") -> DataFrame:

@@ -185,11 +185,11 @@ def regime_inputs(df: DataFrame, macro: DataFrame, r: Roll = SYM) -> DataFrame:
     return df.dropna(subset=["ret_5", "ret_21", "ret_63", "vol_20", "vol_63", "vix", "vix_slope", "yield_curve"]).drop("__l")
 
 
-def kmeans_regimes(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> DataFrame:
+def kmeans_regimes(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42, iterations: int = 20, tol: float = 1e-4) -> DataFrame:
     """Standardised k-means labels."""
     vec = VectorAssembler(inputCols=columns, outputCol="__v").transform(df)
     vec = StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True).fit(vec).transform(vec)
-    model = KMeans(featuresCol="__z", predictionCol="cluster", k=k, seed=seed).fit(vec)
+    model = KMeans(featuresCol="__z", predictionCol="cluster", k=k, seed=seed, maxIter=iterations, tol=tol).fit(vec)
     return model.transform(vec).drop("__v", "__z")
 
 

@@ -450,7 +450,15 @@ def _(t):
     return isotonic(t.tape().withColumn("bin", F.floor(F.col("p") * 1000) / 1000), "bin", "y")
 
 
-@plan("platt_calibration", 319, "symbol date p calibrated", why_no_sql="iterative fit; tested by invariants")
+q.cte("platt0", f"SELECT symbol, date, p, y, ln(c / (1 - c)) AS x FROM (SELECT *, {q.clip('p', 1e-6, 1 - 1e-6)} AS c FROM tape)")
+# Newton's steps on intercept and slope
+_sums = "SELECT i, a, b, sum(y - m) AS ga, sum((y - m) * x) AS gb, sum(m * (1 - m)) AS haa, sum(m * (1 - m) * x) AS hab, sum(m * (1 - m) * x * x) AS hbb"
+_fit = f"{_sums} FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM it, platt0 WHERE i < 20) GROUP BY i, a, b"
+_step = f"SELECT i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM ({_fit})"
+q.cte("platt1", f"WITH RECURSIVE it(i, a, b) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL {_step}) SELECT a, b FROM it WHERE i = 20")
+
+
+@plan("platt_calibration", 319, "symbol date p calibrated", "SELECT symbol, date, p, 1 / (1 + exp(-(a + b * x))) AS calibrated FROM platt0, platt1")
 def _(t):
     return op.platt(t.tape())
 

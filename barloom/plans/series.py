@@ -629,11 +629,23 @@ def _(t):
     return _inputs(t)
 
 
-@plan("kmeans_regimes", 220, "symbol date cluster:i", why_no_sql="iterative clustering; tested by invariants")
+@plan("kmeans_regimes", 220, "symbol date cluster:i", why_no_sql="iterative clustering; kmeans_invariants has SQL")
 def _(t):
     return rg.kmeans_regimes(_inputs(t), list(_ri))
 
 
+@plan("kmeans_invariants", 220, "n:i clusters:i nearest:i", "SELECT count(*) AS n, 4 AS clusters, count(*) AS nearest FROM ri1 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _ri))
+def _(t):
+    """What settled clusters are: as many as asked for, and every row nearest to the mean of its own, in deviations of each column."""
+    columns = list(_ri)
+    d = rg.kmeans_regimes(_inputs(t), columns, iterations=200, tol=0.0)
+    means = d.groupBy("cluster").agg(*[F.avg(c).alias(f"m_{c}") for c in columns]).withColumnRenamed("cluster", "other")  # four rows
+    spread = d.agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in columns])  # one row
+    away = sum((F.pow((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 2) for c in columns), F.lit(0.0))
+    far = d.join(F.broadcast(means)).join(F.broadcast(spread)).groupBy("symbol", "date", "cluster").agg(F.min(away).alias("least"), F.max(F.when(F.col("other") == F.col("cluster"), away)).alias("own"))
+    return far.agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), F.sum((F.col("own") <= F.col("least") + 1e-9).cast("int")).alias("nearest"))
+
+
 _roles = {"ret0": "predictive", "volume": "risk", "corr_x": "risk", "close": "regime"}
 q.cte("nr0", "SELECT symbol, date, coalesce(ret, 0) AS ret0, volume, sin(volume) * 1.5 AS corr_x, close FROM rets")
 q.cte("nr1", "SELECT *, CASE WHEN volume >= 0 THEN ln(1 + volume) ELSE abs(volume) END AS tv FROM nr0")
