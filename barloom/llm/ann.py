@@ -4,10 +4,15 @@ A bounded sample of the vectors gives a neighbour graph; it is cut in halves aga
 the median, so that parts are equal in size and few edges cross. A small softmax classifier learns the parts of the sample.
 Every row is indexed in its most probable part; a query looks into its several most probable parts, as many as rows
 of the sample that it did not learn from need for the wanted recall, and reranks all rows there by the exact measure.
+
+Parts that hold more than PART rows are split again in the same way, each by a sample and a classifier of its own, level by
+level: the number of parts grows with the table, and a query descends into the probable parts of each part that it visits.
 """
 
 from __future__ import annotations
 
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.store import cut
+from barloom.llm.store import cut, drop
 from barloom.llm.vectors import dense, same_width, usable
 
-#: bound of the sample that the index is fitted on
+#: bound of the sample that a classifier is fitted on, one for the table and one for each part that is split again
 SAMPLE = 4096
+#: what all levels together should find at least, however many there are
+WHOLE = 0.91
 NEIGHBOURS = 10
 #: rows and questions of a block; a larger part, and what asks a part more often, is dealt into several
 ROWS = QUESTIONS = 8192
+#: rows of a part above which it is split again
+PART = 8192
 
 
 class Router:
@@ -138,26 +147,69 @@ def _top(block: np.ndarray, ids: np.ndarray, query_id: int, point: np.ndarray, r
     return close[order], exact[order]
 
 
-def _meetings(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(part, block, group, id, vec) and (part, block, group, query_id, point): every block of a part's rows meets every group of
-    the questions that probe the part. Dealt by `turn`, so that equal ids and equal vectors spread too."""
-    indexed = routed.select("id", "vec", "turn", F.col("parts")[0].alias("part"))
-    asked = routed.where("asks").select(F.col("id").alias("query_id"), F.col("vec").alias("point"), "turn", F.explode("parts").alias("part"))
-    # at most 2 ** depth rows; parts that hold nothing or that nothing probes drop out
-    sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups")), "part")
+def _meetings(indexed: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, block, group, id, vec) and (path, block, group, query_id, point) of rows and questions (path, name, vec, turn): every
+    block of a part's rows meets every group of the questions that probe the part. Dealt by `turn`, so that equal ids and equal
+    vectors spread too."""
+    # one row for each part, written, so that its size is known; parts that hold nothing or that nothing probes drop out
+    sizes = indexed.groupBy("path").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).join(asked.groupBy("path").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("groups")), "path")
+    sizes = cut(sizes, "sizes")
     own = lambda n: F.pmod(F.xxhash64("turn", F.lit(n)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = indexed.join(F.broadcast(sizes), "part").select("part", own("blocks").alias("block"), each("groups").alias("group"), "id", "vec")
-    questions = asked.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("block"), own("groups").alias("group"), "query_id", "point")
+    members = indexed.join(sizes, "path").select("path", own("blocks").alias("block"), each("groups").alias("group"), F.col("name").alias("id"), "vec")
+    questions = asked.join(sizes, "path").select("path", each("blocks").alias("block"), own("groups").alias("group"), F.col("name").alias("query_id"), F.col("vec").alias("point"))
     return members, questions
 
 
+def _ranked(router: Router, vec: pa.ChunkedArray, n: int) -> np.ndarray:
+    """The n most probable parts of each vector, the most probable first."""
+    return np.argsort(-router.probabilities(dense(vec, np.float64)), axis=1, kind="stable")[:, :n]
+
+
+def _learn(points: DataFrame, large: DataFrame, depth: int, recall: float, k: int) -> DataFrame:
+    """path, probes, model: a router for each part in `large` (path, n), fitted on about SAMPLE of its rows."""
+    chosen = points.join(large, "path").where(F.pmod(F.xxhash64("turn", F.lit(3)), "n") < SAMPLE).select("path", "turn", "vec")
+
+    def learn(group: pa.Table) -> pa.Table:
+        router = fit(dense(group.sort_by("turn")["vec"], np.float64), depth, recall, k)
+        held = io.BytesIO()
+        np.savez(held, *router.layers)
+        return pa.table({"path": group["path"].slice(0, 1), "probes": pa.array([router.probes], pa.int32()), "model": pa.array([held.getvalue()], pa.binary())})
+
+    return chosen.groupBy("path").applyInArrow(learn, "path long, probes int, model binary")
+
+
+def _descend(points: DataFrame, models: DataFrame, width: int, all_probes: bool) -> DataFrame:
+    """Points (path, name, vec, turn) of the parts that `models` split move on to the most probable part below, or with
+    `all_probes` to as many as the part's router probes. They meet the router in blocks."""
+    sizes = cut(points.groupBy("path").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).join(models.select("path"), "path"), "sizes")
+    placed = points.join(sizes, "path").withColumn("block", F.pmod(F.xxhash64("turn", F.lit("level")), "blocks").cast("int")).drop("blocks")
+    routers = models.join(sizes, "path").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    columns = points.columns
+
+    def move(rows: pa.Table, router: pa.Table) -> pa.Table:
+        rows = rows.select(columns)
+        if not rows.num_rows:
+            return rows
+        with np.load(io.BytesIO(router["model"][0].as_py())) as held:
+            layers = [held[f"arr_{i}"] for i in range(4)]
+        probes = router["probes"][0].as_py()
+        below = _ranked(Router(layers, probes), rows["vec"], probes if all_probes else 1)
+        node = rows["path"].to_numpy()[:, None] * width + 1 + below
+        rows = rows.take(pa.array(np.repeat(np.arange(len(below)), below.shape[1])))
+        return rows.set_column(columns.index("path"), "path", pa.array(node.ravel(), pa.int64()))
+
+    moved = placed.groupBy("path", "block").cogroup(routers.groupBy("path", "block")).applyInArrow(move, points.schema)
+    return points.join(models.select("path"), "path", "left_anti").select(*columns).unionAll(moved)
+
+
 def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", depth: int = 5, recall: float = 0.97) -> DataFrame:
     """query_id, rank (from 1), id, score: for each query row the k found rows of the largest inner product in double precision,
     its own row left out, equals by smaller id; all found rows if there are fewer.
 
     Vectors null, empty, zero or with a null or non-finite component, and rows without an id, take no part. Vectors of different
-    lengths compare as if filled up with zeros. Fitted on SAMPLE rows at most (least hashes); every row is indexed.
+    lengths compare as if filled up with zeros. Fitted on SAMPLE rows at most (least hashes), and on about as many of each part
+    above PART rows, which is split again; every row is indexed. Equal vectors stay in one part, which is read in blocks.
     """
     vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = table.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)) & F.exists(F.col(vec_col), lambda x: x != 0))
@@ -167,6 +219,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     found = "query_id long, id long, score double"
     if not sample.num_rows:
         return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score"))
+    width = 2**depth
+    # levels that parts of PART rows take, if parts are about equal
+    levels = 1 + max(0, math.ceil(math.log(max(1.0, rows.count() / PART), max(2, min(width, sample.num_rows // 128)))))
+    recall = max(recall, WHOLE ** (1 / levels))
     router = fit(dense(sample["vec"], np.float64), depth, recall, k)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +230,23 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
         turn = TaskContext.get().partitionId() << 36
         for batch in batches:
-            chance = router.probabilities(dense(batch.column("vec"), np.float64))
-            order = np.argsort(-chance, axis=1, kind="stable")[:, : router.probes].astype(np.int32)
+            order = _ranked(router, batch.column("vec"), router.probes).astype(np.int32)
             turns = pa.array(range(turn, turn + batch.num_rows), pa.int64())
             turn += batch.num_rows
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "vec", "asks")], turns, pa.array(list(order), pa.list_(pa.int32()))], names=schema.names)
 
     routed = cut(rows.mapInArrow(route, schema), "routed")
-    members, asked = _meetings(routed)
+    drop(rows)
+    indexed = routed.select((F.col("parts")[0] + 1).cast("long").alias("path"), F.col("id").alias("name"), "vec", "turn")
+    asked = routed.where("asks").select(F.explode("parts").alias("part"), "id", "vec", "turn").select((F.col("part") + 1).cast("long").alias("path"), F.col("id").alias("name"), "vec", "turn")
+    for _ in range(levels):
+        large = cut(indexed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PART), "large")
+        if large.isEmpty():
+            break
+        models = cut(_learn(indexed, large, depth, recall, k), "models")
+        above, indexed, asked = (indexed, asked), cut(_descend(indexed, models, width, False), "indexed"), cut(_descend(asked, models, width, True), "asked")
+        drop(routed, large, models, *above)
+    members, asked = _meetings(indexed, asked)
 
     def rerank(group: pa.Table, questions: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -195,6 +260,6 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                     out.append((np.full(len(at), names[i]), ids[at], score))
         return pa.table({n: pa.array(np.concatenate([o[i] for o in out]), t) for i, (n, t) in enumerate((("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())))})
 
-    near = members.groupBy("part", "block", "group").cogroup(asked.groupBy("part", "block", "group")).applyInArrow(rerank, found)
+    near = members.groupBy("path", "block", "group").cogroup(asked.groupBy("path", "block", "group")).applyInArrow(rerank, found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -232,13 +232,12 @@ def test_questions_meet_rows_in_blocks(spark, monkeypatch):
     """Half of all rows ask one part, many under one id: no group grows with them, every row meets every question once."""
     monkeypatch.setattr(ann, "ROWS", 64)
     monkeypatch.setattr(ann, "QUESTIONS", 64, raising=False)
-    routed = spark.range(2000).select(
-        F.when(F.col("id") < 500, 7).otherwise(F.col("id")).alias("id"), F.array(F.lit(1.0)).alias("vec"), (F.col("id") % 2 == 0).alias("asks"), F.col("id").alias("turn"), F.array(F.lit(3), (F.col("id") % 4).cast("int")).alias("parts")
-    )
-    members, asked = ann._meetings(routed)
-    keys = ["part", "block", "group"]
+    points = spark.range(2000).select(F.lit(3).cast("long").alias("path"), F.when(F.col("id") < 500, 7).otherwise(F.col("id")).alias("name"), F.array(F.lit(1.0)).alias("vec"), F.col("id").alias("turn"))
+    asks = points.where("turn % 2 = 0")
+    members, asked = ann._meetings(points, asks.unionAll(asks.withColumn("path", F.col("turn") % 4)))
+    keys = ["path", "block", "group"]
     assert members.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 128 and asked.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 128
-    met = members.where("part = 3").groupBy(*keys).agg(F.count("*").alias("m")).join(asked.groupBy(*keys).agg(F.count("*").alias("q")), keys)
+    met = members.where("path = 3").groupBy(*keys).agg(F.count("*").alias("m")).join(asked.groupBy(*keys).agg(F.count("*").alias("q")), keys)
     assert met.agg(F.sum(F.col("m") * F.col("q"))).first()[0] == 2000 * 1000
 
 
@@ -251,6 +250,34 @@ def test_blocks_of_questions_do_not_change_the_result(spark, monkeypatch):
     assert found() == whole
 
 
+def test_large_parts_are_split_again(spark, monkeypatch):
+    """Parts stay small however many rows there are, clusters and equal vectors included, and recall holds over all levels."""
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "PART", 400)
+    made = []
+    monkeypatch.setattr(ann, "_meetings", lambda rows, asked, meet=ann._meetings: made.append((rows, asked)) or meet(rows, asked))
+    rnd = np.random.default_rng(12)
+    x = rnd.standard_normal((60, 16))[rnd.integers(0, 60, 9000)] + 0.4 * rnd.standard_normal((9000, 16))
+    x[:1000] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), None, 1) for i, v in enumerate(x)], VECTORS).repartition(6)
+    out = ann.search(table, F.col("vec_id") % 50 == 0, 20).toPandas()
+    asked = np.arange(0, 9000, 50)
+    assert sorted(out.query_id.unique()) == asked.tolist() and set(out.groupby("query_id").size()) == {20}
+    hit = 0
+    for q, own in out.groupby("query_id"):
+        score = x @ x[q]
+        assert q not in set(own.id) and np.allclose(own.score, score[own.id])
+        score[q] = -np.inf
+        hit += (score[own.id] >= np.sort(score)[-20] - 1e-12).sum()
+    assert hit / len(out) >= 0.9
+    rows, questions = made[0]
+    assert rows.count() == 9000 and rows.select("name").distinct().count() == 9000
+    sizes = sorted(r["count"] for r in rows.groupBy("path").count().collect())
+    assert sizes[-1] < 2000 and sizes[-2] <= 400  # equal vectors stay together
+    assert questions.groupBy("path", "name").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_neighbours_of_rows_beyond_the_sample(spark):
     rnd = np.random.default_rng(8)
     x = rnd.standard_normal((12_000, 24))
