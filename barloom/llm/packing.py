@@ -1,6 +1,7 @@
 """Best-fit packing of token pieces into sequences of a fixed length, by exact complements.
 
-Texts are cut at white space, which no token crosses; every distinct chunk of a task is encoded once by the tokenizer library.
+Texts are cut at white space, which no token crosses; every distinct chunk of a task is encoded once by the tokenizer library,
+and what it learnt stays, within bounds, for the next task of its process.
 Only how many pieces have which length matters for packing, a histogram of at most `size` counts whatever the input. The plan
 looks up, for the gap that a piece leaves, single lengths, pairs and triples whose sum is that gap, and consumes as many of them
 as are there; what stays is placed by best fit, longest first, equal bins together. A plan is a list of patterns with how often
@@ -10,6 +11,7 @@ each is used. Pieces of a length are interchangeable, so a piece finds its place
 from __future__ import annotations
 
 import bisect
+import contextlib
 import gc
 import os
 import re
@@ -17,6 +19,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from itertools import repeat
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from barloom.llm import words
 from barloom.llm.store import cut
 from barloom.llm.workers import released
 
-#: bytes of text encoded together, and bytes of distinct chunks that a task remembers before it starts anew
+#: bytes of text encoded together, and bytes of distinct chunks that a process remembers before it starts anew
 BLOCK_BYTES, REMEMBERED = 4 << 20, 8 << 20
 #: (how often, ((length, copies), ...))
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
@@ -47,6 +50,18 @@ class Chunks:
     goes through the whole library, special strings, normalising and splitting included.
     """
 
+    #: what the last task of this process has read and learnt, for the next one
+    _kept: ClassVar[dict[tuple[str, int], Chunks]] = {}
+
+    @classmethod
+    @contextlib.contextmanager
+    def lent(cls, path: str, end_id: int) -> Iterator[Chunks]:
+        """The chunks that this process knows already, for one task at a time. A task that fails or stops early leaves none."""
+        chunks = cls._kept.pop((path, end_id), None) or cls(path, end_id)
+        cls._kept.clear()
+        yield chunks
+        cls._kept[path, end_id] = chunks
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -127,30 +142,31 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, chunks = TaskContext.get().partitionId(), Chunks(path, end_id)
+        task = TaskContext.get().partitionId()
         met = np.zeros(size + 1, np.int64)
         gc.disable()  # millions of words and no cycles; the collector would walk them again and again
-        for block in words.blocks(batches, "_text", BLOCK_BYTES):
-            ids, ends = chunks.encode(block.column("_text").to_pylist())
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            parts = -(-(ends - starts) // size)
-            doc = np.repeat(np.arange(len(ends)), parts)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-            start = piece * size
-            length = np.minimum(size, (ends - starts)[doc] - start)
-            by = np.argsort(length, kind="stable")
-            run = length[by]
-            turn = np.empty(len(by), np.int64)
-            turn[by] = np.arange(len(by)) - np.searchsorted(run, run) + met[run]
-            met += np.bincount(length, minlength=size + 1)
-            places = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int64))
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, places, pa.py_buffer(ids.astype("<u4"))])
-            names = block.column("_id").take(pa.array(doc))
-            columns = [names, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), data, pa.array(np.full(len(doc), task), pa.int32()), pa.array(turn)]
-            for lo in range(0, len(doc), 1000):  # a binary column of a batch holds less than 2 GB
-                part = [c.slice(lo, 1000) for c in columns]
-                part[4] = part[4].cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(part, names=schema.names)
+        with Chunks.lent(path, end_id) as chunks:
+            for block in words.blocks(batches, "_text", BLOCK_BYTES):
+                ids, ends = chunks.encode(block.column("_text").to_pylist())
+                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                parts = -(-(ends - starts) // size)
+                doc = np.repeat(np.arange(len(ends)), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * size
+                length = np.minimum(size, (ends - starts)[doc] - start)
+                by = np.argsort(length, kind="stable")
+                run = length[by]
+                turn = np.empty(len(by), np.int64)
+                turn[by] = np.arange(len(by)) - np.searchsorted(run, run) + met[run]
+                met += np.bincount(length, minlength=size + 1)
+                places = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int64))
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, places, pa.py_buffer(ids.astype("<u4"))])
+                names = block.column("_id").take(pa.array(doc))
+                columns = [names, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), data, pa.array(np.full(len(doc), task), pa.int32()), pa.array(turn)]
+                for lo in range(0, len(doc), 1000):  # a binary column of a batch holds less than 2 GB
+                    part = [c.slice(lo, 1000) for c in columns]
+                    part[4] = part[4].cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays(part, names=schema.names)
         gc.enable()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

@@ -146,3 +146,22 @@ def test_query(spark, sf_dir):
         assert [(r.length, r.ids_crc32) for r in held] == [(len(p), zlib.crc32(p.tobytes())) for p in np.split(ids, range(4096, len(ids), 4096))]
     n = packed(rows, docs, 4096)
     assert n == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_a_process_learns_a_chunk_once(monkeypatch):
+    monkeypatch.setattr(packing.Chunks, "_kept", {})
+    texts = [b"plain words, odd_ones <|endoftext|>", b""]
+    with packing.Chunks.lent(PATH, 1) as first:
+        want = first.encode(texts)
+    with packing.Chunks.lent(PATH, 1) as again:
+        assert again is first
+        monkeypatch.setattr(again, "_learn", lambda new: pytest.fail("learnt again") if new else None)
+        assert [a.tolist() for a in again.encode(texts)] == [w.tolist() for w in want]
+        with packing.Chunks.lent(PATH, 1) as other:  # lent to one task at a time
+            assert other is not again
+    with pytest.raises(ZeroDivisionError), packing.Chunks.lent(PATH, 1) as failed:
+        1 / 0
+    with packing.Chunks.lent(PATH, 1) as fresh:
+        assert fresh is not failed
+    with packing.Chunks.lent(PATH, 2) as other_end:
+        assert other_end.encode([b""])[0].tolist() == [2]
