@@ -4,10 +4,15 @@ A plain ranking window puts a whole group on one task. Here the group is first r
 (map-side combined, so a value shared by a third of the rows is one row), then cut into ordered buckets by a
 deterministic hash sample of its own values; ranks inside a bucket and the counts of the buckets below add up exactly.
 Split points depend only on the data, never on task order, so a recomputed partition gets the same bucket.
+
+That reads the rows several times and joins ranks back to them. Where many groups share the rows and each is bounded by a
+dimension, as a date of a panel is by its symbols, `whole` ranks the rows where they are: one exchange, one sort a ranking.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +49,28 @@ def ranked_values(df: DataFrame, keys, x: str, buckets: int = 64) -> DataFrame:
     )
 
 
-def with_ranks(df: DataFrame, keys, x: str, out: dict[str, str], descending: bool = False, source: DataFrame | None = None) -> DataFrame:
-    """Join ranks back to the rows. `out` maps a new column to one of avg, pct, min, dense, total.
+def _whole_ranks(df: DataFrame, keys: list[str], x: str, out: dict[str, str], descending: bool) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(x) if descending else F.asc_nulls_last(x))
+    below, upto = F.rank().over(w) - 1, F.count(x).over(w)
+    total = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    avg = (below + upto + 1) / 2
+    make: dict[str, Column] = {"avg": avg, "pct": avg / total, "min": (below + 1).cast("long"), "dense": F.dense_rank().over(w).cast("long"), "total": total}
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, x)])
+    return df.withColumns({name: F.when(known, make[kind]) for name, kind in out.items()})
+
+
+def with_ranks(
+    df: DataFrame, keys, x: str, out: dict[str, str], descending: bool = False, source: DataFrame | None = None, whole: bool = False
+) -> DataFrame:
+    """Join ranks back to the rows. `out` maps a new column to one of avg, pct, min, dense, total. A row without a key or the value
+    has none.
 
     Several rankings of one table should all name it as `source`, so that their plans stay side by side instead of nesting.
+    `whole`: a task can sort a group, and there are many groups.
     """
     keys = list(keys)
+    if whole:
+        return _whole_ranks(df, keys, x, out, descending)
     r = ranked_values((df if source is None else source).select(*keys, x), keys, x)
     below = F.col("total") - F.col("below") - F.col("cnt") if descending else F.col("below")
     dense = F.col("distinct") - F.col("dense") + 1 if descending else F.col("dense")
@@ -59,18 +80,17 @@ def with_ranks(df: DataFrame, keys, x: str, out: dict[str, str], descending: boo
     return df.join(ranks, [*keys, x], "left")
 
 
-def rank_table(df: DataFrame, row_keys, by: str, scopes: list[str], metrics: list[str]) -> DataFrame:
-    """Percentile ranks (average of equals) of several metrics within several groupings of each `by`, from one ranking: for every row,
-    told by `row_keys`, `pct_<scope>_<metric>` and `total_<scope>_<metric>`. A row without the group or the value has neither."""
-    cell = lambda s, m: F.struct(F.lit(s).alias("__scope"), F.col(s).cast("string").alias("__group"), F.lit(m).alias("__metric"), F.col(m).cast("double").alias("__x"))
-    cells = F.filter(F.array(*[cell(s, m) for s in scopes for m in metrics]), lambda c: c["__group"].isNotNull() & c["__x"].isNotNull())
-    long = df.select(*row_keys, F.explode(cells).alias("__c")).select(*row_keys, "__c.*")
-    keys = [by, "__scope", "__group", "__metric"]
-    r = ranked_values(long, keys, "__x")
-    r = r.select(*keys, "__x", ((F.col("below") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("__pct"), "total")
-    at = lambda s, m, c: F.max(F.when((F.col("__scope") == s) & (F.col("__metric") == m), F.col(c)))
-    found = [f for s in scopes for m in metrics for f in (at(s, m, "__pct").alias(f"pct_{s}_{m}"), at(s, m, "total").alias(f"total_{s}_{m}"))]
-    return long.join(r, [*keys, "__x"]).groupBy(*row_keys).agg(*found)
+def rank_table(df: DataFrame, by: str, scopes: list[str], metrics: list[str]) -> DataFrame:
+    """Percentile ranks (average of equals) of several metrics within several groupings of each `by`, next to the rows:
+    `pct_<scope>_<metric>` and `total_<scope>_<metric>`. A row without `by`, the group or the value has neither.
+
+    All rankings share one exchange by `by`, so a task can sort the rows of one value of `by`.
+    """
+    df = df.repartition(by)
+    for s in scopes:
+        for m in metrics:
+            df = with_ranks(df.withColumn("__x", F.col(m).cast("double")), [by, s], "__x", {f"pct_{s}_{m}": "pct", f"total_{s}_{m}": "total"}, whole=True)
+    return df.drop("__x")
 
 
 def quantiles(df: DataFrame, keys, x: str, probs: dict[str, float]) -> DataFrame:
@@ -90,13 +110,19 @@ def quantiles(df: DataFrame, keys, x: str, probs: dict[str, float]) -> DataFrame
     return g.select(*keys, *pick)
 
 
-def group_zscore(df: DataFrame, keys, columns: dict[str, str], cap: float | None = None, eps: float = 1e-12) -> DataFrame:
-    """Population z-score per group via partial aggregation and a join; flat groups and missing values give 0."""
+def group_zscore(df: DataFrame, keys, columns: dict[str, str], cap: float | None = None, eps: float = 1e-12, whole: bool = False) -> DataFrame:
+    """Population z-score per group via partial aggregation and a join, or where the rows are if a task can hold a group (`whole`);
+    flat groups and missing values give 0. Rows without a key are left out."""
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(
-        *[F.avg(x).alias(f"__m_{z}") for z, x in columns.items()], *[F.stddev_pop(x).alias(f"__s_{z}") for z, x in columns.items()]
-    )
-    df = df.join(stats, keys)
+    if whole:
+        w = Window.partitionBy(*keys)
+        df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+        df = df.withColumns({f"__m_{z}": F.avg(x).over(w) for z, x in columns.items()} | {f"__s_{z}": F.stddev_pop(x).over(w) for z, x in columns.items()})
+    else:
+        stats = df.groupBy(*keys).agg(
+            *[F.avg(x).alias(f"__m_{z}") for z, x in columns.items()], *[F.stddev_pop(x).alias(f"__s_{z}") for z, x in columns.items()]
+        )
+        df = df.join(stats, keys)
     out = {}
     for z, x in columns.items():
         v = F.when(F.col(f"__s_{z}") > eps, (col(x) - F.col(f"__m_{z}")) / F.col(f"__s_{z}"))

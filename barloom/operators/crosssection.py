@@ -67,9 +67,9 @@ def percentile_rank(df: DataFrame, keys, x: str, out: str, higher_is_better: boo
 
 def peer_percentiles(df: DataFrame, metrics: list[str], min_sector: int = 3, min_industry: int = 3, neutral: float = 0.5, fallback: bool = True) -> DataFrame:
     """Sector and industry percentiles with minimum-peer gates; industry falls back to sector, then to `neutral`. One row per symbol
-    and date; all metrics and both groupings share one ranking."""
+    and date; all metrics and both groupings share one exchange by date."""
     scopes = {"sector": min_sector, "industry": min_industry}
-    df = df.join(rank_table(df, ["symbol", "date"], "date", list(scopes), metrics), ["symbol", "date"], "left")
+    df = rank_table(df, "date", list(scopes), metrics)
     for m in metrics:
         p = {k: F.when(F.col(f"total_{k}_{m}") >= gate, F.col(f"pct_{k}_{m}")) if gate else F.col(f"pct_{k}_{m}") for k, gate in scopes.items()}
         for name, cheap in (("pct", False), ("cheap_pct", True)):
@@ -85,10 +85,10 @@ def peer_percentiles(df: DataFrame, metrics: list[str], min_sector: int = 3, min
 
 
 def peer_counts(df: DataFrame, x: str) -> DataFrame:
-    """Non-null members per (date, sector) and (date, industry) and the has_data flag, joined back to the rows."""
-    s = df.groupBy("date", "sector").agg(F.count(x).alias("sector_peer_count"))
-    i = df.groupBy("date", "industry").agg(F.count(x).alias("industry_peer_count"))
-    df = df.join(s, ["date", "sector"]).join(i, ["date", "industry"])
+    """Non-null members per (date, sector) and (date, industry) and the has_data flag, next to the rows; rows without one of the
+    three are left out."""
+    df = df.withColumns({f"{scope}_peer_count": F.count(x).over(Window.partitionBy("date", scope)) for scope in ("sector", "industry")})
+    df = df.where(F.col("date").isNotNull() & F.col("sector").isNotNull() & F.col("industry").isNotNull())
     return df.withColumn("has_data", flag(F.col("sector_peer_count") >= 3))
 
 
