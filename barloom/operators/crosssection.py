@@ -15,14 +15,16 @@ def session_index(df: DataFrame, date="date") -> DataFrame:
     return df.select(date).distinct().withColumn("session", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date)))
 
 
-def family_snapshot(panel: DataFrame, families: dict[str, list[str]], shift: int = 1) -> DataFrame:
-    """Row mean of each family's columns, moved `shift` sessions ahead on the calendar shared by all symbols."""
+def family_snapshot(panel: DataFrame, families: dict[str, list[str]], shift: int = 1, sessions: DataFrame | None = None) -> DataFrame:
+    """Row mean of each family's columns, moved `shift` sessions ahead on the calendar shared by all symbols. `sessions` are the
+    panel's dates (repeats allowed) from where they are had without its features."""
     snap = panel.select("symbol", "date", *[row_mean([finite(c) for c in cols]).alias(f"snap_{f}") for f, cols in families.items()])
     if not shift:
         return snap.withColumn("effective_date", F.col("date"))
     # bounded by the calendar
-    move = panel.select("date").distinct().select("date", F.lead("date", shift).over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("__to"))
-    return snap.join(move.where(F.col("__to").isNotNull()), "date").withColumnRenamed("date", "effective_date").withColumnRenamed("__to", "date")
+    days = (panel if sessions is None else sessions).select("date").distinct()
+    move = days.select("date", F.lead("date", shift).over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("__to"))
+    return snap.join(F.broadcast(move.where(F.col("__to").isNotNull())), "date").withColumnRenamed("date", "effective_date").withColumnRenamed("__to", "date")
 
 
 def asof_snapshot(panel: DataFrame, families: dict[str, list[str]], asof: str, shift: int = 1) -> DataFrame:
@@ -46,17 +48,19 @@ def weighted_rank(snap: DataFrame, weights: dict[str, float], cap: float = 3.0,
     """z per date and family, weighted score, dense rank (best first).
 
     mask="before" drops symbols with too few families before the z-scores (single-date ranking); mask="after" keeps them
-    in the statistics and withholds their score (panel scoring).
+    in the statistics and withholds their score (panel scoring). A date of a panel has a row per symbol and is scored where its
+    rows are; the one date of a single-date ranking is all rows, which many tasks share.
     """
     snaps = {f: f"snap_{f}" for f in weights}
     count = sum((F.col(c).isNotNull().cast("int") for c in snaps.values()), F.lit(0))
     snap = snap.withColumn("non_nan_families", count)
     if mask == "before":
         snap = snap.where(F.col("non_nan_families") >= min_families)
-    z = group_zscore(snap, ["date"], {f"z_{f}": c for f, c in snaps.items()}, cap)
+    panel = mask != "before"
+    z = group_zscore(snap, ["date"], {f"z_{f}": c for f, c in snaps.items()}, cap, whole=panel)
     score = sum((F.col(f"z_{f}") * F.lit(float(w)) for f, w in weights.items()), F.lit(0.0))
     z = z.withColumn("score", F.when(F.col("non_nan_families") >= min_families, F.round(score, 12)))
-    return with_ranks(z, ["date"], "score", {"rank": "dense"}, descending=True)
+    return with_ranks(z, ["date"], "score", {"rank": "dense"}, descending=True, whole=panel)
 
 
 def percentile_rank(df: DataFrame, keys, x: str, out: str, higher_is_better: bool = True) -> DataFrame:

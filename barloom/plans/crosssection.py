@@ -57,19 +57,19 @@ RANKED = "symbol date effective_date:d score rank:i non_nan_families:i z_mom z_v
 
 @plan("tier2_ranking", (191, 192, 193, 343, 51), RANKED, "SELECT *, CASE WHEN score IS NOT NULL THEN dense_rank() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST) END AS rank FROM tier2")
 def _(t):
-    return op.weighted_rank(op.family_snapshot(panel(t), FAMILIES), WEIGHTS, min_families=2)
+    return op.weighted_rank(op.family_snapshot(panel(t), FAMILIES, sessions=t.sessions()), WEIGHTS, min_families=2)
 
 
 @plan("zscore_cross_section", 191, "symbol date z_mom z_vol z_liq", "SELECT * FROM tier2")
 def _(t):
     from barloom.functions.orderstats import group_zscore
 
-    return group_zscore(op.family_snapshot(panel(t), FAMILIES), ["date"], {f"z_{f}": f"snap_{f}" for f in FAMILIES}, 3.0)
+    return group_zscore(op.family_snapshot(panel(t), FAMILIES, sessions=t.sessions()), ["date"], {f"z_{f}": f"snap_{f}" for f in FAMILIES}, 3.0, whole=True)
 
 
 @plan("family_snapshot", 192, "symbol date effective_date:d snap_mom snap_vol snap_liq", "SELECT * FROM snap")
 def _(t):
-    return op.family_snapshot(panel(t), FAMILIES)
+    return op.family_snapshot(panel(t), FAMILIES, sessions=t.sessions())
 
 
 ASOF = "1999-06-30"
@@ -90,7 +90,7 @@ def _(t):
     "SELECT * FROM (SELECT symbol, date, score, dense_rank() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST) AS rank FROM tier2 WHERE score IS NOT NULL) WHERE rank <= 10",
 )
 def _(t):
-    df = op.weighted_rank(op.family_snapshot(panel(t), FAMILIES), WEIGHTS, min_families=2)
+    df = op.weighted_rank(op.family_snapshot(panel(t), FAMILIES, sessions=t.sessions()), WEIGHTS, min_families=2)
     return df.where(F.col("rank") <= 10).orderBy("date", "rank", F.asc_nulls_last("symbol"))
 
 

@@ -75,6 +75,10 @@ class Tables:
         )
         return self.by_symbol(self._ohlcv(li))
 
+    def sessions(self) -> DataFrame:
+        """The dates that bars of either kind can have, without making bars (one row per session, bounded by the calendar)."""
+        return self.raw("lineitem").select(roll_to_weekday(F.col("l_shipdate").cast("date")).alias("date")).distinct()
+
     def rets(self) -> DataFrame:
         """Brand bars with the close-to-close return."""
         w = Window.partitionBy("symbol").orderBy("date")
